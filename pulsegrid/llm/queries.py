@@ -1,7 +1,9 @@
 """The queries that this subpackage registers, and SQL for those that SQL can express."""
 
 from .mix import OP6_SQL, op6_mix
+from .packing import op5_packing
 from .shards import OP9_SQL, op9_shards
+from .tokens import op2_tokens
 
-QUERIES = {"op6_mix": op6_mix, "op9_shards": op9_shards}
+QUERIES = {"op2_tokens": op2_tokens, "op5_packing": op5_packing, "op6_mix": op6_mix, "op9_shards": op9_shards}
 ORACLES = {"op6_mix": OP6_SQL, "op9_shards": OP9_SQL}
