@@ -2,8 +2,10 @@
 
 from .mix import OP6_SQL, op6_mix
 from .packing import op5_packing
+from .rules import OP4_SQL, op4_rules
+from .secrets import op10_secrets
 from .shards import OP9_SQL, op9_shards
 from .tokens import op2_tokens
 
-QUERIES = {"op2_tokens": op2_tokens, "op5_packing": op5_packing, "op6_mix": op6_mix, "op9_shards": op9_shards}
-ORACLES = {"op6_mix": OP6_SQL, "op9_shards": OP9_SQL}
+QUERIES = {"op2_tokens": op2_tokens, "op4_rules": op4_rules, "op5_packing": op5_packing, "op6_mix": op6_mix, "op9_shards": op9_shards, "op10_secrets": op10_secrets}
+ORACLES = {"op4_rules": OP4_SQL, "op6_mix": OP6_SQL, "op9_shards": OP9_SQL}
