@@ -4,10 +4,11 @@ from .mix import OP6_SQL, op6_mix
 from .ogg import op3_ogg
 from .packing import op5_packing
 from .prefix import op7_token_counts
+from .quality import op1_quality
 from .rules import OP4_SQL, op4_rules
 from .secrets import op10_secrets
 from .shards import OP9_SQL, op9_shards
 from .tokens import op2_tokens
 
-QUERIES = {"op2_tokens": op2_tokens, "op3_ogg": op3_ogg, "op4_rules": op4_rules, "op5_packing": op5_packing, "op6_mix": op6_mix, "op7_token_counts": op7_token_counts, "op9_shards": op9_shards, "op10_secrets": op10_secrets}
+QUERIES = {"op1_quality": op1_quality, "op2_tokens": op2_tokens, "op3_ogg": op3_ogg, "op4_rules": op4_rules, "op5_packing": op5_packing, "op6_mix": op6_mix, "op7_token_counts": op7_token_counts, "op9_shards": op9_shards, "op10_secrets": op10_secrets}
 ORACLES = {"op4_rules": OP4_SQL, "op6_mix": OP6_SQL, "op9_shards": OP9_SQL}
