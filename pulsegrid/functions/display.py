@@ -55,3 +55,30 @@ def post(category: Column, title: Column, summary: Column) -> Column:
 
 def arrow(course: Column) -> Column:
     return F.when(course == "up", "▲").when(course == "down", "▼").otherwise("")
+
+
+def document(id_slug: Column, title: Column, summary: Column, published: Column, modified: Column, base_url: str) -> Column:
+    """The structured-data document of a detail page, as JSON; quotes in texts are escaped by the writer."""
+    date = lambda c: F.coalesce(iso(c, "+00:00"), F.lit(""))
+    return F.to_json(F.struct(
+        F.concat(F.lit(f"{base_url}/trend/"), id_slug).alias("id"), title.alias("headline"), F.left(F.coalesce(summary, F.lit("")), F.lit(200)).alias("description"), F.coalesce(summary, F.lit("")).alias("articleBody"),
+        date(published).alias("datePublished"), F.coalesce(F.nullif(date(modified), F.lit("")), date(published)).alias("dateModified"),
+    ))
+
+
+def base_url(protocol: Column, forwarded: Column, host: Column) -> Column:
+    """Where the site is reached: forwarded values first, no slash at the end."""
+    return F.rtrim(F.concat(F.coalesce(full(protocol), F.lit("https")), F.lit("://"), F.coalesce(full(forwarded), host)), F.lit("/"))
+
+
+def callback(data: Column) -> tuple[Column, Column]:
+    """Action and number of 'action_number'; the number is null where there is none."""
+    parts = F.split(data, "_", 2)
+    return parts[0], F.try_element_at(parts, F.lit(2)).try_cast("long")
+
+
+def page(name: Column, titles: dict[str, str], other: str = " Haberleri") -> tuple[Column, Column]:
+    """A category's name and page title; null for names that are no category."""
+    category = capitalised(name)
+    known = F.when(category.isin(L.CATEGORIES), category)
+    return known, F.coalesce(lookup(known, titles), F.concat(known, F.lit(other)))

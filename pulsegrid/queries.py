@@ -508,3 +508,52 @@ def source_list_scan(spark, sf):
 def post_messages(spark, sf):
     t = X.trends(spark, sf).filter("title IS NOT NULL AND summary IS NOT NULL AND category IS NOT NULL")
     return t.select("id", D.capitalised(F.col("category")).alias("capitalised"), D.post(F.col("category"), F.col("title"), D.cut(F.col("summary"), 18)).alias("post"))
+
+
+@query(f"""{TRENDS} SELECT id, 'https://example.com/trend/' || coalesce(nullif(slug, ''), cluster_id) AS link, left(coalesce(summary, ''), 200) AS description, strftime(first_seen, '%Y-%m-%dT%H:%M:%S+00:00') AS published, strftime(last_updated, '%Y-%m-%dT%H:%M:%S+00:00') AS modified FROM trends WHERE title IS NOT NULL""")
+def structured_documents(spark, sf):
+    t = X.trends(spark, sf).filter("title IS NOT NULL")
+    x = D.document(F.coalesce(D.full(F.col("slug")), F.col("cluster_id")), F.col("title"), F.col("summary"), F.col("first_seen"), F.col("last_updated"), "https://example.com")
+    get = lambda k: F.get_json_object(x, f"$.{k}")
+    return t.select("id", get("id").alias("link"), get("description").alias("description"), get("datePublished").alias("published"), get("dateModified").alias("modified"))
+
+
+@query("""SELECT user_id, event_type || '_' || user_id AS data, CASE WHEN event_type = 'view' THEN NULL ELSE user_id END AS number, event_type AS action, count(*) AS n FROM events GROUP BY ALL""")
+def callback_parse(spark, sf):
+    e = X.table(spark, sf, "events").select("user_id", F.concat("event_type", F.lit("_"), "user_id").alias("data"), "event_type")
+    action, number = D.callback(F.when(F.col("event_type") == "view", F.col("event_type")).otherwise(F.col("data")))
+    return e.select("user_id", "data", number.alias("number"), action.alias("action")).groupBy("user_id", "data", "number", "action").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'Spor' WHEN 1 THEN 'Sanat' END AS category, CASE p_size % 3 WHEN 0 THEN 'Sports' WHEN 1 THEN 'Sanat Haberleri' END AS title FROM part")
+def category_pages(spark, sf):
+    name = F.when(F.col("p_size") % 3 == 0, "sPOR").when(F.col("p_size") % 3 == 1, "sanat").otherwise("none")
+    category, title = D.page(name, {"Spor": "Sports"})
+    return X.table(spark, sf, "part").select("p_partkey", category.alias("category"), title.alias("title"))
+
+
+@query("SELECT doc_id % 3 AS feed, count(*) AS n FROM (SELECT doc_id FROM documents WHERE doc_id < 120 AND length(trim(left(text, 60))) > 0 AND length(left(text, 60)) + 2 + doc_id % 40 >= 30) GROUP BY 1")
+def feed_poll(spark, sf):
+    from .sources import feeds
+
+    spark.dataSource.register(feeds.FeedSource)
+    got = feeds.items(spark.read.format("feed").options(**X.feed_options(spark, sf)).load())
+    return got.groupBy(F.substring("source_name", 2, 9).cast("long").alias("feed")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT trend_id, doc_id AS newest_id, n::BIGINT AS message_count FROM (SELECT user_id AS trend_id, max(doc_id) AS doc_id, count(*) AS n FROM documents JOIN events ON doc_id = event_id GROUP BY 1)")
+def ingest_upsert(spark, sf):
+    """Two batches of news into one snapshot of trends."""
+    from .plans import ingest
+
+    news = X.raw_news(spark, sf).withColumn("cluster_id", F.col("trend_id"))
+    schema = "trend_id long, title string, slug string, message_count long, first_seen timestamp_ntz, last_updated timestamp_ntz, needs_scoring boolean"
+    first = ingest.trends_after(spark.createDataFrame([], schema), news.filter("id % 2 = 0"))
+    both = ingest.trends_after(kept(first, "trends"), news.filter("id % 2 = 1"))
+    newest = news.groupBy("trend_id").agg(F.max("id").alias("newest_id"))
+    return both.join(newest, "trend_id").select("trend_id", "newest_id", "message_count")
+
+
+@query(f"{NEWS}, r AS (SELECT trend_id, arg_min(content, id) AS reference FROM news GROUP BY trend_id) SELECT trend_id, left(reference, 60) AS head FROM r")
+def reference_texts(spark, sf):
+    return scoring.reference_texts(X.raw_news(spark, sf)).select("trend_id", F.left("reference", F.lit(60)).alias("head"))

@@ -59,3 +59,12 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.floor(F.col("l_extendedprice") / 100).cast("long").alias("output_tokens"), F.col("l_discount").alias("duration_sec"), F.when(F.col("l_linestatus") == "O", "Spor").alias("category"),
         F.when(F.col("l_returnflag") == "N", "Success").otherwise("Failed").alias("status"), F.when(F.col("l_returnflag") == "R", "bad").otherwise(F.col("l_tax").cast("string")).alias("cost_usd"), F.col("l_linenumber").alias("line"),
     )
+
+
+def feed_options(spark: SparkSession, sf_dir: str, feeds: int = 3, items: int = 40) -> dict[str, str]:
+    """A few small feeds made of the first documents: what a poll would have fetched."""
+    from xml.sax.saxutils import escape
+
+    docs = table(spark, sf_dir, "documents").filter(F.col("doc_id") < feeds * items).select("doc_id", F.left("text", F.lit(60)).alias("t")).orderBy("doc_id").collect()
+    one = lambda r: f"<item><title>{escape(r.t)}</title><description>{'x' * (r.doc_id % 40)}</description><link>https://example.com/{r.doc_id // 2}</link></item>"
+    return {f"feed.f{i}": "<rss><channel>" + "".join(one(r) for r in docs if r.doc_id % feeds == i) + "</channel></rss>" for i in range(feeds)}

@@ -43,3 +43,12 @@ def write_log(rows: DataFrame, path: str) -> None:
 
     out = rows.withColumn("cost_usd", F.format_string("%.8f", cost(F.col("input_tokens"), F.col("output_tokens"))))
     out.select(*struct("log").names).write.mode("append").csv(path, header=True)
+
+
+def best_model(names: DataFrame, fallback: str) -> DataFrame:
+    """The model to use of those on offer: a light flash model, else a stable 1.5 one, else the first flash model, else the fallback."""
+    low = F.lower("name")
+    fit = names.withColumn("name", F.replace("name", F.lit("models/"), F.lit(""))).filter(low.contains("flash") & ~low.contains("image") & ~low.contains("audio"))
+    n = F.col("name")
+    order = F.when(n.contains("lite") & n.contains("flash"), 1).when(n.contains("1.5-flash") & ~n.contains("latest"), 2).otherwise(3)
+    return fit.withColumn("_order", order).agg(F.coalesce(F.min_by("name", F.struct("_order", "place")), F.lit(fallback)).alias("name"))
