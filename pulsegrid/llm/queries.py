@@ -1,6 +1,6 @@
 """The queries that this subpackage registers, and SQL for those that SQL can express."""
 
-from .joins import op8_jaccard
+from .joins import OP8_SQL, op8_jaccard
 from .mix import OP6_SQL, op6_mix
 from .ogg import op3_ogg
 from .packing import op5_packing
@@ -12,4 +12,4 @@ from .shards import OP9_SQL, op9_shards
 from .tokens import op2_tokens
 
 QUERIES = {"op1_quality": op1_quality, "op2_tokens": op2_tokens, "op3_ogg": op3_ogg, "op4_rules": op4_rules, "op5_packing": op5_packing, "op6_mix": op6_mix, "op7_token_counts": op7_token_counts, "op8_jaccard": op8_jaccard, "op9_shards": op9_shards, "op10_secrets": op10_secrets}
-ORACLES = {"op4_rules": OP4_SQL, "op6_mix": OP6_SQL, "op9_shards": OP9_SQL}
+ORACLES = {"op4_rules": OP4_SQL, "op6_mix": OP6_SQL, "op8_jaccard": OP8_SQL, "op9_shards": OP9_SQL}
