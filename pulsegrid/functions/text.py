@@ -12,12 +12,12 @@ from . import lexicons as L
 
 def folded(t: Column) -> Column:
     """Turkish lower case. The dotted and dotless capitals are mapped first: generic lower() gets both wrong."""
-    return F.lower(F.translate(F.coalesce(t, F.lit("")), "İI", "iı"))
+    return F.lower(F.replace(F.replace(F.coalesce(t, F.lit("")), F.lit("İ"), F.lit("i")), F.lit("I"), F.lit("ı")))
 
 
 def generic_first(t: Column) -> Column:
     """Lower case before Turkish folding, which loses capital dotless i: what the critical-word test does by default."""
-    return F.lower(F.translate(F.lower(F.translate(F.coalesce(t, F.lit("")), "İ", "i")), "İI", "iı"))
+    return F.lower(F.replace(F.coalesce(t, F.lit("")), F.lit("İ"), F.lit("i")))
 
 
 def any_word(t: Column, words: list[str]) -> Column:
@@ -75,8 +75,9 @@ def keyword_score(t: Column, levels: dict[str, list[str]]) -> Column:
     return reduce(lambda a, b: a + b, parts)
 
 
-def category_scores(t: Column, lexicon: dict | None = None) -> dict[str, Column]:
-    return {c: keyword_score(folded(t), levels) for c, levels in (lexicon or L.LEXICON).items()}
+def category_scores(t: Column, lexicon: dict | None = None, is_folded: bool = False) -> dict[str, Column]:
+    """Where t is folded already, in a projection before, that is done once for all words."""
+    return {c: keyword_score(t if is_folded else folded(t), levels) for c, levels in (lexicon or L.LEXICON).items()}
 
 
 def penalised(scores: dict[str, Column], t: Column, rules: list | None = None) -> dict[str, Column]:

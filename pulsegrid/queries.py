@@ -300,7 +300,8 @@ SCORED = f"t AS (SELECT doc_id, lang, {FOLDED.format('text')} AS x FROM document
 
 @query(f"WITH {SCORED} SELECT doc_id, {', '.join(f'({score_sql(L.LEXICON[c], chr(120))})::INT AS {n}' for c, n in NAMES.items())} FROM t")
 def keyword_scores(spark, sf):
-    return X.table(spark, sf, "documents").select("doc_id", *(s.alias(NAMES[c]) for c, s in T.category_scores(F.col("text")).items()))
+    d = X.table(spark, sf, "documents").select("doc_id", T.folded(F.col("text")).alias("x"))
+    return d.select("doc_id", *(s.alias(NAMES[c]) for c, s in T.category_scores(F.col("x"), is_folded=True).items()))
 
 
 def penalty_sql() -> str:
