@@ -63,13 +63,25 @@ def mix(docs: DataFrame, size: str, weights=WEIGHTS, share: float = SHARE, cap:
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: the rows of documents, each as many times as it was drawn, with documents' own columns."""
-    size, own = fresh(docs, "_words"), docs.columns
-    clash = {c: fresh(docs, f"_own_{c}") for c in own if c.lower() in ("source_size", "target", "copies")}
-    back = {v: k for k, v in clash.items()}
-    drawn = mix(docs.withColumnsRenamed(clash).withColumn(size, words(F.col("text"))), size, **how)
-    drawn = drawn.filter("copies > 0").withColumn(size, F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return drawn.drop(size, "source_size", "target", "copies").withColumnsRenamed(back).select(*own)
+    """The mix itself: the rows of documents, each as many times as it was drawn, with documents' own columns.
+
+    Draws are made on narrow rows, so that sorting by size moves no text and no task gets all long texts. Rows are told apart
+    by doc_id and a hash of their columns; rows alike in both are one row many times over, and share the draws of all of them.
+    """
+    tie, n = fresh(docs, "_tie"), fresh(docs, "_n")
+    rows = docs.withColumn(tie, F.xxhash64(*(F.col(c) for c, kind in docs.dtypes if not kind.startswith("map"))))
+    narrow = rows.select("doc_id", "source", words(F.col("text")).alias("size"), F.col(tie).alias("tie"))
+    drawn = mix(narrow, "size", **how).groupBy("doc_id", "tie").agg(F.sum("copies").alias("c"), F.count(F.lit(1)).alias("m"))
+    drawn = stash(drawn.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_own"), F.floor(F.col("c") / F.col("m")).cast("int").alias("_each"), (F.col("c") % F.col("m")).cast("int").alias("_rest")).filter("_each > 0 OR _rest > 0"), "mix-draws")
+
+    def emitted(copies: str, draws: DataFrame, once: bool = False) -> DataFrame:
+        draws = draws.select(F.col("_id"), F.col("_own"), F.col(copies).alias(n)).filter(F.col(n) > 0)
+        own = rows.join(draws, (rows[tie] == draws["_own"]) & rows["doc_id"].eqNullSafe(draws["_id"])).select(*(rows[c] for c in rows.columns), draws[n])
+        own = own.dropDuplicates(["doc_id", tie]) if once else own
+        return own.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)
+
+    out, left = emitted("_each", drawn), drawn.filter("_rest > 0")
+    return out if left.isEmpty() else out.unionByName(emitted("_rest", left, once=True))
 
 
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 
 from pulsegrid.llm import mix, shards
 
-from .helpers import ODD, clashing, folder, plain
+from .helpers import ODD, SCHEMA, clashing, folder, plain
 
 
 def fill(sizes, share=1.5, cap=2.0):
@@ -52,6 +52,17 @@ def test_op6_meets_targets(spark, sf, tmp_path, query):
     assert plain(mix.op6_mix(spark, path)) == sorted((tuple(r) for r in got), key=repr)
 
 
+def test_mixed_draws_what_mix_says(spark):
+    rows = [(i, "w " * (i % 7 + 1), "en", f"s{i % 4}", i) for i in range(60)] + [(100, "same words here", "en", "s1", 1)] * 7 + [(None, "x y", "en", None, 1)] * 3 + [(100, "other words here", "en", "s1", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    want = Counter()
+    for r in mix.mix(docs.withColumn("size", mix.words(docs["text"])), "size").collect():
+        want[tuple(r)[:5]] += r.copies
+    got = Counter(map(tuple, mix.mixed(docs).collect()))
+    # rows alike share the draws of all of them; others have their own
+    assert got == +want and sum(got.values()) > 60
+
+
 def test_mixed_returns_documents(spark):
     rows, schema = clashing(["copies", "target", "_words"])
     docs = spark.createDataFrame(rows, schema)
