@@ -292,7 +292,7 @@ def links(docs: DataFrame, of: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members (doc_id, key), and key, rep, class_rep, n_links for each text: class_rep is the least doc_id of its class."""
+    """Members (doc_id, key), and root, key, rep, n_links, class_rep for each text: root names its class, class_rep is the least doc_id there."""
     members, of = nodes(docs)
     found = stash(links(docs, of), "links")
     roots = components(found.select(F.col("key").alias("a"), F.col("to").alias("b")), "classes").withColumnsRenamed({"node": "key"})
@@ -300,7 +300,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     all_ = of.select("key", "rep", "copies").join(roots, "key", "left").join(counts, "key", "left")
     all_ = stash(all_.select("key", "rep", F.coalesce("root", "key").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "class-nodes")
     least = all_.groupBy("root").agg(F.min("rep").alias("class_rep"))
-    return members, all_.join(least, "root").drop("root")
+    return members, all_.join(least, "root")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -313,8 +313,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """docs with one row of each class: that of its least doc_id; all columns as they were."""
     _, of = classes(docs)
     keep = of.filter(F.col("rep").eqNullSafe(F.col("class_rep")))
-    # texts of a class may share its least doc_id: the least key of them stays
-    one = stash(keep.groupBy("class_rep", F.col("rep")).agg(F.min("key").alias("key")), "kept")
+    # texts of a class may share its least doc_id: the least key of them stays; classes may share it as well, null above all
+    one = stash(keep.groupBy("root", "rep").agg(F.min("key").alias("key")), "kept")
     key, at = fresh(docs, "_key"), fresh(docs, "_at")
     rows = docs.withColumn(key, F.unhex(F.md5(F.coalesce(docs["text"], F.lit("")))))
     rows = rows.withColumn(at, F.xxhash64(key, "doc_id"))
