@@ -249,12 +249,15 @@ def _compared(batches):
     """Rows come sorted by root, ca, cb, so a group ends where these change; a group is held at a time."""
     schema = pa.schema([("key", pa.binary()), ("to", pa.binary()), ("links", pa.int64())])
 
-    def close(group):
+    def close(at, group):
         if len(group) < 2:
             return None
         keys = sorted(group)
         sets, copies, side = (list(x) for x in zip(*(group[k] for k in keys), strict=True))
-        found = linked(sets, np.array(copies), np.array(side) if len(set(side)) > 1 else np.zeros(len(side), int))
+        # where one of two chunks has no node, the other's pairs are those of its own task
+        if at[1] != at[2] and len(set(side)) < 2:
+            return None
+        found = linked(sets, np.array(copies), np.array(side))
         rows = [(k, keys[found.root(i)], int(n)) for i, (k, n) in enumerate(zip(keys, found.links, strict=True)) if n]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema) if rows else None
 
@@ -264,12 +267,12 @@ def _compared(batches):
         for at, (root, ca, cb, side, key, copies, text) in enumerate(zip(*(batch.column(n) for n in names), strict=True)):
             here = (root.as_py(), ca.as_py(), cb.as_py())
             if here != now:
-                if (out := close(group)) is not None:
+                if (out := close(now, group)) is not None:
                     yield out
                 now, group = here, {}
             # one of two chunks compared with each other only counts pairs across
             group.setdefault(key.as_py(), (shingles(text.as_py()), copies.as_py(), side.as_py()))
-    if (out := close(group)) is not None:
+    if (out := close(now, group)) is not None:
         yield out
 
 

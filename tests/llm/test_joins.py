@@ -93,6 +93,17 @@ def test_op8_against_brute_force(spark, sf, tmp_path, query, monkeypatch):
     assert got == brute(rows)
 
 
+def test_op8_long_texts_leave_chunks_empty(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(joins, "CHUNK_SHINGLES", 300)
+    rng, rows = random.Random(5), []
+    for _ in range(12):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        rows += [" ".join(near(rng, words, 2)) for _ in range(rng.choice([2, 3]))]
+    rows = [(i, t, "en", "a", len(t)) for i, t in enumerate(rows)]
+    got = sorted((tuple(r) for r in joins.op8_jaccard(spark, folder(spark, tmp_path, rows)).collect()), key=repr)
+    assert got == brute(rows)
+
+
 def test_deduplicate_keeps_one_row_of_each_class(spark):
     rows, schema = clashing(["_key", "_at", "rep"])
     docs = spark.createDataFrame([*rows, *rows], schema)
