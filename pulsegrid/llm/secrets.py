@@ -3,6 +3,7 @@
 A vocabulary made from text covers words with few tokens and random strings with many, so a long run of letters
 and digits that comes to few characters a token is random. What is random but known to be harmless is left out first:
 digests by their lengths, UUIDs, plain numbers, and identifiers, which fall apart into words at their humps and dashes.
+Where a run as a whole passes, as a key behind a path does, each stretch of its tokens is tested in the same way.
 
 Defined results: null text counts as empty and has no spans; spans count code points, end exclusive; equal texts have
 equal spans; an empty table gives an empty result; other columns are carried along by redact() and left out by the query.
@@ -33,8 +34,13 @@ UUID = re.compile(r"[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}")
 DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
 DIGEST_CHARS = {32, 40, 56, 64, 96, 128}  # of the common digests, in hex
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
-#: Characters a token: below the first a run with digits or mixed case is random, below the second one of single-case letters.
+ATOM = re.compile(r"[A-Za-z0-9]+")
+#: Characters a token: below the first a run is random, below the second one of single-case words.
 RATIO, LETTERS_RATIO = 2.0, 1.5
+#: A stretch of one case beyond this length is no word by its looks alone.
+LONGEST_WORD = 16
+#: Characters of the stretches tested inside a run, and how many there are to a joint (/ = + _ -) at least: dates and versions have more joints.
+STRETCH, JOINT = 20, 8
 
 
 def known(run: str) -> bool:
@@ -46,6 +52,8 @@ def known(run: str) -> bool:
         return True
     parts = PART.findall(bare)
     letters = [p for p in parts if not p.isdigit()]
+    if any(len(p) > LONGEST_WORD for p in letters):
+        return False
     # an identifier's words are longer than the stretches of one case in random letters, and its numbers are few
     return bool(letters) and sum(map(len, letters)) >= 4 * len(letters) and len(parts) - len(letters) <= len(letters) // 2
 
@@ -61,11 +69,58 @@ def ranks(path: str):
     return tiktoken.Encoding("secrets", pat_str=public_tokenizers.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in pairs}, special_tokens={})
 
 
-def random_run(run: str, vocabulary) -> bool:
-    if known(run):
-        return False
+def ratio(run: str) -> float:
+    """The characters a token that run has to reach."""
     mixed = any(c.isdigit() for c in run) or not (run.islower() or run.isupper())
-    return len(run) < (RATIO if mixed else LETTERS_RATIO) * len(vocabulary.encode_ordinary(run))
+    return RATIO if mixed or any(len(x) > LONGEST_WORD for x in ATOM.findall(run)) else LETTERS_RATIO
+
+
+def random_run(run: str, vocabulary) -> bool:
+    return not known(run) and len(run) < ratio(run) * len(vocabulary.encode_ordinary(run))
+
+
+def harmless_parts(run: str) -> list[tuple[int, int]]:
+    """UUIDs and digests that joints set off within a run."""
+    digests = [m.span() for m in ATOM.finditer(run) if len(m[0]) in DIGEST_CHARS and DIGEST.fullmatch(m[0])]
+    return [m.span() for m in UUID.finditer(run)] + digests
+
+
+def random_parts(run: str, taken: list[tuple[int, int]], vocabulary) -> list[tuple[int, int]]:
+    """Where stretches of tokens in a run are random, clear of what is taken; widened to the joints around them."""
+    taken = taken + harmless_parts(run)
+    edges = [0]
+    for t in vocabulary.encode_ordinary(run):
+        edges.append(edges[-1] + len(vocabulary.decode_single_token_bytes(t)))
+    found, j = [], 0
+    for i, a in enumerate(edges):
+        while j < len(edges) and edges[j] < a + STRETCH:
+            j += 1
+        if j == len(edges):
+            break
+        b = edges[j]
+        part = run[a:b]
+        if b - a >= ratio(part) * (j - i) or JOINT * sum(not c.isalnum() for c in part) > b - a:
+            continue
+        if any(x < b and a < y for x, y in taken) or known(part):
+            continue
+        if found and a <= found[-1][1]:
+            found[-1] = (found[-1][0], b)
+        else:
+            found.append((a, b))
+    out = []
+    for a, b in found:
+        whole = [m.span() for m in ATOM.finditer(run) if m.start() < b and a < m.end()]
+        # a word at the edge of a stretch is no part of the string
+        while len(whole) > 1 and known(run[slice(*whole[0])]):
+            whole = whole[1:]
+        while len(whole) > 1 and known(run[slice(*whole[-1])]):
+            whole = whole[:-1]
+        a, b = whole[0][0], whole[-1][1]
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
 
 def scan_text(text: str | None, vocabulary) -> list[tuple[int, int, int]]:
@@ -83,8 +138,11 @@ def scan_text(text: str | None, vocabulary) -> list[tuple[int, int, int]]:
         out += [(at + m.start(), 2, at + m.end()) for m in HEX.finditer(run) if len(m[0]) >= 24]
     base = list(out)
     for at, run in runs:
-        if not any(a < at + len(run) and at < b for a, _, b in base) and random_run(run, vocabulary):
+        taken = [(a - at, b - at) for a, _, b in base if a < at + len(run) and at < b]
+        if not taken and not harmless_parts(run) and random_run(run, vocabulary):
             out.append((at, 3, at + len(run)))
+        else:
+            out += [(at + a, 3, at + b) for a, b in random_parts(run, taken, vocabulary)]
     return sorted(out)
 
 

@@ -83,6 +83,18 @@ def test_random_strings_and_known_things(vocabulary):
         assert found(f"a {harmless} b", vocabulary) == [], harmless
 
 
+def test_random_strings_joined_to_words_or_of_one_case(vocabulary):
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    both = letters + letters.upper() + "0123456789"
+    for before, alphabet, n, least in [("/projects/documents/settings/", both, 20, 95), ("authorization_client_credential=", both, 24, 95), ("download/archive/release/signature=", both, 32, 95), ("session-identifier-", both, 32, 95), ("", letters, 32, 90), ("", letters.upper(), 32, 90), ("/projects/documents/settings/", letters, 32, 90)]:
+        keys = ["".join(rng.choice(alphabet) for _ in range(n)) for _ in range(100)]
+        whole = sum(k not in secrets.blank(f"a {before}{k} b", secrets.scan_text(f"a {before}{k} b", vocabulary)) for k in keys)
+        assert whole >= least, (before, n, whole)
+    for harmless in ["/objects/123e4567-e89b-12d3-a456-426614174000/documents", "checksum=D41D8CD98F00B204E9800998ECF8427E", "/archive/2024/01/31/report/41111111111111112222", "POP_JUMP_IF_NOT_NONE", "/projects/internationalization/documents_of_everything"]:
+        assert found(f"a {harmless} b", vocabulary) == [], harmless
+
+
 def base_spans(text):
     out = []
     for kind, pattern, ok in (("assign", secrets.ASSIGN, lambda m: len(m[2]) >= 6), ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20), ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 24)):
