@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import same, stash, table
-from .tokens import END, encoder, some_at_a_time, vocabulary_path
+from .spans import slices
+from .tokens import encoder, vocabulary_path
 
 WINDOW = 1024
 
@@ -94,24 +95,24 @@ def _pieces(path: str, window: int, keep_ids: bool):
     def run(batches):
         part, enc, seen = TaskContext.get().partitionId(), encoder(path), np.zeros(window + 1, dtype=np.int64)
         for batch in batches:
-            for start, texts in some_at_a_time(batch.column("text")):
-                raw = [x + END for x in enc.ids(texts)]
-                doc, at, length, rank, crc, total, ids = [], [], [], [], [], [], []
-                for i, x in enumerate(raw):
-                    n = len(x) // 4
-                    for a in range(0, n, window):
-                        piece = x[4 * a : 4 * (a + window)]
-                        k = len(piece) // 4
-                        doc.append(i)
-                        at.append(a)
-                        length.append(k)
-                        rank.append(seen[k])
-                        seen[k] += 1
-                        crc.append(zlib.crc32(piece))
-                        total.append(n)
-                        if keep_ids:
-                            ids.append(piece)
-                own = batch.column("doc_id").slice(start, len(texts)).take(pa.array(doc, pa.int64()))
+            for start, texts in slices(batch.column("text")):
+                flat, n = enc.of(texts)
+                raw = memoryview(flat.astype("<u4").tobytes())
+                windows = -(-n // window)
+                doc = np.repeat(np.arange(len(n)), windows)
+                at = (np.arange(len(doc)) - np.repeat(np.cumsum(windows) - windows, windows)) * window
+                length = np.minimum(window, n[doc] - at)
+                first = (np.cumsum(n) - n)[doc] + at
+                cuts = list(zip((4 * first).tolist(), (4 * (first + length)).tolist(), strict=True))
+                crc = [zlib.crc32(raw[a:b]) for a, b in cuts]
+                ids = [raw[a:b].tobytes() for a, b in cuts] if keep_ids else []
+                rank = np.empty(len(doc), dtype=np.int64)
+                order = np.argsort(length, kind="stable")
+                lengths, begins, counts = np.unique(length[order], return_index=True, return_counts=True)
+                rank[order] = np.arange(len(doc)) - np.repeat(begins - seen[lengths], counts)
+                seen[lengths] += counts
+                total = n[doc]
+                own = batch.column("doc_id").slice(start, len(texts)).take(pa.array(doc))
                 columns = [own, *(pa.array(x, pa.int64()) for x in (at, length, crc, total)), pa.array([part] * len(at), pa.int32()), pa.array(rank, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.binary())] * keep_ids, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "_part", "_rank"] + ["ids"] * keep_ids)
 

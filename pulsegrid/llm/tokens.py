@@ -1,18 +1,14 @@
 """Token ids of whole texts, as the tokenizers library gives them, at the speed of a table look-up.
 
-A byte-level BPE first cuts text into pieces by a fixed pattern and then merges bytes within each piece. Pieces repeat,
-so each distinct piece goes through the library's model once and is looked up from then on. Runs of pieces between two
-single spaces are looked up first, as a space that follows a non-blank always begins a piece. The tables hold a bounded
-number of characters and start afresh beyond it. Texts with any character outside the plain set below, or with the
-vocabulary's special strings, are encoded whole by the library.
+The library's own model merges the bytes of each distinct piece; from then on the word it stands in is looked up in a
+table of bounded size, see spans. Texts with any character outside the plain set there, or with the vocabulary's special strings,
+are encoded whole by the library. Ids are held in 16 bits where the vocabulary allows.
 """
 
 from __future__ import annotations
 
-import re
-import struct
 import zlib
-from collections.abc import Iterator
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -21,13 +17,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import stash, table
+from .spans import UNUSUAL, Table, slices
 
 VOCABULARY = "byte_bpe_50k.json"
-END = b"\0\0\0\0"  # id 0, as a little-endian unsigned 32-bit integer
-
-#: Letters, digits and blanks for which the pattern below cuts as the library's own does, whatever the Unicode version.
-UNUSUAL = re.compile("[^\n -~À-ÖØ-öø-ÿ]")
-PIECE = re.compile("'(?:s|t|re|ve|m|ll|d)| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^ \nA-Za-z0-9À-ÖØ-öø-ÿ]+|[ \n]+(?![^ \n])|[ \n]+")
 
 
 def byte_letters() -> dict[int, int]:
@@ -43,68 +35,40 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-class _Pieces(dict):
-    """Piece -> ids."""
-
-    def __init__(self, model, most_chars: int) -> None:
-        self.model, self.most, self.chars, self.letters = model, most_chars, 0, byte_letters()
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
-        out = struct.pack(f"<{len(ids)}I", *ids)
-        if len(piece) <= LONG:
-            if self.chars > self.most:
-                self.clear()
-                self.chars = 0
-            self.chars += len(piece)
-            self[piece] = out
-        return out
-
-
-class _Spans(dict):
-    """What stands between two spaces -> ids, with the first of the spaces."""
-
-    def __init__(self, pieces: _Pieces, most_chars: int) -> None:
-        self.pieces, self.most, self.chars = pieces, most_chars, 0
-
-    def __missing__(self, span: str) -> bytes:
-        out = b"".join(map(self.pieces.__getitem__, PIECE.findall(" " + span)))
-        if len(span) <= LONG:
-            if self.chars > self.most:
-                self.clear()
-                self.chars = 0
-            self.chars += len(span)
-            self[span] = out
-        return out
-
-
-#: Longer pieces are encoded each time.
-LONG = 48
+#: Words kept by an encoder, in each of two generations.
+WORDS = 300_000
 
 
-class Encoder:
-    """ids() of many texts; one to a Python worker, see encoder()."""
+class Encoder(Table):
+    """Ids of many texts, id 0 after each; one to a Python worker, see encoder()."""
 
-    def __init__(self, path: str, most_chars: int = 6_000_000) -> None:
+    def __init__(self, path: str, most: int = WORDS) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.pieces = _Pieces(self.tokenizer.model, most_chars // 2)
-        self.spans = _Spans(self.pieces, most_chars)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.cutter = self.tokenizer.pre_tokenizer
+        self.letters = {byte: letter for byte, letter in byte_letters().items() if byte}
+        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.end = bytes(self.kind.itemsize)
+        super().__init__([t.content for t in self.tokenizer.get_added_tokens_decoder().values()], most)
+
+    def packed(self, cutter, texts: list[str], most: int = 4096) -> list[bytes]:
+        """The library's ids of texts that cutter cuts; so many to a call, as its own form of ids takes much memory."""
+        kind, out, self.tokenizer.pre_tokenizer = "H" if self.kind.itemsize == 2 else "I", [], cutter
+        for at in range(0, len(texts), most):
+            out += [array(kind, x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts[at : at + most], add_special_tokens=False)]
+        return out
 
-    def one(self, text: str) -> bytes:
-        if UNUSUAL.search(text) or any(x in text for x in self.special):
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-            return struct.pack(f"<{len(ids)}I", *ids)
-        if "  " in text or " \n" in text or "\n " in text:  # longer blanks are cut by what follows them
-            return b"".join(map(self.pieces.__getitem__, PIECE.findall(text)))
-        first, *spans = text.split(" ")
-        return b"".join(map(self.pieces.__getitem__, PIECE.findall(first))) + b"".join(map(self.spans.__getitem__, spans))
+    def of_pieces(self, pieces: list[str]) -> list[bytes]:
+        # one translation for all of them: NUL is in no piece
+        letters = "\0".join(pieces).encode().decode("latin-1").translate(self.letters)
+        return self.packed(None, letters.split("\0")) if pieces else []
 
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers; null counts as empty."""
-        return [self.one(x) if x else b"" for x in texts]
+    def of_texts(self, texts: list[str]) -> list[bytes]:
+        blanks = [i for i, x in enumerate(texts) if not UNUSUAL.search(x) and not any(s in x for s in self.special)]
+        plain = dict(zip(blanks, map(self.of_plain, (texts[i] for i in blanks)), strict=True))
+        rest = iter(self.packed(self.cutter, [x for i, x in enumerate(texts) if i not in plain], 1))
+        return [plain[i] if i in plain else next(rest) for i in range(len(texts))]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -116,27 +80,13 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def some_at_a_time(texts: pa.Array, chars: int = 1_000_000) -> Iterator[tuple[int, list[str | None]]]:
-    """Slices of a column of texts with about so many characters each, one text at least."""
-    some: list[str | None] = []
-    start = n = 0
-    for i, x in enumerate(texts):
-        some.append(s := x.as_py())
-        n += len(s or "")
-        if n >= chars:
-            yield start, some
-            some, start, n = [], i + 1, 0
-    if some:
-        yield start, some
-
-
 # --- Token-ID output -------------------------------------------------------------------------------------------------
 
 #: The file format: small row groups and pages with page indexes, so that a reader that wants some documents' tokens,
 #: or metadata only, fetches little else. Ids are dictionary-coded (at most 16 bits each, before compression); the second
 #: format version codes the ascending metadata columns by their deltas where a dictionary doesn't pay.
 FORMAT = {
-    "compression": "zstd", "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "true", "parquet.block.size": str(32 << 20),
+    "compression": "zstd", "parquet.compression.codec.zstd.level": "1", "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "true", "parquet.block.size": str(32 << 20),
     "parquet.page.size": str(256 << 10), "parquet.page.row.count.limit": "2000", "parquet.dictionary.page.size": str(1 << 20), "parquet.enable.dictionary#doc_id": "false", "parquet.enable.dictionary#part_start": "false",
 }
 
@@ -146,11 +96,10 @@ def _encoded(path: str):
         part, at, enc = TaskContext.get().partitionId(), 0, encoder(path)
         for batch in batches:
             names = [n for n in batch.schema.names if n != "text"]
-            for start, texts in some_at_a_time(batch.column("text")):
-                raw = [x + END for x in enc.ids(texts)]
-                n = np.array([len(x) // 4 for x in raw], dtype=np.int64)
+            for start, texts in slices(batch.column("text")):
+                flat, n = enc.of(texts)
                 ends = np.cumsum(n)
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(np.frombuffer(b"".join(raw), dtype="<i4"), pa.int32()))
+                ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(flat.astype(np.int32)))
                 own = batch.slice(start, len(texts))
                 yield pa.RecordBatch.from_arrays(
                     [own.column(x) for x in names] + [pa.array(np.full(len(n), part, dtype=np.int32)), pa.array(at + ends - n), pa.array(n), ids], [*names, "part", "part_start", "n_tokens", "ids"]
