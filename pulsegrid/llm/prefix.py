@@ -3,7 +3,7 @@
 A byte-pair encoding is settled by its neighbours: a sequence of tokens is the encoding of its bytes just when each
 adjacent pair is the encoding of the pair's own bytes. So the last token of a prefix is the one that ends there and forms
 such a pair with the last token of the prefix before it, and the prefix's count is one more than that one's. One
-pass over a piece thus counts every prefix of it. The counts of a text are stored as differences, one byte to each byte of the text, and
+pass over a piece, with an automaton that names the tokens ending at each byte, thus counts every prefix of it. The counts of a text are stored as differences, one byte to each byte of the text, and
 answer how many tokens a prefix has, or how much of a text fits a budget, without encoding anything again.
 
 Counts are exact for prefixes that end at a character; inside a character they are those of the bytes so far.
@@ -15,7 +15,11 @@ result; other columns are not used.
 from __future__ import annotations
 
 import json
+from array import array
+from collections.abc import Iterable, Iterator
+from operator import sub
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -23,9 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .tokens import LONG, PIECE, UNUSUAL, byte_letters, vocabulary_path
+from .spans import PIECE, UNUSUAL, Table, slices
+from .tokens import byte_letters, vocabulary_path
 
 LIMIT = 1024
+#: Words kept by a worker, in each of two generations, and pairs of tokens of which it is known whether they fit.
+WORDS, FITS = 300_000, 300_000
 
 
 class Merges:
@@ -37,15 +44,18 @@ class Merges:
         raw = {chr(letter): byte for byte, letter in byte_letters().items()}
         of = lambda token: bytes(raw[c] for c in token)
         names = {of(t): i for t, i in spec["model"]["vocab"].items() if all(c in raw for c in t)}
-        self.id, self.longest = names, max(map(len, names))
-        self.rank: dict[tuple[int, int], int] = {}
+        self.rank: dict[int, int] = {}
         self.parts: dict[int, tuple[int, int, int]] = {}
         for rank, merge in enumerate(spec["model"]["merges"]):
             a, b = (of(x) for x in (merge.split(" ") if isinstance(merge, str) else merge))
-            self.rank[names[a], names[b]] = rank
+            self.rank[names[a] << 24 | names[b]] = rank
             self.parts[names[a + b]] = (rank, names[a], names[b])
         self.special = [t["content"] for t in spec["added_tokens"]]
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.tokens = ahocorasick.Automaton()
+        for token, i in names.items():
+            self.tokens.add_word(token.decode("latin-1"), (i, len(token)))
+        self.tokens.make_automaton()
+        self.fits: dict[int, bool] = {}
         self.edges: dict[tuple[int, int], list[tuple[int, float]]] = {}
 
     def edge(self, token: int, side: int) -> list[tuple[int, float]]:
@@ -62,100 +72,102 @@ class Merges:
 
     def pair(self, a: int, b: int) -> bool:
         """Whether a then b is the encoding of their bytes: no merge across their border comes before those that form them."""
-        found = self.fits.get((a, b))
-        if found is None:
-            found, rank = True, self.rank
-            for x, until_x in self.edge(a, 1):
-                for y, until_y in self.edge(b, 0):
-                    r = rank.get((x, y))
-                    # of equal merges the left one goes first: inside a before the border, at the border before those inside b
-                    if r is not None and r < until_x and r <= until_y:
-                        found = False
-            if len(self.fits) > 500_000:
-                self.fits.clear()
-            self.fits[a, b] = found
+        found, rank, right = True, self.rank, self.edge(b, 0)
+        for x, until_x in self.edge(a, 1):
+            for y, until_y in right:
+                r = rank.get(x << 24 | y)
+                # of equal merges the left one goes first: inside a before the border, at the border before those inside b
+                if r is not None and r < until_x and r <= until_y:
+                    found = False
+        if len(self.fits) >= FITS:
+            self.fits.clear()
+        self.fits[a << 24 | b] = found
         return found
 
-    def counts(self, piece: bytes) -> list[int]:
-        """The number of tokens of each prefix of a piece, from one byte on."""
-        n, longest, ids, pair = len(piece), self.longest, self.id, self.pair
-        last, count = [-1] * (n + 1), [0] * (n + 1)
-        for end in range(1, n + 1):
-            for start in range(max(0, end - longest), end):
-                token = ids.get(piece[start:end])
-                if token is not None and (start == 0 or pair(last[start], token)):
-                    last[end], count[end] = token, count[start] + 1
-                    break
-        return count[1:]
-
-
-class Prefixes:
+    def counts(self, pieces: Iterable[bytes]) -> Iterator[list[int]]:
+        """For each piece the number of tokens of each prefix, from none on; the list is good until the next one is taken.
+
+        The automaton names the tokens that end at each byte, the longest first. Of pieces in ascending order, what a piece
+        has in common with the one before it isn't counted again.
+        """
+        before, last, count, fits, pair, tokens = b"", [0], [0], self.fits, self.pair, self.tokens.iter
+        for piece in pieces:
+            n, done = len(piece), 0
+            while done < n and done < len(before) and piece[done] == before[done]:
+                done += 1
+            before = piece
+            if len(last) <= n:
+                last += [0] * (n + 1 - len(last))
+                count += [0] * (n + 1 - len(count))
+            for at, (token, size) in tokens(piece.decode("latin-1")):
+                if at >= done:
+                    start = at + 1 - size
+                    if start:
+                        ok = fits.get(last[start] << 24 | token)
+                        if ok is None:
+                            ok = pair(last[start], token)
+                        if not ok:
+                            continue
+                    done = at + 1
+                    last[done], count[done] = token, count[start] + 1
+            yield count[: n + 1]
+
+
+class Prefixes(Table):
     """Differences of the counts at successive bytes of a text, as signed bytes."""
 
-    def __init__(self, path: str, most_chars: int = 3_000_000) -> None:
+    kind = np.dtype("i1")
+
+    def __init__(self, path: str, most: int = WORDS) -> None:
         import public_tokenizers
 
-        self.merges, self.most, self.chars = Merges(path), most_chars, 0
+        self.merges = Merges(path)
         self.cut = regex.compile(public_tokenizers.PATTERN).findall
-        self.known: dict[str, bytes] = {}
-
-    @staticmethod
-    def steps(counts: list[int]) -> bytes:
-        return np.diff(np.array([0, *counts])).astype(np.int8).tobytes()
-
-    def piece(self, piece: str) -> bytes:
-        out = self.known.get(piece)
-        if out is None:
-            counts = self.merges.counts(piece.encode())
-            if piece in ("'re", "'ve", "'ll"):  # before its last letter it is two pieces
-                counts[1] = 2
-            out = self.steps(counts)
-            if len(piece) <= LONG:
-                if self.chars > self.most:
-                    self.known.clear()
-                    self.chars = 0
-                self.chars += len(piece)
-                self.known[piece] = out
+        super().__init__(self.merges.special, most)
+
+    def of_pieces(self, pieces: list[str]) -> list[bytes]:
+        raw = [x.encode() for x in pieces]
+        order = sorted(range(len(raw)), key=raw.__getitem__)
+        out = [b""] * len(raw)
+        for i, count in zip(order, self.merges.counts(map(raw.__getitem__, order)), strict=True):
+            if pieces[i] in ("'re", "'ve", "'ll"):  # before its last letter it is two pieces
+                count[2] = 2
+            out[i] = array("b", map(sub, count[1:], count)).tobytes()
         return out
 
+    def of_lines(self, text: str) -> bytes:
+        return self.plain(text)
+
+    def of_texts(self, texts: list[str]) -> list[bytes]:
+        return list(map(self.whole, texts))
+
     def plain(self, text: str) -> bytes:
-        usual, known = not UNUSUAL.search(text), self.known
-        pieces = PIECE.findall(text) if usual else self.cut(text)
-        if usual and not ("  " in text or " \n" in text or "\n " in text or "\n\n" in text):
-            return b"".join([known.get(x) or self.piece(x) for x in pieces])
+        pieces = PIECE.findall(text) if not UNUSUAL.search(text) else self.cut(text)
+        own = dict(zip(distinct := list(dict.fromkeys(pieces)), self.pieces.get(distinct, self.of_pieces), strict=True))
         # where the last of a run of blanks begins the next piece, a prefix that ends with it still has the run as one piece
         out, previous, before, total = [], "", 0, 0
         for x in pieces:
-            own = total + np.cumsum(np.frombuffer(known.get(x) or self.piece(x), np.int8), dtype=np.int64)
+            steps = np.frombuffer(own[x], np.int8).astype(np.int64)
+            counts = total + np.cumsum(steps)
+            upto = total + int(steps.sum())
             if previous.isspace() and x[0].isspace():
                 first = len(x[0].encode())
-                own_total = own[-1]
-                own[:first] = np.array(self.merges.counts((previous + x[0]).encode())[-first:]) + before
-            else:
-                own_total = own[-1]
-            out.append(own)
-            previous, before, total = x, total, int(own_total)
-        return np.diff(np.concatenate(out), prepend=0).astype(np.int8).tobytes()
-
-    def of(self, text: str | None) -> bytes:
+                (run,) = self.merges.counts([(previous + x[0]).encode()])
+                counts[:first] = np.array(run[-first:]) + before
+            out.append(counts)
+            previous, before, total = x, total, upto
+        return np.diff(np.concatenate([np.zeros(1, np.int64), *out])).astype(np.int8).tobytes()
+
+    def whole(self, text: str) -> bytes:
         """Special strings are one token once complete, and plain text until then."""
-        if not text:
-            return b""
-        at = [(text.find(s), s) for s in self.merges.special if s in text]
-        if not at:
-            return self.plain(text)
         out: list[bytes] = []
-        while at:
+        while at := [(text.find(s), s) for s in self.special if s in text]:
             start, special = min(at)
             before, partly = text[:start], self.plain(text[: start + len(special) - 1])
-            done = len(before.encode())
-            inside = np.frombuffer(partly, np.int8)
-            now, upto = int(inside.astype(np.int64).sum()), int(np.frombuffer(self.plain(before), np.int8).astype(np.int64).sum())
+            now, upto = (int(np.frombuffer(x, np.int8).sum(dtype=np.int64)) for x in (partly, self.plain(before)))
             # the step of the special string's last byte leads from the plain count to one more than the count before it
             out += [partly, np.array([upto + 1 - now], np.int8).tobytes()]
-            assert len(partly) == done + len(special.encode()) - 1
             text = text[start + len(special) :]
-            at = [(text.find(s), s) for s in self.merges.special if s in text]
         return b"".join([*out, self.plain(text)]) if text else b"".join(out)
 
 
@@ -185,17 +197,17 @@ def _counted(path: str, keep: bool):
     def run(batches):
         of = prefixes(path).of
         for batch in batches:
-            n_bytes, n_tokens, cut, kept = [], [], [], []
-            for x in batch.column("text"):
-                steps = of(x.as_py())
-                n = count_at(steps, len(steps))
-                n_bytes.append(len(steps))
-                n_tokens.append(n)
-                cut.append(longest_within(steps, LIMIT) if n > LIMIT else len(steps))
-                if keep:
-                    kept.append(steps)
-            columns = [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in (n_bytes, n_tokens, cut))]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.binary())] * keep, ["doc_id", "n_bytes", "n_tokens", "limit_bytes"] + ["steps"] * keep)
+            for start, texts in slices(batch.column("text")):
+                steps, n_bytes = of(texts)
+                ends = np.cumsum(n_bytes)
+                upto = np.concatenate(([0], np.cumsum(steps, dtype=np.int64)))
+                n_tokens = upto[ends] - upto[ends - n_bytes]
+                cut = n_bytes.copy()
+                for i in np.flatnonzero(n_tokens > LIMIT).tolist():
+                    cut[i] = longest_within(steps[ends[i] - n_bytes[i] : ends[i]].tobytes(), LIMIT)
+                columns = [batch.column("doc_id").slice(start, len(texts)), *map(pa.array, (n_bytes, n_tokens, cut))]
+                kept = [pa.array([steps[b - n : b].tobytes() for b, n in zip(ends.tolist(), n_bytes.tolist(), strict=True)], pa.binary())] if keep else []
+                yield pa.RecordBatch.from_arrays(columns + kept, ["doc_id", "n_bytes", "n_tokens", "limit_bytes"] + ["steps"] * keep)
 
     return run
 

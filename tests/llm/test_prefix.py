@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from pulsegrid.llm import prefix
@@ -11,15 +13,16 @@ from .test_tokens_packing import TEXTS, library  # noqa: F401
 
 @pytest.fixture(scope="module")
 def counts():
-    return prefix.Prefixes(vocabulary_path(), 500)
+    return prefix.Prefixes(vocabulary_path(), 50)
 
 
 def test_every_prefix(counts, library):  # noqa: F811
     rng = random.Random(5)
-    bits = ["a", "the", "S", "é", "'s", "'ll", "'re", "'v", "e", "'", "1", "23", " ", " ", "  ", "\n", "!", "ing", "\t", "日", "\U0001f600", "tion", "<|endoftext|>", "<|end"]
+    bits = ["a", "the", "S", "é", "'s", "'ll", "'re", "'v", "e", "'", "1", "23", " ", " ", "  ", "\n", "!", "ing", "\t", ". ", ", ", "\n\n", "日", "\U0001f600", "tion", "<|endoftext|>", "<|end"]
     texts = [t for t in TEXTS if t] + ["".join(rng.choice(bits) for _ in range(rng.randint(1, 9))) for _ in range(700)] + ["x" * 300, "ab" * 200, "qwkjzx8fhq" * 20]
-    for text in texts:
-        steps = counts.of(text)
+    flat, sizes = counts.of(pa.array(texts))
+    for text, steps in zip(texts, np.split(flat, np.cumsum(sizes)[:-1]), strict=True):
+        steps = steps.tobytes()
         assert len(steps) == len(text.encode())
         for n in range(1, len(text) + 1):
             assert prefix.count_at(steps, len(text[:n].encode())) == len(library(text[:n])), text[:n]
@@ -27,7 +30,7 @@ def test_every_prefix(counts, library):  # noqa: F811
 
 def test_budget_without_encoding(counts, library):  # noqa: F811
     text = "the quick brown fox's den is 12345 miles away, isn't it?  yes\n\n no" * 5
-    steps = counts.of(text)
+    steps = counts.of(pa.array([text]))[0].tobytes()
     for budget in (0, 1, 7, 50, 1000):
         fits = [n for n in range(len(text) + 1) if len(library(text[:n])) <= budget]
         assert prefix.longest_within(steps, budget) == max(fits)
