@@ -50,7 +50,14 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float
 
 
 def mix(docs: DataFrame, size: str, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED) -> DataFrame:
-    """docs (doc_id, source, a size column, others) with source_size, target and copies added, one row per row of docs."""
+    """docs (doc_id, source, a size column, others) with source_size, target and copies, one row per row of docs.
+
+    The three take the place of columns of docs that have their names, unless that is the size column, which is refused.
+    """
+    added = {"source_size", "target", "copies"}
+    if size.lower() in added:
+        raise ValueError(f"the size column can't be one that mix() adds: {size}")
+    docs = docs.drop(*(c for c in docs.columns if c.lower() in added))
     tie, rank = fresh(docs, "_tie"), fresh(docs, "_rank")
     rows = ranked(docs.withColumn(tie, F.xxhash64(*(F.col(c) for c, kind in docs.dtypes if not kind.startswith("map")))), ["source"], [size, "doc_id", tie], rank, "mix")
     per = rows.groupBy("source").agg(F.sum(size).alias("source_size"))

@@ -93,7 +93,7 @@ def _pieces(path: str, window: int, keep_ids: bool):
     """Cut documents into pieces; of each, its rank among the partition's full windows or rests of the same length."""
 
     def run(batches):
-        part, enc, seen = TaskContext.get().partitionId(), encoder(path), np.zeros(window + 1, dtype=np.int64)
+        part, enc, seen, rows = TaskContext.get().partitionId(), encoder(path), np.zeros(window + 1, dtype=np.int64), 0
         for batch in batches:
             for start, texts in slices(batch.column("text")):
                 flat, n = enc.of(texts)
@@ -105,7 +105,6 @@ def _pieces(path: str, window: int, keep_ids: bool):
                 first = (np.cumsum(n) - n)[doc] + at
                 cuts = list(zip((4 * first).tolist(), (4 * (first + length)).tolist(), strict=True))
                 crc = [zlib.crc32(raw[a:b]) for a, b in cuts]
-                ids = [raw[a:b].tobytes() for a, b in cuts] if keep_ids else []
                 rank = np.empty(len(doc), dtype=np.int64)
                 order = np.argsort(length, kind="stable")
                 lengths, begins, counts = np.unique(length[order], return_index=True, return_counts=True)
@@ -113,8 +112,11 @@ def _pieces(path: str, window: int, keep_ids: bool):
                 seen[lengths] += counts
                 total = n[doc]
                 own = batch.column("doc_id").slice(start, len(texts)).take(pa.array(doc))
-                columns = [own, *(pa.array(x, pa.int64()) for x in (at, length, crc, total)), pa.array([part] * len(at), pa.int32()), pa.array(rank, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.binary())] * keep_ids, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "_part", "_rank"] + ["ids"] * keep_ids)
+                columns = [own, *map(pa.array, (at, length, crc, total, (part << 33) + rows + doc)), pa.array([part] * len(at), pa.int32()), pa.array(rank)]
+                if keep_ids:  # pieces stand in the order of the ids
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.append(first, len(flat)), pa.int32()), pa.array(flat.astype(np.int32))))
+                rows += len(n)
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "row", "_part", "_rank"] + ["ids"] * keep_ids)
 
     return run
 
@@ -143,9 +145,12 @@ def _placed(runs: list[tuple[int, int, int, int, int, int]], window: int, full:
 
 
 def pack(docs: DataFrame, path: str, window: int = WINDOW, keep_ids: bool = False) -> DataFrame:
-    """Pieces of docs (doc_id, text) with their sequence_id and offset; with keep_ids also their ids (binary)."""
-    kind, more = docs.schema["doc_id"].dataType.simpleString(), ", ids binary" * keep_ids
-    columns = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long"
+    """Pieces of docs (doc_id, text) with their sequence_id and offset; with keep_ids also their ids (array of int).
+
+    ``row`` tells the rows of docs apart: pieces of one row have it in common, copies of a document don't.
+    """
+    kind, more = docs.schema["doc_id"].dataType.simpleString(), ", ids array<int>" * keep_ids
+    columns = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, row long"
     pieces = stash(docs.select("doc_id", "text").mapInArrow(_pieces(path, window, keep_ids), f"{columns}, _part int, _rank long{more}"), "pieces")
     counts = pieces.groupBy("_part", "length").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

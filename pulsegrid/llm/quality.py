@@ -135,12 +135,13 @@ def n_chars(docs: DataFrame) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
-    """Fit on at most ``sample`` labelled documents of docs (doc_id, text, n_chars)."""
+    """Fit on at most ``sample`` labelled documents of docs (doc_id, text, n_chars); of several under one doc_id, on one of them."""
     own = labels.select(F.col("doc_id").cast("string").alias("_id"), F.col("quality").cast("int").alias("quality")).filter("_id IS NOT NULL AND quality IS NOT NULL")
     own = own.filter(~held_out(F.col("_id"))).groupBy("_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     named = docs.select(docs["doc_id"].cast("string").alias("_id"), docs["text"], n_chars(docs).alias("n_chars"))
     found = named.join(F.broadcast(own), "_id").mapInArrow(_featured, "_id string, quality int, index binary, value binary")  # the sample's bound is its size
-    got = sorted({(r["_id"], bytes(r["index"]), bytes(r["value"]), r["quality"]) for r in found.limit(2 * sample).collect()})
+    one = found.groupBy("_id", "quality").agg(F.min(F.struct("index", "value")).alias("x")).select("_id", "quality", "x.*")  # at most ``sample`` rows
+    got = sorted((r["_id"], bytes(r["index"]), bytes(r["value"]), r["quality"]) for r in one.collect())
     rows = [(np.frombuffer(i, np.int32), np.frombuffer(v, np.float32)) for _, i, v, _ in got]
     return fit(rows, np.array([q for *_, q in got], dtype=np.float32))
 

@@ -18,6 +18,7 @@ from functools import cache
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import fresh, table
 
@@ -146,19 +147,19 @@ def scan_text(text: str | None, vocabulary) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _scanned(path: str, redacted: bool):
+def _scanned(path: str, redacted: bool, text_column: str, out: str):
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches):
         vocabulary = ranks(path)
         for batch in batches:
             spans, texts = [], []
-            for x in batch.column("_text"):
+            for x in batch.column(text_column):
                 spans.append(found := scan_text(text := x.as_py(), vocabulary))
                 texts.append(blank(text, found) if redacted else None)
-            names = [n for n in batch.schema.names if n != "_text"]
+            names = [n for n in batch.schema.names if n != text_column]
             column = pa.array(texts, pa.string()) if redacted else pa.array([[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in s] for s in spans], kind)
-            yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [column], [*names, "_found"])
+            yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [column], [*names, out])
 
     return run
 
@@ -184,19 +185,15 @@ def vocabulary_path(name: str = "byte_bpe_50k.tiktoken") -> str:
 def scan(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and spans, an array of (kind, start, end) in order."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").alias("_text")).mapInArrow(_scanned(path, False), f"doc_id {kind}, _found {SPANS}").withColumnRenamed("_found", "spans")
+    return docs.select("doc_id", "text").mapInArrow(_scanned(path, False, "text", "spans"), f"doc_id {kind}, spans {SPANS}")
 
 
 def redact(docs: DataFrame, path: str) -> DataFrame:
     """docs, all columns and rows, with secrets in their texts replaced by a mark, and n_chars made to fit where it is there."""
-    from pyspark.sql.types import StringType, StructField, StructType
-
-    safe = docs.withColumnRenamed("text", "_text") if "_text" not in docs.columns else docs.withColumnRenamed("_text", fresh(docs, "_text")).withColumnRenamed("text", "_text")
-    rest = [f for f in safe.schema.fields if f.name != "_text"]
-    out = safe.mapInArrow(_scanned(path, True), StructType([*rest, StructField("_found", StringType())]))
-    at = safe.columns.index("_text")
-    order = [*[f.name for f in rest[:at]], "_found", *[f.name for f in rest[at:]]]
-    out = out.select(*order).toDF(*docs.columns)
+    found = fresh(docs, "_found")
+    rest = [f for f in docs.schema.fields if f.name != "text"]
+    out = docs.mapInArrow(_scanned(path, True, "text", found), StructType([*rest, StructField(found, StringType())]))
+    out = out.withColumnRenamed(found, "text").select(*docs.columns)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -5,7 +5,7 @@ no ring table, and adding a shard moves exactly the keys whose next jump lands o
 drives the walk is done in 32-bit halves, because ANSI SQL arithmetic refuses to wrap.
 
 Defined results: a null doc_id hashes as a key of its own; equal doc_ids share a shard; slots within a shard go by
-doc_id, then by size and checksum; null text counts as no bytes; an empty table gives an empty result; a third of all
+doc_id, then by size and checksum; null text counts as no bytes; an empty table gives an empty result; other columns are carried along, but shard(), as it says, replaces those named as its own; a third of all
 rows under one doc_id or in one shard is no problem, since a shard's slots are counted over many partitions.
 """
 
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ranked, table
+from .common import fresh, ranked, table
 
 SHARDS = 24
 
@@ -58,10 +58,18 @@ def stable_key(column: Column) -> Column:
 
 
 def shard(docs: DataFrame, key: str, order: list[str], shards: int = SHARDS) -> DataFrame:
-    """docs with shard, slot (0, 1, ... within the shard by key and order) and grown_shard (with one shard more)."""
-    found = docs.withColumn("_jump", jump(stable_key(F.col(key)), shards))
-    grown = F.when(F.col("_jump.next") == shards, F.lit(shards)).otherwise(F.col("_jump.shard"))
-    found = found.withColumns({"shard": F.col("_jump.shard").cast("int"), "grown_shard": grown.cast("int")}).drop("_jump")
+    """docs with shard, slot (0, 1, ... within the shard by key and order) and grown_shard (with one shard more).
+
+    The three take the place of columns of docs that have their names, unless these are key or in order, which is refused.
+    """
+    added = {"shard", "slot", "grown_shard"}
+    if clash := added & {x.lower() for x in (key, *order)}:
+        raise ValueError(f"key and order can't be columns that shard() adds: {sorted(clash)}")
+    docs = docs.drop(*(c for c in docs.columns if c.lower() in added))
+    walk = fresh(docs, "_jump")
+    found = docs.withColumn(walk, jump(stable_key(F.col(key)), shards))
+    grown = F.when(F.col(walk)["next"] == shards, F.lit(shards)).otherwise(F.col(walk)["shard"])
+    found = found.withColumns({"shard": F.col(walk)["shard"].cast("int"), "grown_shard": grown.cast("int")}).drop(walk)
     return ranked(found, ["shard"], [key, *order], "slot", "shards")
 
 

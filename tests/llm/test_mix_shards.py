@@ -104,3 +104,15 @@ def test_op9_law_and_slots(spark, sf, tmp_path, query):
         slots[r.shard].append(r.slot)
     for s in slots.values():
         assert sorted(s) == list(range(len(s)))
+
+
+def test_shard_and_mix_replace_columns_of_their_names(spark):
+    docs = spark.createDataFrame([(i, "a", i + 1, "w", "x", "y", "z", "v") for i in range(40)], "doc_id long, source string, size long, _jump string, shard string, slot string, Target string, copies string")
+    out = shards.shard(docs, "doc_id", ["size"])
+    assert sorted(out.columns) == sorted([*docs.columns, "grown_shard"]) and {(r._jump, r.Target) for r in out.collect()} == {("w", "z")}
+    assert [dict(out.dtypes)[c] for c in ("shard", "slot")] == ["int", "bigint"]
+    out = mix.mix(docs, "size")
+    assert sorted(out.columns) == sorted([c for c in docs.columns if c != "Target"] + ["source_size", "target"]) and {r.slot for r in out.collect()} == {"y"}
+    for wrong in (lambda: shards.shard(docs, "slot", []), lambda: mix.mix(docs, "copies")):
+        with pytest.raises(ValueError):
+            wrong()
