@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame; run() writes each as Parquet in the shared folder and reads
 it again for the next. Rejected documents go, of each near-duplicate class the document of the least doc_id stays, secrets in the
 texts are replaced by a mark, sources are mixed to their target weights (a document drawn twice stands there twice), and
-the texts' token ids are packed into sequences. All stages but the last return the columns of documents.
+the texts' token ids are packed into sequences: a row of the last table is a piece of a document, its ids and its place. All stages but the last return the columns of documents.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, tokens.vocabulary_path())
+    return packing.pack(docs, tokens.vocabulary_path(), keep_ids=True)
 
 
 STAGES = [("quality classifier", quality_classifier), ("n-gram Jaccard join", near_duplicates), ("secret scans", secret_scan), ("mixing sources to target weights", source_mix), ("packing", packed)]
@@ -44,4 +44,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stash(stage(spark, docs, sf_dir), f"pipeline-{name.split()[0]}")
-    return stash(STAGES[-1][1](spark, docs, sf_dir), "pipeline-packed")
+    return stash(STAGES[-1][1](spark, docs, sf_dir), "pipeline-packed", tokens.FORMAT)
