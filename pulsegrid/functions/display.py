@@ -29,6 +29,14 @@ def iso(ts: Column, zone: str = "Z") -> Column:
     return F.concat(F.when(precise.endswith(".000000"), plain).otherwise(precise), F.lit(zone))
 
 
+def day(t: Column) -> Column:
+    return F.date_format(t, "dd.MM.yyyy")
+
+
+def long_form(t: Column) -> Column:
+    return F.date_format(t, "dd MMMM yyyy, HH:mm")
+
+
 def xml(c: Column) -> Column:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         c = F.replace(c, F.lit(a), F.lit(b))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import accelerates, confidence, velocity
+from ..tables import numbered
 
 
 def latest(df: DataFrame, key: str, order: list[str], columns: list[str]) -> DataFrame:
@@ -45,8 +46,7 @@ def setting(settings: DataFrame, key: str, default: float) -> DataFrame:
 
 def unique_slugs(df: DataFrame, slug: str, order: str) -> DataFrame:
     """slug-1, slug-2, ... for all but the first of equal slugs. A suffixed slug that another row has by nature gets its id too."""
-    n = F.row_number().over(Window.partitionBy(slug).orderBy(order)) - 1
-    out = df.withColumn("_n", n).withColumn("unique_slug", F.when(F.col("_n") == 0, F.col(slug)).otherwise(F.concat(F.col(slug), F.lit("-"), F.col("_n"))))
+    out = numbered(df, slug, order, "_n", "slugs").withColumn("unique_slug", F.when(F.col("_n") == 0, F.col(slug)).otherwise(F.concat(F.col(slug), F.lit("-"), F.col("_n"))))
     natural = df.select(F.col(slug).alias("unique_slug")).distinct().withColumn("_taken", F.lit(True))
     out = out.join(natural, "unique_slug", "left")
     clash = (F.col("_n") > 0) & F.col("_taken").isNotNull()

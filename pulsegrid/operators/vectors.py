@@ -1,4 +1,4 @@
-"""Nearest neighbours by cosine: exact in blocks, by hashing beyond that; related trends, novelty, leader clusters."""
+"""Nearest neighbours by cosine: exact in blocks, or in the nearest cells of an index; related trends, novelty, leader clusters."""
 
 from __future__ import annotations
 
@@ -7,16 +7,16 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import cosine
 from ..tables import kept
 
-#: Queries travel in blocks of so many vectors; each block passes over the base once.
-BLOCK = 4096
+#: Vectors in a block; a task compares one block of queries with one of the base.
+BLOCK = 8192
+#: An index has at most so many cells, and is fitted on at most so many vectors.
+CELLS, SAMPLE = 1024, 20_000
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -24,68 +24,110 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def _local(ids: np.ndarray, queries: np.ndarray, k: int, exclude_self: bool, since: np.ndarray | None):
-    """The k nearest within each batch, for each query: what one task adds to the merge is k rows a query and batch at most."""
+def _local(k: int, exclude_self: bool, hours: float | None):
+    """The k nearest of one block for each query of another: a task adds at most k rows a query to the merge."""
 
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows or not len(ids):
-                continue
-            own, distance = batch.column("id").to_numpy(), 1 - queries @ matrix(batch.column("embedding")).T
-            if exclude_self:
-                distance[ids[:, None] == own[None, :]] = np.inf
-            if since is not None:
-                distance[batch.column("ts").to_numpy()[None, :] < since[:, None]] = np.inf
+    def run(queries: pa.Table, base: pa.Table) -> pa.Table:
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if queries.num_rows and base.num_rows:
+            ids, own = queries["id"].to_numpy(), base["id"].to_numpy()
+            q, m = matrix(queries["embedding"].combine_chunks()), matrix(base["embedding"].combine_chunks()).T
             n = min(k, len(own))
-            best = np.argpartition(distance, n - 1, axis=1)[:, :n]
-            found = np.take_along_axis(distance, best, axis=1)
-            rows = np.repeat(np.arange(len(ids)), n)
-            there = np.isfinite(found.ravel())
-            yield pa.RecordBatch.from_arrays([pa.array(ids[rows][there]), pa.array(own[best.ravel()][there]), pa.array(found.ravel()[there])], ["query_id", "id", "distance"])
+            for a in range(0, len(ids), 256):
+                some = ids[a : a + 256]
+                distance = 1 - q[a : a + 256] @ m
+                if exclude_self:
+                    distance[some[:, None] == own[None, :]] = np.inf
+                if hours is not None:
+                    distance[base["ts"].to_numpy()[None, :] < queries["ts"].to_numpy()[a : a + 256, None] - hours * 3600] = np.inf
+                best = _least(distance, own, n)
+                found = np.take_along_axis(distance, best, axis=1).ravel()
+                there = np.isfinite(found)
+                out.append((np.repeat(some, n)[there], own[best.ravel()][there], found[there]))
+        return pa.table(dict(zip(("query_id", "id", "distance"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
     return run
 
 
-def nearest(queries: DataFrame, base: DataFrame, k: int, exclude_self: bool = True, block: int = BLOCK, hours: float | None = None) -> DataFrame:
-    """query_id, id, distance, rank: the k nearest of base (id, embedding) for each of queries. Exact, ties by id.
+def _least(distance: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
+    """Places of the n least of each row, of equal ones those of the least ids."""
+    order = np.argsort(ids, kind="stable")
+    return order[np.argsort(distance[:, order], axis=1, kind="stable")[:, :n]]
 
-    With hours, both sides have ts in seconds, and only vectors at most so old as the query allows are considered.
 
-    Blocks of queries go to every task as one matrix of bounded size; the base is scanned once a block and never shuffled.
-    """
-    n = queries.count()
+def _in_cells(queries: DataFrame, base: DataFrame, k: int, exclude_self: bool, hours: float | None, block: int) -> DataFrame:
+    """query_id, id, distance, rank within shared cells. A cell of any size is cut into blocks, and each pair of blocks is a task's."""
+    spark, q, b = queries.sparkSession, kept(queries, "queries"), kept(base, "base")
+    cores = spark.sparkContext.defaultParallelism
+    blocks = lambda df, name, least: df.groupBy("cell").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), least(F.count(F.lit(1)))).cast("int").alias(name))
+    # small cells are cut finer, so that there is a block for each core
+    sizes = blocks(q, "nq", lambda _: F.lit(1)).join(blocks(b, "nb", lambda n: F.least(F.lit(cores), F.ceil(n / 512))), "cell")
+    sizes = F.broadcast(sizes)  # at most CELLS rows
+    place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     columns = ["id", "embedding"] + ["ts"] * (hours is not None)
-    numbered = queries.select(*columns)
-    parts = []
-    for i in range(max(1, -(-n // block))):
-        own = numbered if n <= block else numbered.filter(F.pmod(F.xxhash64("id"), F.lit(-(-n // block))) == i)
-        got = own.toArrow()
-        ids, m = got["id"].to_numpy(), matrix(got["embedding"].combine_chunks())
-        since = None if hours is None else got["ts"].to_numpy() - hours * 3600
-        parts.append(base.select(*columns).mapInArrow(_local(ids, m, k, exclude_self, since), "query_id long, id long, distance double"))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.union(p)
+    q = q.join(sizes, "cell").select("cell", place("nq").alias("qb"), every("nb").alias("bb"), *columns)
+    b = b.join(sizes, "cell").select("cell", every("nq").alias("qb"), place("nb").alias("bb"), *columns)
+    keys = ["cell", "qb", "bb"]
+    found = q.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(_local(k, exclude_self, hours), "query_id long, id long, distance double")
     w = Window.partitionBy("query_id").orderBy("distance", "id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def nearest(queries: DataFrame, base: DataFrame, k: int, exclude_self: bool = True, block: int = BLOCK, hours: float | None = None) -> DataFrame:
+    """query_id, id, distance, rank: the k nearest of base (id, embedding) for each of queries. Exact, ties by id.
+
+    With hours, both sides have ts in seconds, and only vectors at most so old as the query allows are considered. Blocks of both
+    sides meet on the executors; no vector passes through the driver.
+    """
+    columns = ["id", "embedding"] + ["ts"] * (hours is not None)
+    one = F.lit(0).alias("cell")
+    return _in_cells(queries.select(*columns, one), base.select(*columns, one), k, exclude_self, hours, block)
+
+
+def centres(vectors: DataFrame, cells: int, sample: int = SAMPLE, rounds: int = 12) -> np.ndarray:
+    """Unit centres of cells, by spherical k-means over at most ``sample`` vectors, the ones of the least hashes of their ids."""
+    some = vectors.select("id", "embedding").orderBy(F.xxhash64("id"), "id").limit(min(sample, SAMPLE)).toArrow()  # bounded
+    m = matrix(some["embedding"].combine_chunks())
+    if not len(m):
+        return np.zeros((0, 0))
+    found = m[:: max(1, len(m) // min(cells, CELLS))][: min(cells, CELLS)].copy()
+    for _ in range(rounds):
+        own = np.argmax(m @ found.T, axis=1)
+        for c in range(len(found)):
+            if (own == c).any():
+                mean = m[own == c].sum(axis=0)
+                found[c] = mean / (np.linalg.norm(mean) or 1.0)
+    return found
+
+
+def _celled(found: np.ndarray, probes: int):
+    def run(batches):
+        for batch in batches:
+            m = matrix(batch.column("embedding"))
+            near = np.argsort(-(m @ found.T), axis=1, kind="stable")[:, :probes] if len(m) and len(found) else np.zeros((len(m), 0), np.int64)
+            rows = pa.array(np.repeat(np.arange(len(m)), near.shape[1]))
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(rows), batch.column("embedding").take(rows), pa.array(near.ravel().astype(np.int32))], ["id", "embedding", "cell"])
+
+    return run
+
+
+def indexed_nearest(queries: DataFrame, base: DataFrame, k: int, cells: int, probes: int, exclude_self: bool = True, block: int = BLOCK) -> DataFrame:
+    """As nearest(), but each query looks only into the ``probes`` cells with the nearest centres. Every vector of base is in one cell."""
+    found, schema = centres(base, cells), "id long, embedding array<float>, cell int"
+    q = queries.select("id", "embedding").mapInArrow(_celled(found, probes), schema)
+    b = base.select("id", "embedding").mapInArrow(_celled(found, 1), schema)
+    return _in_cells(q, b, k, exclude_self, None, block)
+
+
 def nearest_sql(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
-    """The same as one declarative join, for small tables: Spark streams the base past a broadcast of the queries."""
+    """The same as one declarative join, for tables so small that all pairs may be looked at in one plan."""
     q = queries.select(F.col("id").alias("query_id"), F.col("embedding").alias("q"))
     pairs = base.select("id", "embedding").join(q, F.col("id") != F.col("query_id")).select("query_id", "id", (1 - cosine(F.col("q"), F.col("embedding"))).alias("distance"))
     w = Window.partitionBy("query_id").orderBy("distance", "id")
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def hashed_pairs(vectors: DataFrame, most: float, tables: int = 6, width: float = 0.5, seed: int = 11) -> DataFrame:
-    """Pairs within a cosine distance, by random projections of unit vectors: approximate, for tables too large for nearest()."""
-    v = vectors.select("id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", numHashTables=tables, bucketLength=width, seed=seed).fit(v)
-    joined = model.approxSimilarityJoin(v, v, (2 * most) ** 0.5, "euclid").filter("datasetA.id < datasetB.id")
-    return joined.select(F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b"), (F.col("euclid") ** 2 / 2).alias("distance"))
-
-
 def related(neighbours: DataFrame, clusters: DataFrame, limit: int) -> DataFrame:
     """For each query the nearest clusters other than its own, one row to a cluster. Takes place after the cut to the neighbours."""
     of = clusters.select(F.col("id").alias("_id"), "cluster_id")
@@ -134,7 +176,7 @@ def assign(batch: DataFrame, state: DataFrame, match: Match = shared_words, auto
 
     An item joins the cluster of the first of its k nearest within ``hours`` (one look at each cluster, nearest first) that is
     nearer than ``auto``, or not beyond ``far`` with a reference document that matches; else it founds one. state
-    (id, embedding, ts, cluster_id, reference) is searched in place on the executors; the batch, small by construction, is then put in
+    (id, embedding, ts, cluster_id, reference) is searched on the executors; the batch, which the trigger or BATCH bounds, is then put in
     order by one task that sees itself and k neighbours an item.
     """
     found = nearest(batch, state, k, hours=hours).select("query_id", "id", "distance")
@@ -146,25 +188,40 @@ def assign(batch: DataFrame, state: DataFrame, match: Match = shared_words, auto
 STATE = "id long, embedding array<float>, ts double, cluster_id long, reference string"
 
 
-def grown(state: DataFrame, batch: DataFrame, assigned: DataFrame) -> DataFrame:
-    """The state with a batch's items in it; a cluster's reference is its founder's document."""
+def added(state: DataFrame, batch: DataFrame, assigned: DataFrame) -> DataFrame:
+    """What a batch adds to the state; a cluster's reference is its founder's document, which every item of it carries."""
     own = batch.select("id", "embedding", "ts", "document").join(assigned, "id")
-    founders = own.filter("NOT is_duplicate").select("cluster_id", F.col("document").alias("reference")).unionByName(state.filter("id = cluster_id").select("cluster_id", "reference"))
-    return state.unionByName(own.select("id", "embedding", "ts", "cluster_id").join(founders, "cluster_id", "left").select("id", "embedding", "ts", "cluster_id", "reference"))
+    founders = own.filter("NOT is_duplicate").select("cluster_id", F.col("document").alias("reference"))
+    known = state.groupBy("cluster_id").agg(F.max("reference").alias("reference"))
+    founders = founders.unionByName(known).groupBy("cluster_id").agg(F.max("reference").alias("reference"))
+    return own.select("id", "embedding", "ts", "cluster_id").join(founders, "cluster_id", "left").select("id", "embedding", "ts", "cluster_id", "reference")
+
 
+#: Rows of a batch that leader_clusters() puts in order at a time, about.
+BATCH = 20_000
 
-def leader_clusters(items: DataFrame, batches: int = 1, **how) -> DataFrame:
-    """Leader clusters of a whole table by way of batches in order of arrival, each meeting the state that the ones before left."""
+
+def leader_clusters(items: DataFrame, batches: int | None = None, hours: float = 48, **how) -> DataFrame:
+    """Leader clusters of a whole table by way of batches in order of arrival, each meeting what is live of those before.
+
+    There are as many batches as keep each at about BATCH rows; many rows of one time stay in one batch.
+    """
     spark = items.sparkSession
+    batches = batches or max(1, -(-items.count() // BATCH))
     edges = items.select(F.percentile_approx("ts", [i / batches for i in range(1, batches)] or [1.0], 10000).alias("e")).first()["e"] or []
     edges = sorted(set(edges)) if batches > 1 else []
-    state, lower = spark.createDataFrame([], STATE), None
-    out = None
+    states: list[DataFrame] = []
+    out, lower = None, None
     for upper in [*edges, None]:
         part = items
         part = part if lower is None else part.filter(F.col("ts") > lower)
         part = part if upper is None else part.filter(F.col("ts") <= upper)
-        got = kept(assign(part, state, **how), "clusters")
+        live = spark.createDataFrame([], STATE)
+        for s in states:
+            live = live.unionByName(s)
+        live = live if lower is None else live.filter(F.col("ts") >= lower - hours * 3600)
+        got = kept(assign(part, live, hours=hours, **how), "clusters")
         out = got if out is None else out.unionByName(got)
-        state, lower = kept(grown(state, part, got), "cluster-state"), upper
+        states.append(kept(added(live, part, got), "cluster-state"))
+        lower = upper
     return out

@@ -24,8 +24,10 @@ def reference_texts(news: DataFrame, vectors: DataFrame | None = None) -> DataFr
 
 
 def model_scores(json: DataFrame, key: str = "trend_id", column: str = "response") -> DataFrame:
-    """entity, criticality, opinion from a model's JSON; 30, 30, false where a field, or all of it, can't be read."""
-    parsed = F.from_json(column, "entity_score double, criticality_score double, is_opinion boolean")
+    """entity, criticality, opinion from a model's JSON; 30, 30, false where a field, or all of it, can't be read. A list counts by its first element."""
+    fields = "entity_score double, criticality_score double, is_opinion boolean"
+    first = F.try_element_at(F.from_json(column, f"array<struct<{fields}>>"), F.lit(1))
+    parsed = F.when(F.ltrim(column).startswith("["), first).otherwise(F.from_json(column, fields))
     return json.select(key, F.coalesce(parsed["entity_score"], F.lit(30.0)).alias("entity"), F.coalesce(parsed["criticality_score"], F.lit(30.0)).alias("criticality"), F.coalesce(parsed["is_opinion"], F.lit(False)).alias("opinion"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import display as D
@@ -119,6 +119,31 @@ def category_lines(spark, base_url: str, categories: list[str] = L.CATEGORIES) -
     return rows.select(F.format_string("  <url><loc>%s/category/%s</loc><changefreq>daily</changefreq><priority>0.9</priority></url>", F.lit(base_url), F.lower("category")).alias("line"))
 
 
+def sitemap_document(trends: DataFrame, base_url: str, limit: int = 3000) -> DataFrame:
+    """place, line: the sitemap as it is delivered, in order of place (part, number within it)."""
+    spark = trends.sparkSession
+    fixed = ['<?xml version="1.0" encoding="UTF-8"?>', '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">', f"  <url><loc>{base_url}/</loc><changefreq>always</changefreq><priority>1.0</priority></url>"]
+    place = lambda part, n: F.struct(F.lit(part).alias("part"), n.cast("long").alias("n")).alias("place")
+    head = spark.createDataFrame(list(enumerate(fixed)), "n long, line string").select(place(0, F.col("n")), "line")
+    own = category_lines(spark, base_url).select(place(1, F.row_number().over(Window.orderBy("line"))), "line")  # a few categories
+    lines = sitemap(trends, base_url, limit).withColumn("n", F.monotonically_increasing_id()).select(place(2, F.col("n")), "line")
+    end = spark.createDataFrame([("</urlset>",)], "line string").select(place(3, F.lit(0)), "line")
+    return head.unionByName(own).unionByName(lines).unionByName(end)
+
+
+def related_trends(found: DataFrame, trends: DataFrame) -> DataFrame:
+    """query_id, rank, distance and the active trends of the related clusters (query_id, cluster_id, rank), but not the query itself."""
+    active = trends.filter("is_active").select("id", "cluster_id", "slug", "title")
+    return found.join(active, "cluster_id").filter(F.col("id") != F.col("query_id"))
+
+
+def detail_page(news: DataFrame, found: DataFrame, trends: DataFrame, k: int = 20) -> DataFrame:
+    """id, news_list and related, an array in order of nearness: what a detail page shows of each trend."""
+    near = related_trends(found, trends).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "slug", "title"))).alias("related"))
+    rows = trends.select("id").join(detail(news, k), F.col("id") == F.col("trend_id"), "left").drop("trend_id")
+    return rows.join(near, F.col("id") == F.col("query_id"), "left").drop("query_id")
+
+
 def scoring_queue(trends: DataFrame, limit: int = 50) -> DataFrame:
     return trends.filter("needs_scoring AND is_active").orderBy("id").limit(limit)
 

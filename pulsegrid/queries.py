@@ -14,7 +14,7 @@ from .functions import scores as S
 from .functions import text as T
 from .operators import relational as R
 from .operators import search, vectors
-from .plans import scoring, serving
+from .plans import scoring, serving, upkeep
 from .schema import evolve, reset, struct
 from .sources import fixtures as X
 from .sources.lists import channel_list, source_list
@@ -156,7 +156,7 @@ def similarities(spark, sf):
 
 
 def models(spark, sf):
-    e = X.table(spark, sf, "events").filter("event_id % 10 = 0").select(F.col("user_id").alias("trend_id"), F.col("event_id"), F.col("value"))
+    e = X.table(spark, sf, "events").select(F.col("user_id").alias("trend_id"), F.col("event_id"), F.col("value"))
     newest = R.latest(e, "trend_id", ["event_id"], ["value"])
     odd = F.col("trend_id") % 4
     return newest.select("trend_id", F.when(odd == 0, "not json").when(odd == 1, F.format_string('{"entity_score": %.2f}', "value")).otherwise(F.format_string('{"entity_score": %.2f, "criticality_score": 60, "is_opinion": %s}', F.col("value"), F.when(odd == 2, "true").otherwise("false"))).alias("response"))
@@ -164,7 +164,7 @@ def models(spark, sf):
 
 FINAL = f"""{TRENDS_AND_NEWS}, {ARRIVALS}, {SPEEDS}, {ACCELERATIONS}, {CONFIDENCES},
 v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings), sim AS (SELECT a.id AS trend_id, max(list_inner_product(a.e, b.e)) AS similarity FROM v a JOIN v b ON a.id <> b.id GROUP BY a.id),
-m AS (SELECT user_id AS trend_id, CASE WHEN user_id % 4 = 0 THEN 30 ELSE round(arg_max(value, event_id), 2) END AS entity, CASE WHEN user_id % 4 IN (0, 1) THEN 30 ELSE 60 END AS criticality, user_id % 4 = 2 AS opinion FROM events WHERE event_id % 10 = 0 GROUP BY user_id),
+m AS (SELECT user_id AS trend_id, CASE WHEN user_id % 4 = 0 THEN 30 ELSE round(arg_max(value, event_id), 2) END AS entity, CASE WHEN user_id % 4 IN (0, 1) THEN 30 ELSE 60 END AS criticality, user_id % 4 = 2 AS opinion FROM events GROUP BY user_id),
 ref AS (SELECT trend_id, arg_min(content, id) AS reference FROM news GROUP BY trend_id),
 j AS (SELECT t.id, t.title, t.final_tps AS old, coalesce(velocity, 0) AS velocity, acceleration, coalesce(confidence, 0.5) AS confidence, CASE WHEN similarity IS NULL THEN 100 WHEN similarity > 0.88 THEN 0 ELSE 100 * (1 - similarity) END AS novelty,
   CASE WHEN {any_sql(FOLDED.format('reference'), HIGH)} THEN 1.6 WHEN {any_sql(FOLDED.format('reference'), MEDIUM)} THEN 1.25 ELSE 1.0 END::DOUBLE AS boost, coalesce(entity, 30) AS entity, coalesce(criticality, 30) AS criticality, coalesce(opinion, false) AS opinion,
@@ -209,14 +209,14 @@ def signal_band(spark, sf):
 
 
 FACTORS = {"1-URGENT": 0.98, "2-HIGH": 0.97, "3-MEDIUM": 0.94, "5-LOW": 0.85}
-DECAYED = f"""{TRENDS}, h AS (SELECT *, date_diff('microsecond', last_updated, TIMESTAMP '2001-08-02') / 3.6e9 AS hours FROM trends WHERE last_updated >= TIMESTAMP '2001-07-01'),
+DECAYED = f"""{TRENDS}, h AS (SELECT *, date_diff('microsecond', last_updated, TIMESTAMP '2001-08-02') / 3.6e9 AS hours FROM trends),
 d AS (SELECT *, is_active AND final_tps > 3 AND hours >= 1 AS decayed FROM h),
 n AS (SELECT *, CASE WHEN decayed THEN final_tps * pow(CASE category {' '.join(f"WHEN '{k}' THEN {v}" for k, v in FACTORS.items())} ELSE 0.93 END, hours) ELSE final_tps END AS new_tps FROM d),
 s AS (SELECT id, decayed, round(new_tps, 6) AS new_tps, is_active AND NOT (decayed AND new_tps < 2) AS is_active, is_active AND decayed AND new_tps < 2 AS closed FROM n)"""
 
 
 def faded(spark, sf):
-    return scoring.decay(X.trends(spark, sf).filter(F.col("last_updated") >= F.lit("2001-07-01").cast("timestamp_ntz")).withColumn("was_active", F.col("is_active")), X.ORDERS_NOW, FACTORS, L.DECAY_OTHER)
+    return scoring.decay(X.trends(spark, sf).withColumn("was_active", F.col("is_active")), X.ORDERS_NOW, FACTORS, L.DECAY_OTHER)
 
 
 @query(f"{DECAYED} SELECT id, decayed, new_tps, is_active FROM s")
@@ -261,7 +261,12 @@ def clean_text(spark, sf):
     return X.table(spark, sf, "documents").select("doc_id", c.alias("cleaned"), (F.length(c) >= 25).alias("kept"))
 
 
-@query("SELECT page_id, trim(regexp_replace({}, '\\s+', ' ', 'g')) AS shown FROM pages".format(reduce(lambda c, e: "replace({}, '{}', '{}')".format(c, *(x.replace("'", "''") for x in e)), T.ENTITIES, re_sql("coalesce(html, '')", T.HTML_STEPS))))
+#: An own wording of what a page shows: the page is cut at its tags, and what isn't text is left out of the pieces.
+_BARE = "list_aggregate(regexp_extract_all(regexp_replace(coalesce({}, ''), '<script\\b[^>]*>[\\s\\S]*?</script\\s*>|<style\\b[^>]*>[\\s\\S]*?</style\\s*>|<!--[\\s\\S]*?-->', '', 'gi') || '<x>', '([^<]*|<[^>]*$)(?:<[^>]+>|$)', 1), 'string_agg', '')"
+SHOWN = "trim(array_to_string(regexp_split_to_array(" + reduce(lambda c, e: "array_to_string(string_split({}, '{}'), '{}')".format(c, *(x.replace("'", "''") for x in e)), T.ENTITIES, _BARE) + ", '\\s+'), ' '))"
+
+
+@query(f"SELECT page_id, {SHOWN.format('html')} AS shown FROM pages")
 def html_to_text(spark, sf):
     return X.table(spark, sf, "pages").select("page_id", T.html_text(F.col("html")).alias("shown"))
 
@@ -270,10 +275,9 @@ SLUG = f"trim(regexp_replace(regexp_replace(translate({FOLDED}, 'şğüöç', 's
 FIRST_SLUG = SLUG.format("array_to_string(regexp_split_to_array(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')[1:7], ' ')")
 
 
-@query(f"SELECT doc_id, {FOLDED.format('left(text, 80)')} AS folded, {SLUG.format('left(text, 80)')} AS slug, coalesce(nullif({FIRST_SLUG}, ''), 'haber-detayi') AS first_slug FROM documents")
+@query(f"SELECT doc_id, {FOLDED.format('text')} AS folded, {SLUG.format('text')} AS slug, coalesce(nullif({FIRST_SLUG}, ''), 'haber-detayi') AS first_slug FROM documents")
 def normalize_slug(spark, sf):
-    head = F.left("text", F.lit(80))
-    return X.table(spark, sf, "documents").select("doc_id", T.folded(head).alias("folded"), T.slug(head).alias("slug"), T.first_slug(F.col("text"), empty="haber-detayi").alias("first_slug"))
+    return X.table(spark, sf, "documents").select("doc_id", T.folded(F.col("text")).alias("folded"), T.slug(F.col("text")).alias("slug"), T.first_slug(F.col("text"), empty="haber-detayi").alias("first_slug"))
 
 
 @query(f"""WITH s AS (SELECT doc_id, coalesce(nullif({FIRST_SLUG}, ''), 'haber-detayi') AS slug FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY doc_id) - 1 AS n FROM s),
@@ -378,8 +382,9 @@ def related_trends(spark, sf):
 
 
 @query()
-def knn_lsh(spark, sf):
-    return vectors.hashed_pairs(X.vectors(spark, sf), 0.71)
+def knn_indexed(spark, sf):
+    v = X.vectors(spark, sf)
+    return vectors.indexed_nearest(v, v, 5, cells=32, probes=20)
 
 
 def timed_items(spark, sf):
@@ -390,7 +395,7 @@ def timed_items(spark, sf):
 
 @query()
 def leader_clustering(spark, sf):
-    return vectors.leader_clusters(timed_items(spark, sf), batches=4, auto=0.55, far=0.71)
+    return vectors.leader_clusters(timed_items(spark, sf), auto=0.55, far=0.71)
 
 
 WANTED = "the and attion"
@@ -406,13 +411,13 @@ def fulltext_search(spark, sf):
     return X.table(spark, sf, "documents").filter(search.matches_stemmed(F.col("text"), WANTED)).select("doc_id")
 
 
-@query(f"""{TRENDS}, i AS (SELECT CASE id % 4 WHEN 0 THEN id || '-' || 'old-slug' WHEN 1 THEN id::VARCHAR WHEN 2 THEN cluster_id ELSE coalesce(slug, 'none-' || id) END AS identifier FROM trends WHERE id % 10 < 4)
+@query(f"""{TRENDS}, i AS (SELECT CASE id % 4 WHEN 0 THEN id || '-' || 'old-slug' WHEN 1 THEN id::VARCHAR WHEN 2 THEN cluster_id ELSE coalesce(slug, 'none-' || id) END AS identifier FROM trends)
 SELECT identifier, coalesce((SELECT min(t.id) FROM trends t WHERE t.id = try_cast(coalesce(nullif(regexp_extract(identifier, '^(\\d+)-', 1), ''), nullif(regexp_extract(identifier, '^(\\d+)$', 1), '')) AS BIGINT)),
-CASE WHEN NOT regexp_matches(identifier, '^\\d+$') THEN (SELECT min(t.id) FROM trends t WHERE t.slug = identifier OR t.cluster_id = identifier) END) AS id FROM i""")
+CASE WHEN NOT regexp_matches(identifier, '^\\d+$') THEN least((SELECT min(t.id) FROM trends t WHERE t.slug = identifier), (SELECT min(t.id) FROM trends t WHERE t.cluster_id = identifier)) END) AS id FROM i""")
 def identifier_resolve(spark, sf):
     t, k = X.trends(spark, sf), F.col("id") % 4
     x = F.when(k == 0, F.concat("id", F.lit("-old-slug"))).when(k == 1, F.col("id").cast("string")).when(k == 2, F.col("cluster_id")).otherwise(F.coalesce("slug", F.concat(F.lit("none-"), "id")))
-    return serving.resolved(t.filter("id % 10 < 4").select(x.alias("identifier")), t)
+    return serving.resolved(t.select(x.alias("identifier")), t)
 
 
 @query("""SELECT count(*) AS processed, round(100.0 * count(*) FILTER (l_returnflag = 'N') / count(*), 1) AS success_rate, floor(avg(trunc(l_quantity * 2)) + avg(floor(l_extendedprice / 100)))::BIGINT AS avg_tokens,
@@ -446,9 +451,9 @@ def sitemap_lines(spark, sf):
 
 
 @query(f"""{NEWS}, r AS (SELECT *, row_number() OVER (PARTITION BY trend_id ORDER BY published_at DESC NULLS FIRST, id DESC) AS rn FROM news)
-SELECT trend_id, rn::INT AS rn, source_name AS source, CASE WHEN date_part('microsecond', published_at) % 1000000 = 0 THEN strftime(published_at, '%Y-%m-%dT%H:%M:%SZ') ELSE strftime(published_at, '%Y-%m-%dT%H:%M:%S.%fZ') END AS time, CASE WHEN external_id <> '' AND NOT starts_with(external_id, 'http') THEN 'https://' || external_id ELSE external_id END AS link FROM r WHERE rn <= 20""")
+SELECT trend_id, rn::INT AS rn, source_name AS source, CASE WHEN date_part('microsecond', published_at) % 1000000 = 0 THEN strftime(published_at, '%Y-%m-%dT%H:%M:%SZ') ELSE strftime(published_at, '%Y-%m-%dT%H:%M:%S.%fZ') END AS time, CASE WHEN external_id <> '' AND NOT starts_with(external_id, 'http') THEN 'https://' || external_id ELSE external_id END AS link, {SHOWN.format('content')} AS content FROM r WHERE rn <= 20""")
 def detail_nested(spark, sf):
-    return serving.detail(X.raw_news(spark, sf)).select("trend_id", F.inline("news_list")).select("trend_id", "rn", "source", "time", "link")
+    return serving.detail(X.raw_news(spark, sf)).select("trend_id", F.inline("news_list")).select("trend_id", "rn", "source", "time", "link", "content")
 
 
 @query(f"WITH {ARRIVALS} SELECT trend_id, count(*) AS message_count, min(timestamp) AS first_seen, max(timestamp) AS last_updated FROM arrivals GROUP BY trend_id")
@@ -491,7 +496,7 @@ def stream_upsert(spark, sf):
 def stream_clusters(spark, sf):
     items = kept(timed_items(spark, sf), "items")
     top = items.inputFiles()[0].rpartition("/")[0]
-    return jobs.clustered(spark.readStream.schema(items.schema).parquet(top), auto=0.55, far=0.71)
+    return jobs.clustered(spark.readStream.schema(items.schema).option("maxFilesPerTrigger", 4).parquet(top), auto=0.55, far=0.71)
 
 
 @query(f"{TRENDS} SELECT id, final_tps, CAST(NULL AS VARCHAR) AS summary, CAST(NULL AS VARCHAR) AS title, CAST(NULL AS VARCHAR) AS category, 0.0::DOUBLE AS score, 'steady' AS trajectory, 0.0::DOUBLE AS tps_confidence FROM trends")
@@ -511,12 +516,12 @@ def post_messages(spark, sf):
     return t.select("id", D.capitalised(F.col("category")).alias("capitalised"), D.post(F.col("category"), F.col("title"), D.cut(F.col("summary"), 18)).alias("post"))
 
 
-@query(f"""{TRENDS} SELECT id, 'https://example.com/trend/' || coalesce(nullif(slug, ''), cluster_id) AS link, left(coalesce(summary, ''), 200) AS description, strftime(first_seen, '%Y-%m-%dT%H:%M:%S+00:00') AS published, strftime(last_updated, '%Y-%m-%dT%H:%M:%S+00:00') AS modified FROM trends WHERE title IS NOT NULL""")
+@query(f"""{TRENDS} SELECT id, 'https://example.com/trend/' || coalesce(nullif(slug, ''), cluster_id) AS link, title AS headline, left(coalesce(summary, ''), 200) AS description, coalesce(summary, '') AS body, strftime(first_seen, '%Y-%m-%dT%H:%M:%S+00:00') AS published, strftime(last_updated, '%Y-%m-%dT%H:%M:%S+00:00') AS modified FROM trends WHERE title IS NOT NULL""")
 def structured_documents(spark, sf):
     t = X.trends(spark, sf).filter("title IS NOT NULL")
     x = D.document(F.coalesce(D.full(F.col("slug")), F.col("cluster_id")), F.col("title"), F.col("summary"), F.col("first_seen"), F.col("last_updated"), "https://example.com")
     get = lambda k: F.get_json_object(x, f"$.{k}")
-    return t.select("id", get("id").alias("link"), get("description").alias("description"), get("datePublished").alias("published"), get("dateModified").alias("modified"))
+    return t.select("id", get("id").alias("link"), get("headline").alias("headline"), get("description").alias("description"), get("articleBody").alias("body"), get("datePublished").alias("published"), get("dateModified").alias("modified"))
 
 
 @query("""SELECT user_id, event_type || '_' || user_id AS data, CASE WHEN event_type = 'view' THEN NULL ELSE user_id END AS number, event_type AS action, count(*) AS n FROM events GROUP BY ALL""")
@@ -533,16 +538,18 @@ def category_pages(spark, sf):
     return X.table(spark, sf, "part").select("p_partkey", category.alias("category"), title.alias("title"))
 
 
-@query("SELECT doc_id % 3 AS feed, count(*) AS n FROM (SELECT doc_id FROM documents WHERE doc_id < 120 AND length(trim(left(text, 60))) > 0 AND length(left(text, 60)) + 2 + doc_id % 40 >= 30) GROUP BY 1")
+@query("SELECT doc_id // 40 AS feed, count(*) AS n, sum(length(coalesce(text, '')))::BIGINT AS chars FROM documents WHERE length(coalesce(text, '')) + 2 + doc_id % 40 >= 30 GROUP BY 1")
 def feed_poll(spark, sf):
     from .sources import feeds
 
-    spark.dataSource.register(feeds.FeedSource)
-    got = feeds.items(spark.read.format("feed").options(**X.feed_options(spark, sf)).load())
-    return got.groupBy(F.substring("source_name", 2, 9).cast("long").alias("feed")).agg(F.count(F.lit(1)).alias("n"))
+    got = feeds.items(feeds.parsed(X.feed_bodies(spark, sf)))
+    chars = F.length("content") - 2 - F.length(F.regexp_extract("content", r"\. (x*)$", 1))
+    return got.groupBy(F.substring("source_name", 2, 18).cast("long").alias("feed")).agg(F.count(F.lit(1)).alias("n"), F.sum(chars).cast("long").alias("chars"))
 
 
-@query("SELECT trend_id, doc_id AS newest_id, n::BIGINT AS message_count FROM (SELECT user_id AS trend_id, max(doc_id) AS doc_id, count(*) AS n FROM documents JOIN events ON doc_id = event_id GROUP BY 1)")
+@query(f"""{NEWS}, a AS (SELECT *, row_number() OVER (PARTITION BY trend_id ORDER BY id % 2, published_at, id) AS k FROM news),
+f AS (SELECT trend_id, content AS text FROM a WHERE k = 1), g AS (SELECT trend_id, max(id) AS newest_id, count(*)::BIGINT AS message_count, coalesce(min(published_at) FILTER (id % 2 = 0), min(published_at)) AS first_seen, max(published_at) AS last_updated FROM news GROUP BY trend_id)
+SELECT trend_id, newest_id, message_count, first_seen, last_updated, trim(left(text, 70)) || '...' AS title, coalesce(nullif({FIRST_SLUG}, ''), 'haber-detayi') AS slug FROM g JOIN f USING (trend_id)""")
 def ingest_upsert(spark, sf):
     """Two batches of news into one snapshot of trends."""
     from .plans import ingest
@@ -552,9 +559,69 @@ def ingest_upsert(spark, sf):
     first = ingest.trends_after(spark.createDataFrame([], schema), news.filter("id % 2 = 0"))
     both = ingest.trends_after(kept(first, "trends"), news.filter("id % 2 = 1"))
     newest = news.groupBy("trend_id").agg(F.max("id").alias("newest_id"))
-    return both.join(newest, "trend_id").select("trend_id", "newest_id", "message_count")
+    return both.join(newest, "trend_id").select("trend_id", "newest_id", "message_count", "first_seen", "last_updated", "title", "slug")
 
 
 @query(f"{NEWS}, r AS (SELECT trend_id, arg_min(content, id) AS reference FROM news GROUP BY trend_id) SELECT trend_id, left(reference, 60) AS head FROM r")
 def reference_texts(spark, sf):
     return scoring.reference_texts(X.raw_news(spark, sf)).select("trend_id", F.left("reference", F.lit(60)).alias("head"))
+
+
+@query(f"{TRENDS} SELECT id, CASE WHEN id IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT') THEN NOT is_active ELSE is_active END AS is_active, NOT (id IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')) AND is_active AS left_active FROM trends")
+def toggle_active(spark, sf):
+    t = X.trends(spark, sf)
+    ids = X.table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("id"))
+    return upkeep.toggled(t, ids).select("id", "is_active").join(upkeep.deactivated(t, ids).select("id", F.col("is_active").alias("left_active")), "id")
+
+
+@query("SELECT 'news' AS name, count(*) AS deleted, 0::BIGINT AS rows_left FROM documents JOIN events ON doc_id = event_id UNION ALL SELECT 'arrivals', count(*), 0 FROM events")
+def delete_all(spark, sf):
+    empty, counts = upkeep.deleted(news=X.raw_news(spark, sf), arrivals=X.arrivals(spark, sf))
+    left = [t.agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("rows_left")) for n, t in empty.items()]
+    return counts.join(left[0].unionByName(left[1]), "name")
+
+
+QUEUED = f"""{TRENDS}, s AS (SELECT * FROM ({FINAL}) WHERE trend_id IN (SELECT id FROM trends WHERE needs_scoring AND is_active ORDER BY id LIMIT 50))"""
+
+
+def after_pass(spark, sf):
+    return upkeep.scoring_pass(X.trends(spark, sf), X.arrivals(spark, sf), X.raw_news(spark, sf), similarities(spark, sf), scoring.model_scores(models(spark, sf)), high=HIGH, medium=MEDIUM, turkish_case=True)
+
+
+@query(f"{QUEUED} SELECT id, coalesce(round(s.final_tps, 4), t.final_tps) AS final_tps, CASE WHEN s.trend_id IS NOT NULL THEN coalesce(t.final_tps, 0) END AS previous_tps, s.trajectory, s.trend_id IS NULL AND needs_scoring AS needs_scoring FROM trends t LEFT JOIN s ON s.trend_id = t.id")
+def scoring_worker(spark, sf):
+    new = F.when(F.col("trajectory").isNotNull(), F.round("final_tps", 4)).otherwise(F.col("final_tps"))
+    return after_pass(spark, sf)[0].select("id", new.alias("final_tps"), "previous_tps", "trajectory", "needs_scoring")
+
+
+@query(f"{QUEUED} SELECT id, round(s.final_tps, 4) AS final_tps FROM trends t JOIN s ON s.trend_id = t.id WHERE s.final_tps >= 20 AND coalesce(t.final_tps, 0) < 20")
+def scoring_alerts(spark, sf):
+    return after_pass(spark, sf)[1].select("id", F.round("final_tps", 4).alias("final_tps"))
+
+
+@query(f"{V.replace('label AS c', 'vec_id // 5 AS c')}, t AS (SELECT o_orderkey AS id FROM orders WHERE o_orderstatus <> 'F'), b AS (SELECT query_id, c AS cluster_id, min(distance) AS distance FROM r WHERE rank <= 14 AND c <> own GROUP BY ALL), x AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, cluster_id) AS rank FROM b) SELECT query_id, rank::INT AS rank, t.id FROM x JOIN t ON t.id = cluster_id WHERE rank <= 4 AND t.id <> query_id")
+def related_active(spark, sf):
+    """Here a vector's cluster is that of its trend, which is named by a number."""
+    v = X.vectors(spark, sf).withColumn("cluster_id", F.floor(F.col("id") / 5))
+    found = vectors.related(vectors.nearest(v, v, 14), v, 4)
+    return serving.related_trends(found, X.trends(spark, sf).withColumn("cluster_id", F.col("id"))).select("query_id", "rank", "id")
+
+
+@query(f"{TRENDS} SELECT id, strftime(last_updated, '%d.%m.%Y') AS day, strftime(last_updated, '%d %B %Y, %H:%M') AS long_form FROM trends")
+def date_formats(spark, sf):
+    return X.trends(spark, sf).select("id", D.day(F.col("last_updated")).alias("day"), D.long_form(F.col("last_updated")).alias("long_form"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 30 ELSE coalesce(json_extract_string(props, '$.k')::DOUBLE, 30) END::DOUBLE AS entity FROM events")
+def json_lists(spark, sf):
+    """Answers that come as a list count by their first element; an empty list has none."""
+    k = F.get_json_object("props", "$.k")
+    answer = F.when(F.col("event_id") % 3 == 0, "[]").when(F.col("event_id") % 3 == 1, F.concat(F.lit('[{"entity_score": '), k, F.lit('}, {"entity_score": 1}]'))).otherwise(F.concat(F.lit('{"entity_score": '), k, F.lit("}")))
+    return scoring.model_scores(X.table(spark, sf, "events").select("event_id", answer.alias("response")), key="event_id").select("event_id", "entity")
+
+
+@query(f"{TRENDS}, m AS (SELECT id, last_updated FROM trends WHERE is_active AND last_updated IS NOT NULL ORDER BY last_updated DESC, id LIMIT 3000) SELECT 4 + {len(L.CATEGORIES)} + (SELECT count(*) FROM m) AS lines, {len(L.CATEGORIES)}::BIGINT AS categories, (SELECT count(*) FROM m) AS trends")
+def sitemap_document(spark, sf):
+    """The whole document: header, home page, categories, trends, end."""
+    d = serving.sitemap_document(X.trends(spark, sf), "https://example.com")
+    return d.agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.col("line").contains("/category/")).alias("categories"), F.count_if(F.col("line").contains("/trend/")).alias("trends"))

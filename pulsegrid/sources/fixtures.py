@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.display import xml
 from ..functions.scores import tier
 
 #: 'now' of the fixtures: just after the last order, and after the last event.
@@ -61,10 +62,10 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def feed_options(spark: SparkSession, sf_dir: str, feeds: int = 3, items: int = 40) -> dict[str, str]:
-    """A few small feeds made of the first documents: what a poll would have fetched."""
-    from xml.sax.saxutils import escape
-
-    docs = table(spark, sf_dir, "documents").filter(F.col("doc_id") < feeds * items).select("doc_id", F.left("text", F.lit(60)).alias("t")).orderBy("doc_id").collect()
-    one = lambda r: f"<item><title>{escape(r.t)}</title><description>{'x' * (r.doc_id % 40)}</description><link>https://example.com/{r.doc_id // 2}</link></item>"
-    return {f"feed.f{i}": "<rss><channel>" + "".join(one(r) for r in docs if r.doc_id % feeds == i) + "</channel></rss>" for i in range(feeds)}
+def feed_bodies(spark: SparkSession, sf_dir: str, each: int = 40) -> DataFrame:
+    """All documents, whole, as feeds (source_name, body) of up to so many items: what polls would have fetched."""
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x00-\x08\x0B\x0C\x0E-\x1F\uFFFE\uFFFF]", "")
+    item = F.concat(F.lit("<item><title>"), xml(text), F.lit("</title><description>"), F.repeat(F.lit("x"), (F.col("doc_id") % each).cast("int")), F.lit("</description><link>https://example.com/"), F.floor(F.col("doc_id") / 2), F.lit("</link></item>"))
+    own = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / each).alias("feed"), item.alias("item"))
+    bodies = own.groupBy("feed").agg(F.array_join(F.collect_list("item"), "").alias("items"))  # at most ``each`` documents a feed
+    return bodies.select(F.concat(F.lit("f"), "feed").alias("source_name"), F.concat(F.lit("<rss><channel>"), "items", F.lit("</channel></rss>")).alias("body"))

@@ -1,8 +1,9 @@
-"""Continuous ingest, history, deduplication, clustering and scoring, as jobs that drain what is there and stop.
+"""Continuous ingest, history, deduplication and clustering, as jobs that drain what is there, or run on at an interval.
 
 Event time drives the windows: rows later than 48 hours behind the newest are dropped. Watermarks need TIMESTAMP, so the engine's
-TIMESTAMP_NTZ columns (UTC) are cast on the way in and back on the way out. Snapshots are written anew for each batch id, so a
-batch that runs twice after a failure leaves the same table.
+TIMESTAMP_NTZ columns (UTC) are cast on the way in and back on the way out. What a job has made so far stands in a log: a folder
+for each batch id, with what that batch adds. Nothing is kept in the driver, and a batch that runs twice after a failure overwrites
+its own folder, so that a table is the same whether a job ran through, was repeated, or was started again on its folder.
 """
 
 from __future__ import annotations
@@ -11,80 +12,197 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.relational import running, upsert
-from ..operators.vectors import STATE, assign, grown
-from ..tables import new_path
+from ..operators.relational import latest, running
+from ..operators.vectors import STATE, added, assign
+from ..plans.ingest import prepared, trends_after
+from ..tables import children, is_folder, kept, new_path
+from ..udfs import embed
 
 LATE = "48 hours"
 
+Fold = Callable[[DataFrame], DataFrame]
+
 
 def file_stream(spark: SparkSession, folder: str, name: str, schema, files: int = 16) -> DataFrame:
-    """A stream of the Parquet files of a table as they arrive in a folder."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    """A stream of a table's Parquet files as they arrive: of the parts in ``name.parquet``, or, where that is a file, of itself."""
+    reader, path = spark.readStream.schema(schema).option("maxFilesPerTrigger", files), f"{folder}/{name}.parquet"
+    return reader.parquet(path) if is_folder(spark, path) else reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+
+
+def start(stream: DataFrame, at: str, each: Callable[[DataFrame, int], None] | None = None, every: str | None = None, mode: str = "append") -> StreamingQuery:
+    """Start a job that keeps its progress in the folder ``at``: every interval, or through what is there now and then it ends."""
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    w = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/progress").trigger(**trigger)
+    return (w.foreachBatch(each) if each else w.format("parquet").option("path", f"{at}/table")).start()
+
+
+def clock(spark: SparkSession, action: Callable[[int], None], at: str, every: str) -> StreamingQuery:
+    """Run action(number of the run) at an interval: for what has no input of its own, such as fading scores or reading lists anew."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return start(ticks, at, lambda _, batch_id: action(batch_id), every)
+
+
+class Log:
+    """A table as the fold of what batches added; every so many batches the fold is written, so that a read stays short."""
+
+    def __init__(self, spark: SparkSession, top: str, schema: str, fold: Fold, every: int = 64) -> None:
+        self.spark, self.top, self.schema, self.fold, self.every = spark, top, schema, fold, every
+
+    def put(self, batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{self.top}/batch/{batch_id}")
+        if batch_id % self.every == self.every - 1:
+            self.table(batch_id + 1).write.mode("overwrite").parquet(f"{self.top}/upto/{batch_id}")
+
+    def table(self, before: int | None = None) -> DataFrame:
+        """The table as it stood before a batch, or as it is."""
+        folded, own = ([int(x) for x in children(self.spark, f"{self.top}/{kind}") if before is None or int(x) < before] for kind in ("upto", "batch"))
+        last = max(folded, default=-1)
+        paths = [f"{self.top}/upto/{last}"] * (last >= 0) + [f"{self.top}/batch/{i}" for i in sorted(own) if i > last]
+        rows = self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+        return self.fold(rows)
+
+
+# --- History -----------------------------------------------------------------------------------------------------------
+
+
+def history_log(spark: SparkSession, at: str) -> Log:
+    """Counts only grow while a bucket is open, so the largest is the latest."""
+    return Log(spark, f"{at}/log", "trend_id long, bucket timestamp_ntz, n long", lambda rows: rows.groupBy("trend_id", "bucket").agg(F.max("n").alias("n")))
 
 
-def drain(stream: DataFrame, each: Callable[[DataFrame, int], None] | None = None, path: str | None = None, mode: str = "append", name: str = "job") -> None:
-    """Run until the input is used up; with a trigger interval instead of availableNow the same job runs on."""
-    w = stream.writeStream.outputMode(mode).option("checkpointLocation", new_path(stream.sparkSession, f"{name}-progress")).trigger(availableNow=True)
-    q = (w.foreachBatch(each) if each else w.format("parquet").option("path", path)).start()
-    q.awaitTermination()
+def history_job(arrivals: DataFrame, at: str, every: str | None = None) -> StreamingQuery:
+    """Five-minute counts of a stream of arrivals (trend_id, timestamp). State holds 48 hours; a batch adds the buckets that it changed."""
+    stamped = arrivals.select("trend_id", F.col("timestamp").cast("timestamp").alias("_ts")).withWatermark("_ts", LATE)
+    counts = stamped.groupBy("trend_id", F.window("_ts", "5 minutes").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    log = history_log(arrivals.sparkSession, at)
+    return start(counts.select("trend_id", F.col("w.start").cast("timestamp_ntz").alias("bucket"), "n"), at, log.put, every, mode="update")
 
 
-def history(events: DataFrame, key: str = "trend_id", ts: str = "timestamp") -> DataFrame:
-    """Five-minute counts of a stream of arrivals, complete, and their running sums."""
-    spark = events.sparkSession
-    counts = events.groupBy(key, F.window(ts, "5 minutes").start.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    top = new_path(spark, "history")
-    last: list[str] = []
+def history(arrivals: DataFrame, at: str | None = None) -> DataFrame:
+    """Drain a stream of arrivals; the counts by five minutes and their running sums."""
+    at = at or new_path(arrivals.sparkSession, "history")
+    history_job(arrivals, at).awaitTermination()
+    return running(history_log(arrivals.sparkSession, at).table(), "n", "bucket", "trend_id", "total")
 
-    def snapshot(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{top}/{batch_id}")
-        last[:] = [f"{top}/{batch_id}"]
 
-    drain(counts, each=snapshot, mode="complete", name="history")
-    return running(spark.read.schema(counts.schema).parquet(*last), "n", "bucket", key, "total")
+# --- Deduplication -----------------------------------------------------------------------------------------------------
 
 
-def deduplicated(items: DataFrame, key: str, ts: str) -> DataFrame:
-    """The first of each key within the watermark; state older than 48 hours is dropped."""
-    spark = items.sparkSession
+def dedup_job(items: DataFrame, key: str, ts: str, at: str, every: str | None = None) -> StreamingQuery:
     stamped = items.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", LATE)
-    out, path = stamped.dropDuplicatesWithinWatermark([key]).drop("_ts"), new_path(spark, "unique")
-    drain(out, path=path, name="unique")
-    return spark.read.schema(items.schema).parquet(path)
+    return start(stamped.dropDuplicatesWithinWatermark([key]).drop("_ts"), at, every=every)
 
 
-def ingested(arrivals: DataFrame) -> DataFrame:
-    """Trends kept up to date by a stream of arrivals: counted, dated and marked for scoring. Each batch makes a new snapshot."""
-    spark = arrivals.sparkSession
-    schema = "trend_id long, message_count long, first_seen timestamp_ntz, last_updated timestamp_ntz, needs_scoring boolean"
-    top, state = new_path(spark, "trends"), {"path": None, "id": -1}
+def deduplicated(items: DataFrame, key: str, ts: str, at: str | None = None) -> DataFrame:
+    """Drain a stream; the first of each key within the watermark. State older than 48 hours is dropped."""
+    at = at or new_path(items.sparkSession, "unique")
+    dedup_job(items, key, ts, at).awaitTermination()
+    return items.sparkSession.read.schema(items.schema).parquet(f"{at}/table")
+
+
+# --- Trends ------------------------------------------------------------------------------------------------------------
+
+TRENDS = "trend_id long, message_count long, first_seen timestamp_ntz, last_updated timestamp_ntz, needs_scoring boolean"
+
+
+def trend_log(spark: SparkSession, at: str) -> Log:
+    def fold(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("trend_id").agg(F.sum("message_count").alias("message_count"), F.min("first_seen").alias("first_seen"), F.max("last_updated").alias("last_updated"), F.bool_or("needs_scoring").alias("needs_scoring"))
+
+    return Log(spark, f"{at}/log", TRENDS, fold)
+
+
+def trend_job(arrivals: DataFrame, at: str, every: str | None = None) -> StreamingQuery:
+    """Count and date trends by a stream of arrivals and mark them for scoring; a batch writes only the trends that it met."""
+    log = trend_log(arrivals.sparkSession, at)
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        new = batch.groupBy("trend_id").agg(F.count(F.lit(1)).alias("message_count"), F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_updated")).withColumn("needs_scoring", F.lit(True))
-        old = spark.read.schema(schema).parquet(state["path"]) if state["path"] else spark.createDataFrame([], schema)
-        both = {
-            "message_count": F.coalesce(F.col("o.message_count"), F.lit(0)) + F.coalesce(F.col("n.message_count"), F.lit(0)), "first_seen": F.least("o.first_seen", "n.first_seen"), "last_updated": F.greatest("o.last_updated", "n.last_updated"),
-        }
-        upsert(old, new, "trend_id", both).write.mode("overwrite").parquet(f"{top}/{batch_id}")
-        state.update(path=f"{top}/{batch_id}", id=batch_id)
+        one = batch.select("trend_id", F.lit(1).cast("long").alias("message_count"), F.col("timestamp").alias("first_seen"), F.col("timestamp").alias("last_updated"), F.lit(True).alias("needs_scoring"))
+        log.put(log.fold(one), batch_id)
+
+    return start(arrivals, at, merge, every)
+
+
+def ingested(arrivals: DataFrame, at: str | None = None) -> DataFrame:
+    """Drain a stream of arrivals; the trends as they then are."""
+    at = at or new_path(arrivals.sparkSession, "trends")
+    trend_job(arrivals, at).awaitTermination()
+    return trend_log(arrivals.sparkSession, at).table()
+
+
+# --- Clusters ----------------------------------------------------------------------------------------------------------
+
 
-    drain(arrivals, each=merge, name="trends")
-    return spark.read.schema(schema).parquet(state["path"]) if state["path"] else spark.createDataFrame([], schema)
+def cluster_log(spark: SparkSession, at: str) -> Log:
+    return Log(spark, f"{at}/log", f"{STATE}, is_duplicate boolean", lambda rows: rows)
 
 
-def clustered(items: DataFrame, **how) -> DataFrame:
-    """Leader clusters of a stream of vectors (id, embedding, ts, document): each batch meets the live state of those before."""
-    spark = items.sparkSession
-    top, state, schema = new_path(spark, "clusters"), {"path": None}, "id long, cluster_id long, is_duplicate boolean"
+def cluster_job(items: DataFrame, at: str, every: str | None = None, hours: float = 48, **how) -> StreamingQuery:
+    """Leader clusters of a stream of vectors (id, embedding, ts, document): each batch meets what is still live of those before."""
+    log = cluster_log(items.sparkSession, at)
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        old = spark.read.schema(STATE).parquet(state["path"]) if state["path"] else spark.createDataFrame([], STATE)
-        assign(batch, old, **how).write.mode("overwrite").parquet(f"{top}/out/{batch_id}")
-        got = spark.read.schema(schema).parquet(f"{top}/out/{batch_id}")
-        grown(old, batch, got).write.mode("overwrite").parquet(f"{top}/state/{batch_id}")
-        state["path"] = f"{top}/state/{batch_id}"
-
-    drain(items, each=step, name="clusters")
-    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{top}/out")
+        batch = batch.persist()
+        oldest = batch.agg(F.min("ts")).first()[0]
+        old = log.table(batch_id).drop("is_duplicate")
+        live = old if oldest is None else old.filter(F.col("ts") >= oldest - hours * 3600)
+        got = assign(batch, live, hours=hours, **how)
+        log.put(added(live, batch, got).join(got.select("id", "is_duplicate"), "id").select(*log_columns), batch_id)
+        batch.unpersist()
+
+    log_columns = ["id", "embedding", "ts", "cluster_id", "reference", "is_duplicate"]
+    return start(items, at, step, every)
+
+
+def clustered(items: DataFrame, at: str | None = None, **how) -> DataFrame:
+    """Drain a stream of vectors; id, cluster_id, is_duplicate."""
+    at = at or new_path(items.sparkSession, "clusters")
+    cluster_job(items, at, **how).awaitTermination()
+    return cluster_log(items.sparkSession, at).table().select("id", "cluster_id", "is_duplicate")
+
+
+# --- Ingest as a whole -------------------------------------------------------------------------------------------------
+
+NEWS = "id long, source_type string, source_name string, external_id string, content string, document string, published_at timestamp_ntz, trend_id long"
+ARRIVED = "id long, trend_id long, raw_news_id long, timestamp timestamp_ntz"
+LIVE_TRENDS = "trend_id long, title string, slug string, message_count long, first_seen timestamp_ntz, last_updated timestamp_ntz, needs_scoring boolean"
+
+
+class Ingest:
+    """The tables that a stream of polled items keeps up to date, all in logs below one folder.
+
+    A batch is cleaned, rid of what was seen before, embedded, clustered against the live vectors, and written as news,
+    arrivals, vectors and trends. Each of these reads only what earlier batches wrote, so a repeated batch writes the same.
+    """
+
+    def __init__(self, spark: SparkSession, at: str) -> None:
+        same = lambda rows: rows
+        self.news, self.arrivals = Log(spark, f"{at}/news", NEWS, same), Log(spark, f"{at}/arrivals", ARRIVED, same)
+        self.vectors = Log(spark, f"{at}/vectors", STATE, same)
+        # later snapshots of a trend carry the sums of the earlier ones
+        self.trends = Log(spark, f"{at}/trends", LIVE_TRENDS, lambda rows: latest(rows, "trend_id", ["message_count"], [c.split()[0] for c in LIVE_TRENDS.split(", ")[1:]]))
+
+    def step(self, batch: DataFrame, batch_id: int, hours: float = 48, **how) -> None:
+        stamp = F.unix_micros(F.col("published_at").cast("timestamp")) / 1e6
+        ids = F.xxhash64(F.coalesce("external_id", "document"), "published_at").alias("id")
+        new = kept(prepared(batch, self.news.table(batch_id)).select(ids, "*").dropDuplicates(["id"]).withColumn("ts", stamp), "polled")
+        oldest = new.agg(F.min("ts")).first()[0]
+        live = self.vectors.table(batch_id)
+        live = live if oldest is None else live.filter(F.col("ts") >= oldest - hours * 3600)
+        vectors = kept(new.select("id", embed("document").alias("embedding"), "ts", "document"), "embedded")
+        got = kept(assign(vectors, live, hours=hours, **how), "assigned")
+        news = new.join(got.select("id", F.col("cluster_id").alias("trend_id")), "id")
+        self.vectors.put(added(live, vectors, got), batch_id)
+        self.arrivals.put(news.select("id", "trend_id", F.col("id").alias("raw_news_id"), F.col("published_at").alias("timestamp")), batch_id)
+        touched = news.select("trend_id").distinct()
+        old = self.trends.table(batch_id).join(touched, "trend_id", "left_semi")
+        self.trends.put(trends_after(old, news.withColumn("cluster_id", F.col("trend_id"))), batch_id)
+        self.news.put(news.select(*(c.split()[0] for c in NEWS.split(", "))), batch_id)
+
+
+def ingest_job(items: DataFrame, at: str, every: str | None = None, **how) -> StreamingQuery:
+    """Ingest a stream of items (source_type, source_name, external_id, content, published_at) into the tables of Ingest(spark, at)."""
+    tables = Ingest(items.sparkSession, at)
+    return start(items, at, lambda batch, batch_id: tables.step(batch, batch_id, **how), every)

@@ -1,17 +1,21 @@
-"""Tables between steps: written by Spark to the folder that all executors share, and read back."""
+"""Tables between steps: written by Spark to the folder that all executors share, and read back; ranks without one-task windows."""
 
 from __future__ import annotations
 
+import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests on one machine.
+#: Used only where the session names no shared folder and runs in one process, as in tests.
 LOCAL_DIR = "/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     return (found or LOCAL_DIR).rstrip("/")
 
 
@@ -24,3 +28,41 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _store(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    at, store = _store(spark, path)
+    return store.exists(at) and store.getFileStatus(at).isDirectory()
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of the tables in a folder that were written to their end."""
+    at, store = _store(spark, path)
+    names = [f.getPath().getName() for f in store.listStatus(at)] if store.exists(at) else []
+    return [n for n in names if is_written(spark, f"{path}/{n}")]
+
+
+def is_written(spark: SparkSession, path: str) -> bool:
+    at, store = _store(spark, f"{path}/_SUCCESS")
+    return store.exists(at)
+
+
+def numbered(df: DataFrame, group: str, order: str, rank: str, name: str) -> DataFrame:
+    """Add ``rank``: 0, 1, ... within a group by order, also where one group holds most rows.
+
+    A group is cut over as many range partitions as its rows fill. Rows are counted within sorted partitions, and only
+    one row a partition and group is summed over partitions.
+    """
+    keys = [F.col(group), F.col(order)]
+    rows = kept(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()), name)
+    rows = rows.withColumns({"_part": F.shiftright("_at", 33), "_at": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
+    runs = rows.groupBy("_part", group).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = kept(runs.select("_part", F.col(group).alias("_group"), (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_base")), f"{name}-runs")
+    out = rows.join(runs, (rows["_part"] == runs["_part"]) & rows[group].eqNullSafe(runs["_group"]))
+    return out.select(*(rows[c] for c in df.columns), (rows["_at"] + runs["_base"]).alias(rank))

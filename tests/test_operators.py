@@ -152,17 +152,24 @@ def test_nearest_blocks_and_sql_agree(spark):
     assert vectors.nearest(df.limit(0), df, 4).count() == 0
 
 
-def test_hashed_pairs_recall(spark, sf):
+def test_indexed_recall(spark):
+    from pulsegrid import queries
     from pulsegrid.sources import fixtures
 
+    sf = "/root/testdata/sf0.01"
     v = fixtures.vectors(spark, sf)
-    m = {r.id: np.array(r.embedding, dtype=float) for r in v.collect()}
-    ids = sorted(m)
-    a = np.stack([m[i] for i in ids])
-    d = 1 - a @ a.T
-    exact = {(ids[i], ids[j]) for i, j in zip(*np.where(d <= 0.65), strict=True) if i < j}
-    got = {(r.a, r.b) for r in vectors.hashed_pairs(v, 0.65).collect()}
-    assert len(exact & got) / len(exact) >= 0.9
+    exact = {(r.query_id, r.id) for r in vectors.nearest(v, v, 5).collect()}
+    rows = queries.knn_indexed(spark, sf).collect()
+    assert len(exact & {(r.query_id, r.id) for r in rows}) / len(exact) >= 0.9
+    assert {r.query_id for r in rows} == {r.id for r in v.collect()} and max(r.rank for r in rows) == 5
+
+
+def test_indexed_equal_vectors_share_a_cell(spark):
+    rows = [(i, [1.0, 0.0]) for i in range(60)] + [(100 + i, [0.0, 1.0]) for i in range(3)]
+    df = spark.createDataFrame(rows, "id long, embedding array<float>")
+    got = vectors.indexed_nearest(df, df, 2, cells=2, probes=2, block=7).collect()
+    assert sorted((r.id for r in got if r.query_id == 50)) == [0, 1] and len(got) == 126
+    assert vectors.indexed_nearest(df.limit(0), df.limit(0), 2, cells=2, probes=1).count() == 0
 
 
 def replay(items, auto, far, hours=48, k=5):
@@ -216,3 +223,61 @@ def test_udfs_and_ingest(spark):
     state = spark.createDataFrame([], vectors.STATE)
     out = ingest.clustered(docs.filter("id < 3").select("id", F.col("content").alias("document"), F.lit(0.0).alias("ts")), state)
     assert {r.cluster_id for r in out.collect()} == {1}
+
+
+def test_feed_files_in_batch_and_as_a_stream(spark, tmp_path):
+    from pulsegrid.streaming import jobs
+
+    rss = "<rss><channel>{}</channel></rss>"
+    item = "<item><title>title &amp; more of feed {0} number {1}</title><description>a description</description><link>x/{0}{1}</link></item>"
+    for name in "ab":
+        (tmp_path / f"{name}.xml").write_text(rss.format("".join(item.format(name, i) for i in range(3))))
+    (tmp_path / "broken.xml").write_text("<rss><channel><item>")
+    (tmp_path / "empty.xml").write_text("")
+    want = sorted((n, f"title & more of feed {n} number {i}. a description", f"x/{n}{i}") for n in "ab" for i in range(3))
+    assert sorted(map(tuple, feeds.items(feeds.polled(spark.read, str(tmp_path))).collect())) == want
+    at = str(tmp_path / "job")
+    jobs.start(feeds.items(feeds.polled(spark.readStream, str(tmp_path))), at).awaitTermination()
+    assert sorted(map(tuple, spark.read.parquet(f"{at}/table").collect())) == want
+
+
+def test_detail_page_has_related_active_trends(spark):
+    from datetime import datetime
+
+    from pulsegrid.plans import serving, upkeep
+
+    t = spark.createDataFrame([(i, f"c{i}", f"s{i}", f"t{i}", i != 3) for i in range(1, 5)], "id long, cluster_id string, slug string, title string, is_active boolean")
+    news = spark.createDataFrame([(1, 1, "n", "<p>text</p>", "x", datetime(2024, 1, 1))], "id long, trend_id long, source_name string, content string, external_id string, published_at timestamp_ntz")
+    found = spark.createDataFrame([(1, "c2", 2), (1, "c3", 1), (1, "c4", 3), (1, "c1", 4)], "query_id long, cluster_id string, rank int")
+    got = {r.id: r for r in serving.detail_page(news, found, t).collect()}
+    assert [r.title for r in got[1].related] == ["t2", "t4"] and got[1].news_list[0].content == "text" and got[2].related is None and len(got) == 4
+    ids = spark.createDataFrame([(1,), (1,), (3,), (9,)], "id long")
+    assert {r.id: r.is_active for r in upkeep.toggled(t, ids).collect()} == {1: False, 2: True, 3: True, 4: True}
+    assert {r.id: r.is_active for r in upkeep.deactivated(t, ids).collect()} == {1: False, 2: True, 3: False, 4: True}
+    empty, counts = upkeep.deleted(trends=t, news=news)
+    assert empty["trends"].count() == 0 and empty["news"].schema == news.schema and {r.name: r.deleted for r in counts.collect()} == {"trends": 4, "news": 1}
+
+
+def test_sitemap_document_in_order(spark, sf):
+    from pulsegrid.functions import lexicons as L
+    from pulsegrid.plans import serving
+    from pulsegrid.sources import fixtures
+
+    lines = [r.line for r in serving.sitemap_document(fixtures.trends(spark, sf), "https://x.org", limit=20).orderBy("place").collect()]
+    assert lines[0].startswith("<?xml") and lines[-1] == "</urlset>" and len(lines) == 24 + len(L.CATEGORIES)
+    import xml.etree.ElementTree as ET
+
+    assert len(ET.fromstring("\n".join(lines).encode())) == 21 + len(L.CATEGORIES)
+    own = [r.line for r in serving.sitemap(fixtures.trends(spark, sf), "https://x.org", limit=20).collect()]
+    assert lines[3 + len(L.CATEGORIES) : -1] == own
+
+
+def test_numbered_counts_within_hot_groups(spark):
+    from pulsegrid.tables import numbered
+
+    rows = [("hot" if i % 3 else None, i) for i in range(500)] + [(f"x{i}", i) for i in range(50)]
+    got = numbered(spark.createDataFrame(rows, "g string, id long"), "g", "id", "n", "test").collect()
+    by = {}
+    for r in sorted(got, key=lambda r: r.id):
+        by.setdefault(r.g, []).append(r.n)
+    assert all(v == list(range(len(v))) for v in by.values()) and len(got) == 550
