@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import same, stash, table
 from .spans import slices
-from .tokens import encoder, vocabulary_path
+from .tokens import WORDS, encoder, vocabulary_path
 
 WINDOW = 1024
 
@@ -89,13 +89,13 @@ def plan(counts: dict[int, int], window: int = WINDOW) -> list[tuple[int, int, i
     return out
 
 
-def _pieces(path: str, window: int, keep_ids: bool):
+def _pieces(path: str, window: int, keep_ids: bool, words: int):
     """Cut documents into pieces; of each, its rank among the partition's full windows or rests of the same length."""
 
     def run(batches):
-        part, enc, seen, rows = TaskContext.get().partitionId(), encoder(path), np.zeros(window + 1, dtype=np.int64), 0
+        part, enc, seen, rows = TaskContext.get().partitionId(), encoder(path, words), np.zeros(window + 1, dtype=np.int64), 0
         for batch in batches:
-            for start, texts in slices(batch.column("text")):
+            for start, texts in slices(batch.column("text"), 20 * words):
                 flat, n = enc.of(texts)
                 raw = memoryview(flat.astype("<u4").tobytes())
                 windows = -(-n // window)
@@ -144,14 +144,14 @@ def _placed(runs: list[tuple[int, int, int, int, int, int]], window: int, full:
     return run
 
 
-def pack(docs: DataFrame, path: str, window: int = WINDOW, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str, window: int = WINDOW, keep_ids: bool = False, words: int = WORDS) -> DataFrame:
     """Pieces of docs (doc_id, text) with their sequence_id and offset; with keep_ids also their ids (array of int).
 
-    ``row`` tells the rows of docs apart: pieces of one row have it in common, copies of a document don't.
+    ``words`` bounds what a worker remembers, and with it the memory it takes. ``row`` tells the rows of docs apart: pieces of one row have it in common, copies of a document don't.
     """
     kind, more = docs.schema["doc_id"].dataType.simpleString(), ", ids array<int>" * keep_ids
     columns = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, row long"
-    pieces = stash(docs.select("doc_id", "text").mapInArrow(_pieces(path, window, keep_ids), f"{columns}, _part int, _rank long{more}"), "pieces")
+    pieces = stash(docs.select("doc_id", "text").mapInArrow(_pieces(path, window, keep_ids, words), f"{columns}, _part int, _rank long{more}"), "pieces")
     counts = pieces.groupBy("_part", "length").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     counts = stash(counts.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))), "piece-counts")

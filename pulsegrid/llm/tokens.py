@@ -71,13 +71,14 @@ class Encoder(Table):
         return [plain[i] if i in plain else next(rest) for i in range(len(texts))]
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, most: int = WORDS) -> Encoder:
+    if (path, most) not in _encoders:
+        _encoders.clear()  # one to a worker
+        _encoders[path, most] = Encoder(path, most)
+    return _encoders[path, most]
 
 
 # --- Token-ID output -------------------------------------------------------------------------------------------------

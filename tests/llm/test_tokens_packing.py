@@ -132,5 +132,8 @@ def test_op5_packs_every_id_once(spark, sf, tmp_path, library, query):
 
 def test_pack_keeps_ids(spark, library):
     docs = spark.createDataFrame([(r[0], r[1]) for r in ODD], "doc_id long, text string")
-    for r in packing.pack(docs, tokens.vocabulary_path(), 16, keep_ids=True).collect():
-        assert len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32
+    whole = {r[0]: [*library(r[1]), 0] for r in ODD}
+    rows = packing.pack(docs, tokens.vocabulary_path(), 16, keep_ids=True).collect()
+    for r in rows:
+        assert r.ids == whole[r.doc_id][r.start : r.start + r.length] and crc(r.ids) == r.ids_crc32
+    assert len({r.row for r in rows}) == len(ODD) and len({(r.row, r.start) for r in rows}) == len(rows)
