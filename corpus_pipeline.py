@@ -31,9 +31,12 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, tokens.vocabulary_path(), keep_ids=True)
+    return packing.pack(docs, tokens.vocabulary_path(), keep_ids=True, words=WORDS)
 
 
+#: Words that a worker remembers while it packs; the workers of this stage still hold what earlier stages left in them.
+WORDS = 100_000
+
 STAGES = [("quality classifier", quality_classifier), ("n-gram Jaccard join", near_duplicates), ("secret scans", secret_scan), ("mixing sources to target weights", source_mix), ("packing", packed)]
 
 #: SQL expresses neither the classifier nor the tokenizer.
