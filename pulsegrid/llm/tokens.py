@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import zlib
 from array import array
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -92,24 +93,63 @@ FORMAT = {
 }
 
 
-def _encoded(path: str):
+def bounds(docs: DataFrame, n: int) -> list:
+    """Greatest doc_ids, null first, of all but the last of n files of like many rows; a doc_id that fills several is there as often.
+
+    Found in a scan of doc_id alone; at most n - 1 values come to the driver, as in any range partitioning.
+    """
+    ranged = docs.select("doc_id", F.rand(1).alias("at")).repartitionByRange(n, "doc_id", "at").select("doc_id", F.spark_partition_id().alias("file"))
+    ends = [r["end"] for r in ranged.groupBy("file").agg(F.max("doc_id").alias("end")).collect()]
+    return sorted(ends, key=lambda x: (x is not None, x))[:-1]
+
+
+def _encoded(path: str, ends: list):
+    blank = ends.count(None)
+    known = ends[blank:]
+
+    def place(doc, tie):
+        """The file of a document; the rows of a doc_id that fills several go there in the order of their ties."""
+        low, high = (0, blank) if doc is None else (blank + bisect_left(known, doc), blank + bisect_right(known, doc))
+        return low + ((tie + (1 << 63)) * (high - low + 1) >> 64)
+
     def run(batches):
-        part, at, enc = TaskContext.get().partitionId(), 0, encoder(path)
+        enc = encoder(path)
         for batch in batches:
-            names = [n for n in batch.schema.names if n != "text"]
             for start, texts in slices(batch.column("text")):
                 flat, n = enc.of(texts)
-                ends = np.cumsum(n)
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(flat.astype(np.int32)))
+                ends = np.concatenate(([0], np.cumsum(n) * enc.kind.itemsize)).astype(np.int32)
+                ids = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(flat, enc.kind))])
                 own = batch.slice(start, len(texts))
-                yield pa.RecordBatch.from_arrays(
-                    [own.column(x) for x in names] + [pa.array(np.full(len(n), part, dtype=np.int32)), pa.array(at + ends - n), pa.array(n), ids], [*names, "part", "part_start", "n_tokens", "ids"]
-                )
-                at += int(ends[-1])
+                files = pa.array(map(place, own.column("doc_id").to_pylist(), own.column("tie").to_pylist()), pa.int32())
+                width = pa.array(np.full(len(n), enc.kind.itemsize, np.int8))
+                yield pa.RecordBatch.from_arrays([files, own.column("doc_id"), own.column("tie"), width, ids], ["file", "doc_id", "tie", "width", "packed"])
 
     return run
 
 
+#: Ids in a batch that goes back to Spark, unless one document has more.
+BATCH_IDS = 1 << 20
+
+
+def _placed(batches):
+    """Number the ids of a file, and unpack them to lists."""
+    part, at = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        packed, width = batch.column("packed").cast(pa.binary()), batch.column("width")[0].as_py()
+        ends = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1].astype(np.int64) // width
+        flat, low = np.frombuffer(packed.buffers()[2], f"<u{width}", ends[-1]), 0
+        while low < len(packed):
+            high = max(low + 1, int(np.searchsorted(ends, ends[low] + BATCH_IDS, "right")) - 1)
+            own = ends[low : high + 1] - ends[low]
+            ids = pa.ListArray.from_arrays(pa.array(own, pa.int32()), pa.array(flat[ends[low] : ends[high]].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").slice(low, high - low), pa.array(np.full(high - low, part, np.int32)), pa.array(at + own[:-1]), pa.array(np.diff(own)), ids], ["doc_id", "part", "part_start", "n_tokens", "ids"]
+            )
+            at, low = at + int(own[-1]), high
+
+
 def write_tokens(docs: DataFrame, path: str) -> DataFrame:
     """Write doc_id and all token ids of docs (doc_id, text) to a table in ascending doc_id order; gives the table.
 
@@ -117,11 +157,26 @@ def write_tokens(docs: DataFrame, path: str) -> DataFrame:
     n_tokens; ids (list of int). A document's place among all ids is its file's start, see starts(), plus part_start.
     Each text ends with id 0. Null text counts as empty; a null doc_id comes first; equal doc_ids stand together, in the
     order of a hash of their texts; an empty table gives an empty one; other columns of docs are left out.
+
+    Texts are encoded where they are read: what is shuffled and sorted is their packed ids, and the order's bounds come from
+    doc_id alone, so no text is read twice. There are as many files as the session has shuffle partitions.
+    """
+    kind, n = docs.schema["doc_id"].dataType.simpleString(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text")
+    packed = texts.mapInArrow(_encoded(path, bounds(docs, n)), f"file int, doc_id {kind}, tie long, width byte, packed binary")
+    rows = packed.repartitionById(n, "file").drop("file").sortWithinPartitions("doc_id", "tie")
+    return stash(rows.mapInArrow(_placed, f"doc_id {kind}, part int, part_start long, n_tokens long, ids array<int>"), "tokens", FORMAT)
+
+
+def of_documents(tokens: DataFrame, doc_ids: list) -> DataFrame:
+    """The rows of some documents of a table of write_tokens(), of which only the pages that may hold them are read.
+
+    Documents that aren't there give no row, equal doc_ids all of theirs, and an empty list none; None stands for a null doc_id.
+    The ids asked for are meant to be few: files, row groups and pages are left out by the least and greatest doc_id they hold.
     """
-    keys = [F.col("doc_id"), F.xxhash64("text")]
-    rows = docs.select("doc_id", "text").repartitionByRange(*keys).sortWithinPartitions(*keys)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return stash(rows.mapInArrow(_encoded(path), f"doc_id {kind}, part int, part_start long, n_tokens long, ids array<int>"), "tokens", FORMAT)
+    doc, known = F.col("doc_id"), sorted({x for x in doc_ids if x is not None})
+    wanted = doc.isin(known) & (doc >= F.lit(known[0])) & (doc <= F.lit(known[-1])) if known else F.lit(False)
+    return tokens.filter(wanted | doc.isNull() if None in doc_ids else wanted)
 
 
 def starts(tokens: DataFrame) -> DataFrame:

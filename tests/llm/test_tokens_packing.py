@@ -78,6 +78,56 @@ def test_token_files_keep_order_encoding_and_page_index(spark, sf):
     assert "ids" not in tokens.starts(t).columns
 
 
+def test_documents_are_read_by_pages(spark, library):
+    texts = [f"word {i} " + "x y z " * (i % 7) for i in range(30_000)]
+    docs = spark.createDataFrame([*enumerate(texts), (None, "none"), (70, "again")], "doc_id long, text string").repartition(3)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        t = tokens.write_tokens(docs, tokens.vocabulary_path())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    for asked, most in ([70, 71, 70], 8_000), ([29_999, None, 5], 30_002), (list(range(20_000, 20_030)), 8_000), ([-1, 10**9], 30_002), ([], 0):
+        some = tokens.of_documents(t, asked)
+        want = [(i, [*library(x), 0]) for i, x in [*enumerate(texts), (None, "none"), (70, "again")] if i in asked]
+        assert sorted(((r.doc_id, r.ids) for r in some.select("doc_id", "ids").collect()), key=repr) == sorted(want, key=repr)
+        read = some.select("doc_id", "ids")
+        read.collect()
+        leaf = read._jdf.queryExecution().executedPlan().collectLeaves().head()
+        assert not asked or leaf.metrics().apply("numOutputRows").value() <= most
+
+
+def test_a_doc_id_may_fill_several_files(spark):
+    rows = [(7, f"copy {i}") for i in range(600)] + [(None, f"none {i}") for i in range(600)] + [(i, f"own {i}") for i in range(300)] + [(8, "same")] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for n in (1, 9):
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        try:
+            t = tokens.write_tokens(docs, tokens.vocabulary_path())
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+        got = [(r.part, r.part_start, r.doc_id, tuple(r.ids)) for r in t.collect()]
+        assert len(got) == len(rows)
+        order = [(d is not None, d) for _, _, d, _ in sorted(got, key=lambda r: r[:2])]
+        assert order == sorted(order)
+        files = {d: {r[0] for r in got if r[2] == d} for d in (7, None)}
+        assert all(len(f) == 1 if n == 1 else len(f) >= 2 for f in files.values())
+
+
+def test_long_batches_are_cut(spark, library, monkeypatch):
+    kind = np.dtype("<u2")
+    rows = [[5, 0], [0], [*range(1, 40), 0], [7, 8, 0], [0]]
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3, 4, 5], "tie": [0] * 5, "width": pa.array([2] * 5, pa.int8()), "packed": pa.array([np.array(x, kind).tobytes() for x in rows], pa.binary())})
+    monkeypatch.setattr(tokens.TaskContext, "get", classmethod(lambda cls: type("T", (), {"partitionId": lambda self: 3})()))
+    for most in (1, 4, 1000):
+        monkeypatch.setattr(tokens, "BATCH_IDS", most)
+        out = [r for b in tokens._placed([batch.slice(1), batch.slice(0, 0), batch]) for r in b.to_pylist()]
+        both = rows[1:] + rows
+        assert [r["ids"] for r in out] == both and [r["n_tokens"] for r in out] == [len(x) for x in both]
+        assert [r["part_start"] for r in out] == [sum(map(len, both[:i])) for i in range(len(both))] and {r["part"] for r in out} == {3}
+
+
 def best_fit(lengths, window):
     room = []
     for n in sorted(lengths, reverse=True):
