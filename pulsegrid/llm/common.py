@@ -20,6 +20,12 @@ LOCAL_DIR = "/tmp/checkpoints"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: All that separates words once A-Z are lowered: ASCII but for digits and small letters.
+_GAPS = "".join(chr(c) for c in range(128) if chr(c) not in _LOWER and not chr(c).isdigit())
+_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -78,3 +84,14 @@ def ranked(df: DataFrame, groups: list[str], order: list[str], rank: str, name:
     runs = stash(runs.withColumn(base, F.coalesce(F.sum(n).over(before), F.lit(0)) - F.col(first)).drop(first, n), f"{name}-runs")
     out = rows.join(runs, same(rows, runs, [part, *groups]))
     return out.select(*(rows[c] for c in df.columns), (rows[at] + runs[base]).alias(rank))
+
+
+def lowered(text: Column) -> Column:
+    """A-Z only; lower() says the same of a text that is all ASCII, and is faster."""
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
+
+
+def plain_words(text: Column) -> Column:
+    """Runs of digits, letters a-z (A-Z lowered) and all beyond ASCII, in order; null where there are none."""
+    bare = F.btrim(lowered(text), F.lit(_GAPS))
+    return F.when(bare != "", F.split(bare, _GAP))
