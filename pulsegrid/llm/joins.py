@@ -25,7 +25,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import drop_stash, fresh, stash, table
@@ -313,7 +313,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """docs with one row of each class: that of its least doc_id; all columns as they were."""
+    """docs with one row of each class: that of its least doc_id; all columns as they were.
+
+    Of rows alike in doc_id and text the one with the least hash of all columns stays, however rows are dealt out.
+    """
     _, of = classes(docs)
     keep = of.filter(F.col("rep").eqNullSafe(F.col("class_rep")))
     # texts of a class may share its least doc_id: the least key of them stays; classes may share it as well, null above all
@@ -323,7 +326,9 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn(at, F.xxhash64(key, "doc_id"))
     one = one.select(F.col("key").alias("_one"), F.col("rep").alias("_rep"), F.xxhash64("key", "rep").alias("_there"))
     kept = rows.join(one, (rows[at] == one["_there"]) & (rows[key] == one["_one"]) & rows["doc_id"].eqNullSafe(one["_rep"]), "left_semi")
-    return kept.dropDuplicates([at, key]).drop(at, key)
+    place, whole = fresh(docs, "_place"), [c for c, t in docs.dtypes if not t.startswith("map")]
+    first = Window.partitionBy(at, key).orderBy(F.xxhash64(*whole))  # one row a key leaves each task
+    return kept.withColumn(place, F.row_number().over(first)).filter(F.col(place) == 1).drop(at, key, place)
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -146,17 +146,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     return fit(rows, np.array([q for *_, q in got], dtype=np.float32))
 
 
-def _scored(m: Machine):
+def _scored(m: Machine, text: str, size: str, out: str):
+    """Rows without the columns text and size, and with their score."""
+
     def run(batches):
         for batch in batches:
-            names = [n for n in batch.schema.names if n not in ("_text", "_n")]
+            names = [n for n in batch.schema.names if n not in (text, size)]
             scores: list[float] = []
-            texts, sizes = batch.column("_text"), batch.column("_n")
+            texts, sizes = batch.column(text), batch.column(size)
             for a in range(0, len(texts), 500):
                 found = [features(texts[i].as_py(), sizes[i].as_py()) for i in range(a, min(a + 500, len(texts)))]
                 at = np.concatenate(([0], np.cumsum([len(x) for x, _ in found])[:-1])).astype(np.int64)
                 scores += logistic(m.raw(np.concatenate([x for x, _ in found]), np.concatenate([v for _, v in found]), at)).astype(float).tolist()
-            yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [pa.array(scores, pa.float64())], [*names, "_score"])
+            yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [pa.array(scores, pa.float64())], [*names, out])
 
     return run
 
@@ -164,17 +166,16 @@ def _scored(m: Machine):
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
     """doc_id and score, in (0, 1): higher where quality 1 is likelier."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", docs["text"].alias("_text"), n_chars(docs).alias("_n")).mapInArrow(_scored(machine), f"doc_id {kind}, _score double").withColumnRenamed("_score", "score")
+    return docs.select("doc_id", docs["text"].alias("_text"), n_chars(docs).alias("_n")).mapInArrow(_scored(machine, "_text", "_n", "_score"), f"doc_id {kind}, _score double").withColumnRenamed("_score", "score")
 
 
 def accepted(docs: DataFrame, machine: Machine, cut: float = CUT) -> DataFrame:
     """The rows of docs that score at least ``cut``, all their columns as they were."""
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    given = {c: fresh(docs, f"_own{c}") for c in docs.columns if c in ("_text", "_n", "_score")}
-    safe = docs.withColumnsRenamed(given)
-    kept = safe.withColumns({"_text": safe["text"], "_n": n_chars(safe)}).mapInArrow(_scored(machine), StructType([*safe.schema.fields, StructField("_score", DoubleType())]))
-    return kept.filter(F.col("_score") >= cut).drop("_score").withColumnsRenamed({v: k for k, v in given.items()})
+    text, size, out = (fresh(docs, c) for c in ("_text", "_n", "_score"))
+    scored = docs.withColumns({text: docs["text"], size: n_chars(docs)}).mapInArrow(_scored(machine, text, size, out), StructType([*docs.schema.fields, StructField(out, DoubleType())]))
+    return scored.filter(F.col(out) >= cut).drop(out)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

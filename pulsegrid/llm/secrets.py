@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import re
+from bisect import bisect_left, bisect_right
 from functools import cache
 
 import pyarrow as pa
@@ -86,31 +87,51 @@ def harmless_parts(run: str) -> list[tuple[int, int]]:
     return [m.span() for m in UUID.finditer(run)] + digests
 
 
+def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same places as spans in order, none of which meet."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def random_parts(run: str, taken: list[tuple[int, int]], vocabulary) -> list[tuple[int, int]]:
-    """Where stretches of tokens in a run are random, clear of what is taken; widened to the joints around them."""
-    taken = taken + harmless_parts(run)
+    """Where stretches of tokens in a run are random, clear of what is taken; widened to the joints around them.
+
+    Stretches, taken places and atoms are all in order, so each is gone through once.
+    """
+    taken = united(taken + harmless_parts(run))
     edges = [0]
     for t in vocabulary.encode_ordinary(run):
         edges.append(edges[-1] + len(vocabulary.decode_single_token_bytes(t)))
-    found, j = [], 0
+    found, j, k = [], 0, 0
     for i, a in enumerate(edges):
         while j < len(edges) and edges[j] < a + STRETCH:
             j += 1
         if j == len(edges):
             break
         b = edges[j]
+        while k < len(taken) and taken[k][1] <= a:
+            k += 1
+        if k < len(taken) and taken[k][0] < b:
+            continue
         part = run[a:b]
         if b - a >= ratio(part) * (j - i) or JOINT * sum(not c.isalnum() for c in part) > b - a:
             continue
-        if any(x < b and a < y for x, y in taken) or known(part):
+        if known(part):
             continue
         if found and a <= found[-1][1]:
             found[-1] = (found[-1][0], b)
         else:
             found.append((a, b))
-    out = []
+    out: list[tuple[int, int]] = []
+    atoms = [m.span() for m in ATOM.finditer(run)] if found else []
+    starts, ends = [x for x, _ in atoms], [y for _, y in atoms]
     for a, b in found:
-        whole = [m.span() for m in ATOM.finditer(run) if m.start() < b and a < m.end()]
+        whole = atoms[bisect_right(ends, a) : bisect_left(starts, b)]
         # a word at the edge of a stretch is no part of the string
         while len(whole) > 1 and known(run[slice(*whole[0])]):
             whole = whole[1:]
@@ -137,9 +158,14 @@ def scan_text(text: str | None, vocabulary) -> list[tuple[int, int, int]]:
     runs = [(m.start(), m[0]) for m in RUN.finditer(text)]
     for at, run in runs:
         out += [(at + m.start(), 2, at + m.end()) for m in HEX.finditer(run) if len(m[0]) >= 24]
-    base = list(out)
+    base, k = united([(a, b) for a, _, b in out]), 0
     for at, run in runs:
-        taken = [(a - at, b - at) for a, _, b in base if a < at + len(run) and at < b]
+        while k < len(base) and base[k][1] <= at:
+            k += 1
+        last = k
+        while last < len(base) and base[last][0] < at + len(run):
+            last += 1
+        taken = [(a - at, b - at) for a, b in base[k:last]]
         if not taken and not harmless_parts(run) and random_run(run, vocabulary):
             out.append((at, 3, at + len(run)))
         else:

@@ -7,7 +7,7 @@ import pytest
 
 from pulsegrid.llm import joins
 
-from .helpers import ODD, SCHEMA, clashing, folder
+from .helpers import ODD, SCHEMA, clashing, folder, plain
 
 
 def slow_shingles(text):
@@ -131,3 +131,10 @@ def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (501, 500), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in joins.components(edges, "chain").collect()}
     assert got == {i: 0 for i in range(201)} | {500: 500, 501: 500}
+
+
+def test_the_row_that_stays_does_not_depend_on_partitions(spark):
+    text = "one text of more than five words that all rows share"
+    docs = spark.createDataFrame([(7, text, "en", f"s{i}", i) for i in range(8)] + [(None, text[::-1], "en", f"s{i}", i) for i in range(5)], "doc_id long, text string, lang string, _Place string, n_chars long")
+    kept = [plain(joins.deduplicate(docs.repartition(n, "n_chars"))) for n in (1, 3, 8)]
+    assert kept[0] == kept[1] == kept[2] and len(kept[0]) == 2

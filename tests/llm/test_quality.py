@@ -40,9 +40,27 @@ def test_op1_on_held_out_labels(spark):
     assert sum(g > p for g in good for p in poor) / (len(good) * len(poor)) > 0.97
 
 
-def test_accepted_keeps_columns(spark):
-    rows, schema = clashing(["_text", "_n", "_score"])
+@pytest.mark.parametrize("names", [["_text", "_n", "_score"], ["_Text", "_N", "_SCORE"]])
+def test_accepted_keeps_columns(spark, names):
+    rows, schema = clashing(names)
     docs = spark.createDataFrame(rows, schema)
     blank = quality.Machine(0.0, np.zeros(quality.SIZE), np.zeros((quality.SIZE, quality.FACTORS)))
     out = quality.accepted(docs, blank)
     assert out.columns == docs.columns and sorted(map(repr, out.collect())) == sorted(map(repr, docs.collect()))
+
+
+def test_scores_of_the_query_are_sums_over_pairs(spark, tmp_path):
+    """Each score again from the fitted machine, pair of features by pair of features."""
+    path = folder(spark, tmp_path, [r for r in ODD if r[0] != 7], labels=([(1, 1, 0), (3, 0, 0), (8, 0, 0)], LABELS[1]))
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    m = quality.train(docs, spark.read.parquet(f"{path}/labels.parquet"))
+    want = []
+    for r in docs.collect():
+        index, value = quality.features(r.text, r.n_chars)
+        raw = m.bias + sum(m.linear[i] * v for i, v in zip(index, value, strict=True))
+        raw += sum(float(m.factors[index[a]] @ m.factors[index[b]]) * value[a] * value[b] for a in range(len(index)) for b in range(a))
+        want.append((r.doc_id, 1 / (1 + np.exp(-raw))))
+    got = [(r.doc_id, r.score) for r in quality.op1_quality(spark, path).collect()]
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    for (a, x), (b, y) in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+        assert a == b and abs(x - y) < 1e-4

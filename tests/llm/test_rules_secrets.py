@@ -95,6 +95,75 @@ def test_random_strings_joined_to_words_or_of_one_case(vocabulary):
         assert found(f"a {harmless} b", vocabulary) == [], harmless
 
 
+def plain_dense(text, vocabulary):
+    """The dense spans, each stretch held against all that is taken and all atoms."""
+    base = [(a, b) for a, _, b, _ in base_spans(text)]
+    out = []
+    for m in secrets.RUN.finditer(text):
+        at, run = m.start(), m[0]
+        taken = [(a - at, b - at) for a, b in base if a < m.end() and at < b]
+        harmless = secrets.harmless_parts(run)
+        if not taken and not harmless and secrets.random_run(run, vocabulary):
+            out.append((at, m.end()))
+            continue
+        edges = [0]
+        for t in vocabulary.encode_ordinary(run):
+            edges.append(edges[-1] + len(vocabulary.decode_single_token_bytes(t)))
+        stretches = []
+        for i, a in enumerate(edges):
+            j = next((j for j, b in enumerate(edges) if b >= a + secrets.STRETCH), None)
+            if j is None:
+                break
+            b, part = edges[j], run[a : edges[j]]
+            dense = b - a < secrets.ratio(part) * (j - i) and secrets.JOINT * sum(not c.isalnum() for c in part) <= b - a
+            if dense and not any(x < b and a < y for x, y in taken + harmless) and not secrets.known(part):
+                stretches.append((a, b))
+        grown = []
+        for a, b in stretches:
+            if grown and a <= grown[-1][1]:
+                grown[-1] = (grown[-1][0], b)
+            else:
+                grown.append((a, b))
+        wide = []
+        for a, b in grown:
+            atoms = [x.span() for x in secrets.ATOM.finditer(run) if x.start() < b and a < x.end()]
+            while len(atoms) > 1 and secrets.known(run[slice(*atoms[0])]):
+                atoms = atoms[1:]
+            while len(atoms) > 1 and secrets.known(run[slice(*atoms[-1])]):
+                atoms = atoms[:-1]
+            a, b = atoms[0][0], atoms[-1][1]
+            if wide and a <= wide[-1][1]:
+                wide[-1] = (wide[-1][0], max(b, wide[-1][1]))
+            else:
+                wide.append((a, b))
+        out += [(at + a, at + b) for a, b in wide]
+    return out
+
+
+def test_dense_spans_against_a_plain_search(vocabulary):
+    rng = random.Random(15)
+    both = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    parts = [lambda: "".join(rng.choice(both) for _ in range(rng.randrange(1, 45))), lambda: "%032x" % rng.getrandbits(128), lambda: "%026x" % rng.getrandbits(104), lambda: rng.choice(["settings", "documents", "token=", "archive", "AKIA" + "A1" * 9, "2024", "123e4567-e89b-12d3-a456-426614174000"])]
+    seen = 0
+    for _ in range(300):
+        text = " ".join(rng.choice("/=_-+").join(rng.choice(parts)() for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(1, 4)))
+        got = [(a, b) for a, k, b in secrets.scan_text(text, vocabulary) if k == 3]
+        assert got == plain_dense(text, vocabulary), text
+        seen += len(got)
+    assert seen > 100
+
+
+def test_long_texts_take_time_in_proportion(vocabulary):
+    import time
+
+    rng = random.Random(3)
+    for joint in "/ ":
+        text = joint.join("%032x" % rng.getrandbits(128) for _ in range(30_000))  # 1 MB
+        begun = time.time()
+        assert sum(k == 2 for _, k, _ in secrets.scan_text(text, vocabulary)) > 29_000
+        assert time.time() - begun < 30
+
+
 def base_spans(text):
     out = []
     for kind, pattern, ok in (("assign", secrets.ASSIGN, lambda m: len(m[2]) >= 6), ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20), ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 24)):
