@@ -46,7 +46,7 @@ def scored(trends: DataFrame, arrivals: DataFrame, news: DataFrame, similarity:
     t = t.withColumn("tps_signal", S.signal(F.col("velocity"), entity, criticality, F.col("novelty"), F.col("boost")))
     t = t.withColumn("new_tps", S.final(F.col("tps_signal"), F.col("confidence"), is_junk(F.col("title"), F.col("reference")), F.coalesce("opinion", F.lit(False))))
     t = t.withColumn("trajectory", S.trajectory(F.col("new_tps"), F.coalesce("final_tps", F.lit(0.0)), F.col("acceleration")))
-    return t.select("trend_id", "velocity", "acceleration", "novelty", "boost", "confidence", "tps_signal", F.coalesce("final_tps", F.lit(0.0)).alias("previous_tps"), F.col("new_tps").alias("final_tps"), "trajectory", F.lit(False).alias("needs_scoring"))
+    return t.select("trend_id", "velocity", "acceleration", "novelty", "boost", "confidence", "tps_signal", F.coalesce("final_tps", F.lit(0.0)).alias("previous_tps"), F.col("new_tps").alias("final_tps"), "trajectory", F.lit(False).alias("needs_scoring"), "reference")
 
 
 def decay(trends: DataFrame, now: str, factors: dict[str, float], other: float) -> DataFrame:

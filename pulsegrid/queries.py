@@ -18,8 +18,8 @@ from .plans import scoring, serving, upkeep
 from .schema import evolve, reset, struct
 from .sources import fixtures as X
 from .sources.lists import channel_list, source_list
-from .streaming import jobs
-from .tables import kept
+from .streaming import jobs, state
+from .tables import kept, new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -581,22 +581,56 @@ def delete_all(spark, sf):
     return counts.join(left[0].unionByName(left[1]), "name")
 
 
-QUEUED = f"""{TRENDS}, s AS (SELECT * FROM ({FINAL}) WHERE trend_id IN (SELECT id FROM trends WHERE needs_scoring AND is_active ORDER BY id LIMIT 50))"""
+QUEUED = f"""{TRENDS}, s AS (SELECT * FROM ({FINAL}) WHERE trend_id IN (SELECT id FROM trends WHERE needs_scoring AND is_active ORDER BY id LIMIT 50)),
+heads AS (SELECT user_id AS trend_id, left(arg_min(text, doc_id), 60) AS head FROM documents JOIN events ON doc_id = event_id GROUP BY user_id)"""
 
 
 def after_pass(spark, sf):
-    return upkeep.scoring_pass(X.trends(spark, sf), X.arrivals(spark, sf), X.raw_news(spark, sf), similarities(spark, sf), scoring.model_scores(models(spark, sf)), high=HIGH, medium=MEDIUM, turkish_case=True)
+    v = X.vectors(spark, sf)
+    near = lambda waiting: vectors.nearest(v.join(F.broadcast(waiting), v["id"] == waiting["trend_id"], "left_semi"), v, 1).select(F.col("query_id").alias("trend_id"), (1 - F.col("distance")).alias("similarity"))  # noqa: E731  # at most 50 rows
+    return upkeep.scoring_pass(X.trends(spark, sf), X.arrivals(spark, sf), X.raw_news(spark, sf), near, scoring.model_scores(models(spark, sf)), X.ORDERS_NOW, high=HIGH, medium=MEDIUM, turkish_case=True)
 
 
-@query(f"{QUEUED} SELECT id, coalesce(round(s.final_tps, 4), t.final_tps) AS final_tps, CASE WHEN s.trend_id IS NOT NULL THEN coalesce(t.final_tps, 0) END AS previous_tps, s.trajectory, s.trend_id IS NULL AND needs_scoring AS needs_scoring FROM trends t LEFT JOIN s ON s.trend_id = t.id")
+@query(f"""{QUEUED} SELECT id, coalesce(round(s.final_tps, 4), t.final_tps) AS final_tps, coalesce(round(s.final_tps, 4), t.score) AS score, CASE WHEN s.trend_id IS NOT NULL THEN TIMESTAMP '2001-08-02' ELSE t.last_updated END AS last_updated,
+CASE WHEN s.trend_id IS NOT NULL THEN coalesce(t.final_tps, 0) END AS previous_tps, s.trajectory, s.trend_id IS NULL AND needs_scoring AS needs_scoring FROM trends t LEFT JOIN s ON s.trend_id = t.id""")
 def scoring_worker(spark, sf):
-    new = F.when(F.col("trajectory").isNotNull(), F.round("final_tps", 4)).otherwise(F.col("final_tps"))
-    return after_pass(spark, sf)[0].select("id", new.alias("final_tps"), "previous_tps", "trajectory", "needs_scoring")
+    new = lambda c: F.when(F.col("trajectory").isNotNull(), F.round(c, 4)).otherwise(F.col(c)).alias(c)
+    return after_pass(spark, sf)[0].select("id", new("final_tps"), new("score"), "last_updated", "previous_tps", "trajectory", "needs_scoring")
 
 
-@query(f"{QUEUED} SELECT id, round(s.final_tps, 4) AS final_tps FROM trends t JOIN s ON s.trend_id = t.id WHERE s.final_tps >= 20 AND coalesce(t.final_tps, 0) < 20")
+@query(f"""{QUEUED} SELECT id, round(s.final_tps, 4) AS final_tps, CASE s.trajectory WHEN 'up' THEN '⏫' ELSE '🔥' END || ' ' || coalesce(nullif(t.title, ''), head) || ' | ' || printf('%.1f', s.final_tps) || ' TPS | ' || upper(s.trajectory) AS message
+FROM trends t JOIN s ON s.trend_id = t.id JOIN heads h ON h.trend_id = t.id WHERE s.final_tps >= 20""")
 def scoring_alerts(spark, sf):
-    return after_pass(spark, sf)[1].select("id", F.round("final_tps", 4).alias("final_tps"))
+    """No trend has a previous score yet, so all that come to the threshold are announced."""
+    return after_pass(spark, sf)[1].select("id", F.round("final_tps", 4).alias("final_tps"), "message")
+
+
+@query(f"""WITH a AS (SELECT user_id AS trend_id, event_id AS id, ts, date_diff('day', TIMESTAMP '2024-01-01', ts) // 10 AS cycle, text, source, value, event_type = 'view' AS opinion,
+  CASE WHEN contains(lower(source), 'src0') OR contains(lower(source), 'src2') THEN 1 WHEN contains(lower(source), 'src3') OR contains(lower(source), 'src4') THEN 2 ELSE 3 END AS tier FROM events LEFT JOIN documents ON event_id = doc_id),
+u AS (SELECT c.cycle AS cycle_at, a.*, row_number() OVER (PARTITION BY a.trend_id, c.cycle ORDER BY a.ts DESC, a.id DESC) AS rn FROM (SELECT DISTINCT trend_id, cycle FROM a) c JOIN a ON a.trend_id = c.trend_id AND a.cycle <= c.cycle),
+g AS (SELECT trend_id, cycle_at, count(*) AS n, min(ts) AS first, max(ts) AS last, count(*) FILTER (rn <= 15) AS m, max(ts) FILTER (rn = 3) AS t3, min(ts) FILTER (rn <= 15) AS tn, min(tier) AS tier, count(DISTINCT coalesce(source, '?')) AS sources,
+  arg_min(text, id) FILTER (text IS NOT NULL) AS reference, arg_max(value, id) AS entity, arg_max(opinion, id) AS opinion FROM u GROUP BY trend_id, cycle_at),
+s AS (SELECT *, CASE WHEN n = 1 THEN 15.0 ELSE least(100.0, 35 * log2(1 + n / greatest(1.0, date_diff('microsecond', first, last) / 6e7))) END AS velocity,
+  least(1.0, CASE tier WHEN 1 THEN 1.25 WHEN 2 THEN 1.0 ELSE 0.75 END * CASE WHEN sources >= 5 THEN 1.35 WHEN sources >= 3 THEN 1.25 WHEN sources >= 2 THEN 1.15 ELSE 1.0 END)::DOUBLE AS confidence,
+  m >= 5 AND date_diff('microsecond', t3, last) < 0.4 * date_diff('microsecond', tn, last) / m AS faster,
+  CASE WHEN {any_sql(FOLDED.format('reference'), HIGH)} THEN 1.6 WHEN {any_sql(FOLDED.format('reference'), MEDIUM)} THEN 1.25 ELSE 1.0 END::DOUBLE AS boost, {any_sql(FOLDED.format('left(reference, 100)'), L.JUNK)} AS junk FROM g WHERE reference IS NOT NULL),
+k AS (SELECT *, (0.35::DOUBLE * velocity + 0.25::DOUBLE * entity + 0.25::DOUBLE * 30 + 0.15::DOUBLE * 100) * boost AS signal FROM s),
+f AS (SELECT *, CASE WHEN junk THEN least(12, least(100.0::DOUBLE, signal * confidence)) ELSE least(100.0::DOUBLE, signal * confidence) END * CASE WHEN opinion THEN 0.55::DOUBLE ELSE 1.0::DOUBLE END AS final FROM k),
+h AS (SELECT *, row_number() OVER w AS version, coalesce(lag(final) OVER w, 0) AS before, coalesce(lag(final, 2) OVER w, 0) AS older FROM f WINDOW w AS (PARTITION BY trend_id ORDER BY cycle_at))
+SELECT trend_id, version, round(signal, 4) AS tps_signal, round(final, 4) AS final_tps, round(before, 4) AS previous_tps, last AS last_updated, final >= 20 AND older < 20 AS alerted,
+CASE WHEN faster OR before <= 0 OR (final - before) / before > 0.06 THEN 'up' WHEN (final - before) / before < -0.06 THEN 'down' ELSE 'steady' END AS trajectory FROM h""")
+def scoring_state(spark, sf):
+    """All events in three batches of ten days, each a run of the job that goes on where the one before ended; every cycle of every trend."""
+    d = X.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.col("source").alias("source_name"))
+    e = X.table(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("trend_id"), "ts", F.col("value").alias("entity"), (F.col("event_type") == "view").alias("opinion"))
+    none = {c: F.lit(None).cast(t) for c, t in (("title", "string"), ("category", "string"), ("similarity", "double"), ("criticality", "double"))}
+    items = e.join(d, "id", "left").withColumns(none | {"source_tier": S.tier(F.col("source_name"), X.TIER_1, X.TIER_2), "cycle": F.floor(F.datediff("ts", F.lit("2024-01-01").cast("date")) / 10)})
+    at = new_path(spark, "scoring")
+    for cycle in range(3):
+        state.items_of(items.filter(F.col("cycle") == cycle), high=HIGH, medium=MEDIUM, turkish_case=True).write.mode("append").parquet(f"{at}/items")
+        state.scoring_job(spark.readStream.schema(state.ITEM).parquet(f"{at}/items"), f"{at}/job").awaitTermination()
+    r = lambda c: F.round(c, 4).alias(c)
+    return state.changes(spark, f"{at}/job").select("trend_id", "version", r("tps_signal"), r("final_tps"), r("previous_tps"), "last_updated", "alerted", "trajectory")
 
 
 @query(f"{V.replace('label AS c', 'vec_id // 5 AS c')}, t AS (SELECT o_orderkey AS id FROM orders WHERE o_orderstatus <> 'F'), b AS (SELECT query_id, c AS cluster_id, min(distance) AS distance FROM r WHERE rank <= 14 AND c <> own GROUP BY ALL), x AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, cluster_id) AS rank FROM b) SELECT query_id, rank::INT AS rank, t.id FROM x JOIN t ON t.id = cluster_id WHERE rank <= 4 AND t.id <> query_id")

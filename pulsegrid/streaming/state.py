@@ -30,12 +30,12 @@ from .jobs import LATE, start
 #: Arrivals that acceleration looks at, and sources beyond which confidence grows no more.
 RECENT, SOURCES = 15, 5
 
-ITEM = "trend_id long, id long, ts timestamp, title string, category string, source_name string, source_tier int, boost double, junk boolean, head string, similarity double, entity double, criticality double, opinion boolean"
+ITEM = "trend_id long, id long, ts timestamp, at_s double, title string, category string, source_name string, source_tier int, boost double, junk boolean, head string, similarity double, entity double, criticality double, opinion boolean"
 STATE = (
     "n long, first_s double, last_s double, recent array<double>, recent_ids array<long>, tier int, sources array<string>, reference long, head string, boost double, junk boolean, "
     "similarity double, entity double, criticality double, opinion boolean, model long, title string, category string, final_tps double, previous_tps double, updated_s double, active boolean, dirty boolean, version long"
 )
-CHANGE = "trend_id long, version long, kind string, title string, tps_signal double, tps_confidence double, final_tps double, previous_tps double, trajectory string, last_updated timestamp, is_active boolean, alerted boolean"
+CHANGE = "trend_id long, version long, kind string, title string, tps_signal double, tps_confidence double, final_tps double, previous_tps double, trajectory string, updated_s double, is_active boolean, alerted boolean"
 _FIELDS = [f.split()[0] for f in STATE.split(", ")]
 _COLUMNS = [f.split()[0] for f in CHANGE.split(", ")]
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -47,7 +47,7 @@ def blank() -> dict:
 
 def met(t: dict, items: pd.DataFrame) -> dict:
     """The state of a trend after items (as ITEM) of its own."""
-    seconds = items["ts"].to_numpy("datetime64[us]").astype("int64") / 1e6
+    seconds = items["at_s"].to_numpy()
     first, last = float(seconds.min()), float(seconds.max())
     t = t | {"n": t["n"] + len(items), "first_s": first if t["first_s"] is None else min(first, t["first_s"]), "last_s": last if t["last_s"] is None else max(last, t["last_s"]), "dirty": True}
     ids = items["id"].astype("int64").tolist()
@@ -114,8 +114,8 @@ class Trends(StatefulProcessor):
         self.handle, self.trend = handle, handle.getValueState("trend", STATE)
 
     def _row(self, key: tuple, t: dict, kind: str, **found) -> pd.DataFrame:
-        values = {"trend_id": key[0], "kind": kind, "title": t["title"] or t["head"], "is_active": t["active"], "last_updated": pd.Timestamp(round(t["updated_s"] * 1e6), unit="us"), "alerted": False, "tps_signal": None, "tps_confidence": None, "trajectory": None}
-        values |= {c: t[c] for c in ("version", "final_tps", "previous_tps")} | found
+        values = {"trend_id": key[0], "kind": kind, "title": t["title"] or t["head"], "is_active": t["active"], "alerted": False, "tps_signal": None, "tps_confidence": None, "trajectory": None}
+        values |= {c: t[c] for c in ("version", "final_tps", "previous_tps", "updated_s")} | found
         return pd.DataFrame([values], columns=_COLUMNS)
 
     def _wait(self, at_ms: int) -> None:
@@ -152,8 +152,8 @@ class Trends(StatefulProcessor):
 
 def items_of(news: DataFrame, **lists) -> DataFrame:
     """ITEM from news (trend_id, id, ts, title, category, source_name, source_tier, content, similarity, entity, criticality, opinion): text is looked at here, on the JVM."""
-    text = F.col("content")
-    own = news.withColumns({"boost": S.boost(text, **lists), "junk": is_junk(F.col("title"), text), "head": F.left(text, F.lit(60))})
+    text, ts = F.col("content"), F.col("ts").cast("timestamp")
+    own = news.withColumns({"ts": ts, "at_s": F.unix_micros(ts) / 1e6, "boost": S.boost(text, **lists), "junk": is_junk(F.col("title"), text), "head": F.left(text, F.lit(60))})
     return own.select(*(F.col(f.split()[0]).cast(f.split()[1]) for f in ITEM.split(", ")))
 
 
@@ -172,12 +172,14 @@ def scoring_job(items: DataFrame, at: str, every: str | None = None, decay_s: fl
 
 def changes(spark: SparkSession, at: str) -> DataFrame:
     """Every change so far, a version each."""
-    return spark.read.schema(CHANGE).parquet(f"{at}/table")
+    own = spark.read.schema(CHANGE).parquet(f"{at}/table")
+    return own.withColumn("last_updated", F.timestamp_micros(F.round(F.col("updated_s") * 1e6).cast("long")).cast("timestamp_ntz")).drop("updated_s")
 
 
 def current(spark: SparkSession, at: str) -> DataFrame:
     """The trends as they are: of each the last version."""
-    return latest(changes(spark, at), "trend_id", ["version"], _COLUMNS[1:])
+    own = changes(spark, at)
+    return latest(own, "trend_id", ["version"], [c for c in own.columns if c != "trend_id"])
 
 
 def alerts(spark: SparkSession, at: str) -> DataFrame:

@@ -12,7 +12,7 @@ COLUMNS = [f.split()[0] for f in state.ITEM.split(", ")]
 
 
 def item(trend, id_, minutes, **more):
-    row = {"trend_id": trend, "id": id_, "ts": T0 + dt.timedelta(minutes=minutes), "title": None, "category": "Spor", "source_name": "s", "source_tier": 1, "boost": 1.6, "junk": False, "head": f"text {id_}", "similarity": None, "entity": 90.0, "criticality": 80.0, "opinion": False}
+    row = {"trend_id": trend, "id": id_, "ts": T0 + dt.timedelta(minutes=minutes), "at_s": (T0 - dt.datetime(1970, 1, 1)).total_seconds() + 60.0 * minutes, "title": None, "category": "Spor", "source_name": "s", "source_tier": 1, "boost": 1.6, "junk": False, "head": f"text {id_}", "similarity": None, "entity": 90.0, "criticality": 80.0, "opinion": False}
     return tuple((row | more)[c] for c in COLUMNS)
 
 
