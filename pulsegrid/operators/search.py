@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -11,27 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from ..functions.text import folded
+from ..functions.turkish import stem
 
 STOP = frozenset("ve veya ile bir bu şu o da de ki mi mı mu mü için gibi ama en çok daha ne ya".split())
-#: Turkish noun suffixes from the outside in: case, possession, plural. One of each may go while two syllables' worth stays.
-SUFFIXES = [
-    re.compile("(?:nın|nin|nun|nün|ndan|nden|dan|den|tan|ten|nda|nde|da|de|ta|te|yla|yle|la|le|ya|ye|yı|yi|yu|yü)$"),
-    re.compile("(?:ları|leri|ımız|imiz|umuz|ümüz|ınız|iniz|unuz|ünüz|sı|si|su|sü|ım|im|um|üm)$"),
-    re.compile("(?:lar|ler)$"),
-    re.compile("(?:lık|lik|luk|lük|cı|ci|cu|cü|çı|çi|çu|çü)$"),
-]
 WORD = re.compile(r"[^\W_]+")
 
 
-@lru_cache(100_000)
-def stem(word: str) -> str:
-    for suffix in SUFFIXES:
-        shorter = suffix.sub("", word)
-        if len(shorter) >= 3 and any(c in "aeıioöuü" for c in shorter):
-            word = shorter
-    return word
-
-
 def stems_of(text: str | None) -> list[str]:
     low = (text or "").replace("İ", "i").replace("I", "ı").lower()
     return sorted({stem(w) for w in WORD.findall(low) if w not in STOP})

@@ -9,8 +9,9 @@ from ..functions import display as D
 from ..functions import lexicons as L
 from ..functions import scores as S
 from ..functions.text import html_text
+from ..operators.index import Index, find
 from ..operators.relational import buckets, latest, running, top_of_each
-from ..operators.search import matches
+from ..operators.search import matches_stemmed
 
 
 def at(now: str) -> Column:
@@ -47,12 +48,13 @@ def shown(trends: DataFrame, news: DataFrame) -> DataFrame:
     )
 
 
-def listed(trends: DataFrame, category: str = "All", query: str | None = None, date: str | None = None, date_column: str = "last_updated") -> DataFrame:
+def listed(trends: DataFrame, category: str = "All", query: str | None = None, date: str | None = None, date_column: str = "last_updated", index: Index | None = None) -> DataFrame:
+    """Active trends; of those that a query asks for, all whose title has the stems of its words: by an index of titles by id where there is one, else by looking at the titles left."""
     t = trends.filter("is_active")
     if category != "All":
         t = t.filter(F.col("category") == category)
     if query:
-        t = t.filter(matches(F.col("title"), query))
+        t = t.join(find(t.sparkSession, index, query).withColumnRenamed("key", "id"), "id", "left_semi") if index else t.filter(matches_stemmed(F.col("title"), query))
     return t.filter(since_date(date_column, date))
 
 

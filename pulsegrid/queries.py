@@ -13,7 +13,7 @@ from .functions import lexicons as L
 from .functions import scores as S
 from .functions import text as T
 from .operators import relational as R
-from .operators import search, vectors
+from .operators import index, search, vectors
 from .plans import scoring, serving, upkeep
 from .schema import evolve, reset, struct
 from .sources import fixtures as X
@@ -263,10 +263,10 @@ def clean_text(spark, sf):
 
 #: An own wording of what a page shows: the page is cut at its tags, and what isn't text is left out of the pieces.
 _BARE = "list_aggregate(regexp_extract_all(regexp_replace(coalesce({}, ''), '<script\\b[^>]*>[\\s\\S]*?</script\\s*>|<style\\b[^>]*>[\\s\\S]*?</style\\s*>|<!--[\\s\\S]*?-->', '', 'gi') || '<x>', '([^<]*|<[^>]*$)(?:<[^>]+>|$)', 1), 'string_agg', '')"
-SHOWN = "trim(array_to_string(regexp_split_to_array(" + reduce(lambda c, e: "array_to_string(string_split({}, '{}'), '{}')".format(c, *(x.replace("'", "''") for x in e)), T.ENTITIES, _BARE) + ", '\\s+'), ' '))"
+PAGE_TEXT = "trim(array_to_string(regexp_split_to_array(" + reduce(lambda c, e: "array_to_string(string_split({}, '{}'), '{}')".format(c, *(x.replace("'", "''") for x in e)), T.ENTITIES, _BARE) + ", '\\s+'), ' '))"
 
 
-@query(f"SELECT page_id, {SHOWN.format('html')} AS shown FROM pages")
+@query(f"SELECT page_id, {PAGE_TEXT.format('html')} AS shown FROM pages")
 def html_to_text(spark, sf):
     return X.table(spark, sf, "pages").select("page_id", T.html_text(F.col("html")).alias("shown"))
 
@@ -408,7 +408,27 @@ def fulltext_words(spark, sf):
 
 @query()
 def fulltext_search(spark, sf):
-    return X.table(spark, sf, "documents").filter(search.matches_stemmed(F.col("text"), WANTED)).select("doc_id")
+    """By an index of stems; a test holds it to the stems of each text."""
+    made = index.build(X.table(spark, sf, "documents"), "doc_id", "text", new_path(spark, "stems"))
+    return index.find(spark, made, WANTED).withColumnRenamed("key", "doc_id")
+
+
+@query(r"""WITH w AS (SELECT doc_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(translate(text, 'İI', 'iı')), '[^\p{L}\p{N}]+'), lambda x: x <> ''))) AS term FROM documents),
+q AS (SELECT item_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(translate(text, 'İI', 'iı')), '[^\p{L}\p{N}]+'), lambda x: x <> '')[1:2])) AS term FROM benchmark), n AS (SELECT item_id, count(*) AS n FROM q GROUP BY 1)
+SELECT q.item_id, w.doc_id FROM q JOIN w USING (term) JOIN n USING (item_id) GROUP BY q.item_id, w.doc_id, n.n HAVING count(*) = n.n""")
+def fulltext_index(spark, sf):
+    """The first two words of each item as a query, all queries at once, over an index of plain words."""
+    made = index.build(X.table(spark, sf, "documents"), "doc_id", "text", new_path(spark, "words"), stems=False, stop=frozenset())
+    asked = X.table(spark, sf, "benchmark").select("item_id", F.array_join(F.slice(F.filter(F.split(T.folded(F.col("text")), r"[^\p{L}\p{N}]+"), lambda w: w != ""), 1, 2), " ").alias("asked"))
+    return index.find_all(made, asked, "item_id", "asked").select(F.col("query_id").alias("item_id"), F.col("key").alias("doc_id"))
+
+
+@query(f"{TRENDS_AND_NEWS}, x AS (SELECT * FROM trends WHERE is_active AND list_has_all(regexp_split_to_array(lower(translate(title, 'İI', 'iı')), '[^a-zı0-9]+'), ['household', 'urgent']) ORDER BY first_seen DESC NULLS FIRST, id LIMIT 32) {SHOWN}")
+def timeline_search(spark, sf):
+    """The timeline's search box, over an index of titles; no stem of a word in these titles meets another's."""
+    t = X.trends(spark, sf)
+    titles = index.build(t.select("id", "title"), "id", "title", new_path(spark, "titles"))
+    return serving.timeline(t, X.raw_news(spark, sf), query="Household URGENT", index=titles)
 
 
 @query(f"""{TRENDS}, i AS (SELECT CASE id % 4 WHEN 0 THEN id || '-' || 'old-slug' WHEN 1 THEN id::VARCHAR WHEN 2 THEN cluster_id ELSE coalesce(slug, 'none-' || id) END AS identifier FROM trends)
@@ -451,7 +471,7 @@ def sitemap_lines(spark, sf):
 
 
 @query(f"""{NEWS}, r AS (SELECT *, row_number() OVER (PARTITION BY trend_id ORDER BY published_at DESC NULLS FIRST, id DESC) AS rn FROM news)
-SELECT trend_id, rn::INT AS rn, source_name AS source, CASE WHEN date_part('microsecond', published_at) % 1000000 = 0 THEN strftime(published_at, '%Y-%m-%dT%H:%M:%SZ') ELSE strftime(published_at, '%Y-%m-%dT%H:%M:%S.%fZ') END AS time, CASE WHEN external_id <> '' AND NOT starts_with(external_id, 'http') THEN 'https://' || external_id ELSE external_id END AS link, {SHOWN.format('content')} AS content FROM r WHERE rn <= 20""")
+SELECT trend_id, rn::INT AS rn, source_name AS source, CASE WHEN date_part('microsecond', published_at) % 1000000 = 0 THEN strftime(published_at, '%Y-%m-%dT%H:%M:%SZ') ELSE strftime(published_at, '%Y-%m-%dT%H:%M:%S.%fZ') END AS time, CASE WHEN external_id <> '' AND NOT starts_with(external_id, 'http') THEN 'https://' || external_id ELSE external_id END AS link, {PAGE_TEXT.format('content')} AS content FROM r WHERE rn <= 20""")
 def detail_nested(spark, sf):
     return serving.detail(X.raw_news(spark, sf)).select("trend_id", F.inline("news_list")).select("trend_id", "rn", "source", "time", "link", "content")
 

@@ -281,3 +281,41 @@ def test_numbered_counts_within_hot_groups(spark):
     for r in sorted(got, key=lambda r: r.id):
         by.setdefault(r.g, []).append(r.n)
     assert all(v == list(range(len(v))) for v in by.values()) and len(got) == 550
+
+
+def test_published_stems():
+    """Worked examples of the published description of the algorithm, and words that its rules leave alone."""
+    from pulsegrid.functions.turkish import stem
+
+    for word, want in {"kedileriyle": "kedi", "çocuğuymuşumcasına": "çocuk", "doktoruymuşsunuz": "doktor", "çocuklarımmış": "çocuk", "kitabımızdı": "kitap", "kalelerimizdekilerden": "kale", "ağacı": "ağaç", "ağaç": "ağaç", "haberlerden": "haber",
+                       "kitapları": "kitap", "evlerinde": "ev", "okulda": "okul", "ev": "ev", "ad": "ad", "soyad": "soyad"}.items():
+        got = stem(word)
+        assert got == want, (word, got)
+
+
+def test_index_against_the_stems_of_each_text(spark, tmp_path):
+    import random
+
+    from pulsegrid.operators import index
+    from pulsegrid.plans import serving
+
+    rng = random.Random(2)
+    words = "kitap kitaplar kitabı kitapta Okul okulda OKULLAR İstanbul ISPARTA ev evler ve bu çocuk çocuğu x1 été".split()
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(9)))) for i in range(300)] + [(300, None), (301, ""), (302, "kitap " * 2000), (None, "kitap okul")]
+    docs = spark.createDataFrame(rows, "id long, Term string")
+    made = index.build(docs, "id", "Term", str(tmp_path / "stems"), buckets=7)
+    for q in ("kitaplarda okullar", "İstanbul", "bu ve", "", "çocuğun evi kitap", "yok kitap", "ISPARTA"):
+        wanted = set(search.stems_of(q))
+        want = sorted((k for k, t in rows if wanted and wanted <= set(search.stems_of(t))), key=lambda k: (k is None, k or 0))
+        got = sorted((r.key for r in index.find(spark, made, q).collect()), key=lambda k: (k is None, k or 0))
+        assert got == want, q
+    assert len(index.find(spark, made, "kitaplar").collect()) > 50
+    # only the buckets and terms asked for are read
+    scan = index.find(spark, made, "kitap okul")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in scan and "PushedFilters: [In(term" in scan
+    asked = spark.createDataFrame([(1, "kitaplarda okullar"), (2, "bu"), (3, "evin")], "q long, t string")
+    got = {(r.query_id, r.key) for r in index.find_all(made, asked, "q", "t").collect()}
+    assert got == {(q, k) for q, t in ((1, "kitaplarda okullar"), (3, "evin")) for k in (r.key for r in index.find(spark, made, t).collect())}
+    trends = docs.selectExpr("id", "Term as title", "true as is_active", "timestamp_ntz'2024-01-01' as last_updated").filter("id IS NOT NULL")
+    by_index, by_text = ({r.id for r in serving.listed(trends, query="okulda kitap", index=i).collect()} for i in (made, None))
+    assert by_index == by_text and len(by_index) > 10
