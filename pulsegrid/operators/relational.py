@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import accelerates, confidence, velocity
-from ..tables import numbered
+from ..tables import fresh, kept, numbered
 
 
 def latest(df: DataFrame, key: str, order: list[str], columns: list[str]) -> DataFrame:
@@ -21,9 +21,11 @@ def top_of_each(df: DataFrame, key: str, order: list[Column], k: int, rank: str
 
 
 def unseen(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
-    """Rows of new whose key old doesn't have, one to a key. A null key is never a duplicate."""
+    """Rows of new whose key old doesn't have, one to a key: that of the least hash of all columns, however rows are dealt out. A null key is never a duplicate."""
     named, anonymous = new.filter(F.col(key).isNotNull()), new.filter(F.col(key).isNull())
-    return named.join(old.select(key), key, "left_anti").dropDuplicates([key]).select(*new.columns).unionByName(anonymous)
+    one = fresh(new, "_one")
+    first = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(*(c for c, t in new.dtypes if not t.startswith("map")))))  # one row a key leaves each task
+    return named.join(old.select(key), key, "left_anti").withColumn(one, first).filter(F.col(one) == 1).select(*new.columns).unionByName(anonymous)
 
 
 def upsert(old: DataFrame, changes: DataFrame, key: str, merge: dict[str, Column]) -> DataFrame:
@@ -45,12 +47,20 @@ def setting(settings: DataFrame, key: str, default: float) -> DataFrame:
 
 
 def unique_slugs(df: DataFrame, slug: str, order: str) -> DataFrame:
-    """slug-1, slug-2, ... for all but the first of equal slugs. A suffixed slug that another row has by nature gets its id too."""
-    out = numbered(df, slug, order, "_n", "slugs").withColumn("unique_slug", F.when(F.col("_n") == 0, F.col(slug)).otherwise(F.concat(F.col(slug), F.lit("-"), F.col("_n"))))
-    natural = df.select(F.col(slug).alias("unique_slug")).distinct().withColumn("_taken", F.lit(True))
-    out = out.join(natural, "unique_slug", "left")
-    clash = (F.col("_n") > 0) & F.col("_taken").isNotNull()
-    return out.withColumn("unique_slug", F.when(clash, F.concat(F.col("unique_slug"), F.lit("-"), F.col(order))).otherwise(F.col("unique_slug"))).drop("_n", "_taken")
+    """slug-1, slug-2, ... for all but the first of equal slugs. A suffixed slug that another row has by nature gets its id too.
+
+    What makes the slugs is run once. Only slugs that occur twice are ranked, and only suffixed ones can meet a natural one.
+    """
+    rows, n, many, taken = kept(df, "slugs"), *(fresh(df, x) for x in ("_n", "_many", "_taken"))
+    counts = rows.groupBy(F.col(slug).alias("_slug")).agg(F.count(F.lit(1)).alias(many)).filter(F.col(many) > 1)
+    several = kept(rows.join(counts, rows[slug].eqNullSafe(counts["_slug"]), "left_semi"), "equal-slugs")
+    alone = rows.join(counts, rows[slug].eqNullSafe(counts["_slug"]), "left_anti").withColumn("unique_slug", F.col(slug))
+    ranked = numbered(several, slug, order, n, "slug-ranks").withColumn("unique_slug", F.when(F.col(n) == 0, F.col(slug)).otherwise(F.concat(F.col(slug), F.lit("-"), F.col(n))))
+    natural = rows.select(F.col(slug).alias("_slug")).distinct().withColumn(taken, F.lit(True))
+    ranked = ranked.join(natural, (F.col(n) > 0) & (F.col("unique_slug") == F.col("_slug")), "left")
+    ranked = ranked.withColumn("unique_slug", F.when(F.col(taken), F.concat(F.col("unique_slug"), F.lit("-"), F.col(order))).otherwise(F.col("unique_slug")))
+    columns = [*df.columns, "unique_slug"]
+    return ranked.select(*columns).unionByName(alone.select(*columns))
 
 
 def buckets(arrivals: DataFrame, ts: str = "timestamp", key: str | None = None, width: str = "5 minutes") -> DataFrame:

@@ -8,16 +8,18 @@ its own folder, so that a table is the same whether a job ran through, was repea
 
 from __future__ import annotations
 
+import datetime
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.relational import latest, running
+from ..operators.relational import latest, running, unseen
 from ..operators.vectors import STATE, added, assign
 from ..plans.ingest import prepared, trends_after
-from ..tables import children, is_folder, kept, new_path
+from ..tables import children, is_folder, kept, names, new_path, remove, touch
 from ..udfs import embed
 
 LATE = "48 hours"
@@ -45,23 +47,72 @@ def clock(spark: SparkSession, action: Callable[[int], None], at: str, every: st
 
 
 class Log:
-    """A table as the fold of what batches added; every so many batches the fold is written, so that a read stays short."""
+    """A table as the fold of what batches added; every so many batches the fold is written, so that a read stays short.
+
+    A fold holds what was before its batch and the batch, never an earlier attempt at itself; so a batch that is repeated with other rows
+    replaces what it gave before. The last two folds and the batches after the older of them stay; what is older is deleted.
+    """
 
     def __init__(self, spark: SparkSession, top: str, schema: str, fold: Fold, every: int = 64) -> None:
         self.spark, self.top, self.schema, self.fold, self.every = spark, top, schema, fold, every
 
+    def _folds(self, before: int | None = None) -> list[tuple[int, str]]:
+        found = [(int(n.partition("-")[0]), n) for n in children(self.spark, f"{self.top}/upto")]
+        return sorted(x for x in found if before is None or x[0] < before)
+
+    def _paths(self, before: int | None) -> list[str]:
+        last, name = max(self._folds(before), default=(-1, ""))
+        own = sorted(i for n in children(self.spark, f"{self.top}/batch") if (i := int(n)) > last and (before is None or i < before))
+        return [f"{self.top}/upto/{name}"] * (last >= 0) + [f"{self.top}/batch/{i}" for i in own]
+
+    def _read(self, paths: list[str]) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
     def put(self, batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{self.top}/batch/{batch_id}")
+        own = f"{self.top}/batch/{batch_id}"
+        batch.write.mode("overwrite").parquet(own)
         if batch_id % self.every == self.every - 1:
-            self.table(batch_id + 1).write.mode("overwrite").parquet(f"{self.top}/upto/{batch_id}")
+            remove(self.spark, f"{self.top}/upto/{batch_id}-*")
+            self.fold(self._read([*self._paths(batch_id), own])).write.parquet(f"{self.top}/upto/{batch_id}-{uuid.uuid4().hex}")
+            for number, name in self._folds(batch_id)[:-1]:
+                remove(self.spark, f"{self.top}/upto/{name}")
+                for n in names(self.spark, f"{self.top}/batch"):
+                    if int(n) <= number:
+                        remove(self.spark, f"{self.top}/batch/{n}")
 
     def table(self, before: int | None = None) -> DataFrame:
         """The table as it stood before a batch, or as it is."""
-        folded, own = ([int(x) for x in children(self.spark, f"{self.top}/{kind}") if before is None or int(x) < before] for kind in ("upto", "batch"))
-        last = max(folded, default=-1)
-        paths = [f"{self.top}/upto/{last}"] * (last >= 0) + [f"{self.top}/batch/{i}" for i in sorted(own) if i > last]
-        rows = self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
-        return self.fold(rows)
+        return self.fold(self._read(self._paths(before)))
+
+
+class Days:
+    """A table that batches only add to, in folders by day and batch; a read that names its first day lists the days from there on only.
+
+    A batch that is repeated replaces its own rows. What a batch that hasn't come to its end has written isn't read.
+    """
+
+    def __init__(self, spark: SparkSession, top: str, schema: str, day: Column) -> None:
+        self.spark, self.top, self.schema, self.day = spark, top, schema, day
+
+    def put(self, batch: DataFrame, batch_id: int) -> None:
+        remove(self.spark, f"{self.top}/data/_day=*/_batch={batch_id}")
+        columns = [f.strip().split()[0] for f in self.schema.split(",")]
+        batch.select(*columns, self.day.cast("date").alias("_day"), F.lit(batch_id).cast("long").alias("_batch")).write.mode("append").partitionBy("_day", "_batch").parquet(f"{self.top}/data")
+        done = names(self.spark, f"{self.top}/last")
+        touch(self.spark, f"{self.top}/last/{max([batch_id, *map(int, done)])}")
+        for n in done:
+            if int(n) < batch_id:
+                remove(self.spark, f"{self.top}/last/{n}")
+
+    def table(self, before: int | None = None, since: datetime.date | None = None) -> DataFrame:
+        """What batches before one have added, or all; since: of that day and later, and of no day."""
+        if before is None:
+            before = max(map(int, names(self.spark, f"{self.top}/last")), default=-1) + 1
+        days = [n for n in names(self.spark, f"{self.top}/data") if n.startswith("_day=") and (since is None or not n[5:6].isdigit() or n[5:] >= since.isoformat())]
+        if not days:
+            return self.spark.createDataFrame([], self.schema)
+        reader = self.spark.read.schema(f"{self.schema}, _day date, _batch long").option("basePath", f"{self.top}/data")
+        return reader.parquet(*(f"{self.top}/data/{d}" for d in sorted(days))).filter(F.col("_batch") < before).drop("_day", "_batch")
 
 
 # --- History -----------------------------------------------------------------------------------------------------------
@@ -135,8 +186,17 @@ def ingested(arrivals: DataFrame, at: str | None = None) -> DataFrame:
 # --- Clusters ----------------------------------------------------------------------------------------------------------
 
 
-def cluster_log(spark: SparkSession, at: str) -> Log:
-    return Log(spark, f"{at}/log", f"{STATE}, is_duplicate boolean", lambda rows: rows)
+def _by_seconds(ts: str) -> Column:
+    return F.timestamp_seconds(ts)
+
+
+def cluster_log(spark: SparkSession, at: str) -> Days:
+    return Days(spark, f"{at}/log", f"{STATE}, is_duplicate boolean", _by_seconds("ts"))
+
+
+def _first_day(oldest: float | None, hours: float) -> datetime.date | None:
+    """A day that is surely not after what lies so many hours before a time, in any time zone."""
+    return None if oldest is None else datetime.datetime.fromtimestamp(oldest - hours * 3600, datetime.UTC).date() - datetime.timedelta(days=1)
 
 
 def cluster_job(items: DataFrame, at: str, every: str | None = None, hours: float = 48, **how) -> StreamingQuery:
@@ -146,7 +206,7 @@ def cluster_job(items: DataFrame, at: str, every: str | None = None, hours: floa
     def step(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         oldest = batch.agg(F.min("ts")).first()[0]
-        old = log.table(batch_id).drop("is_duplicate")
+        old = log.table(batch_id, _first_day(oldest, hours)).drop("is_duplicate")
         live = old if oldest is None else old.filter(F.col("ts") >= oldest - hours * 3600)
         got = assign(batch, live, hours=hours, **how)
         log.put(added(live, batch, got).join(got.select("id", "is_duplicate"), "id").select(*log_columns), batch_id)
@@ -178,18 +238,20 @@ class Ingest:
     """
 
     def __init__(self, spark: SparkSession, at: str) -> None:
-        same = lambda rows: rows
-        self.news, self.arrivals = Log(spark, f"{at}/news", NEWS, same), Log(spark, f"{at}/arrivals", ARRIVED, same)
-        self.vectors = Log(spark, f"{at}/vectors", STATE, same)
+        self.spark = spark
+        self.news, self.arrivals = Days(spark, f"{at}/news", NEWS, F.col("published_at")), Days(spark, f"{at}/arrivals", ARRIVED, F.col("timestamp"))
+        self.vectors = Days(spark, f"{at}/vectors", STATE, _by_seconds("ts"))
         # later snapshots of a trend carry the sums of the earlier ones
         self.trends = Log(spark, f"{at}/trends", LIVE_TRENDS, lambda rows: latest(rows, "trend_id", ["message_count"], [c.split()[0] for c in LIVE_TRENDS.split(", ")[1:]]))
 
     def step(self, batch: DataFrame, batch_id: int, hours: float = 48, **how) -> None:
         stamp = F.unix_micros(F.col("published_at").cast("timestamp")) / 1e6
         ids = F.xxhash64(F.coalesce("external_id", "document"), "published_at").alias("id")
-        new = kept(prepared(batch, self.news.table(batch_id)).select(ids, "*").dropDuplicates(["id"]).withColumn("ts", stamp), "polled")
+        first = _first_day(batch.agg(F.min(stamp)).first()[0], hours)
+        once = unseen(prepared(batch, self.news.table(batch_id, first)).select(ids, "*"), self.spark.createDataFrame([], "id long"), "id")
+        new = kept(once.withColumn("ts", stamp), "polled")
         oldest = new.agg(F.min("ts")).first()[0]
-        live = self.vectors.table(batch_id)
+        live = self.vectors.table(batch_id, first)
         live = live if oldest is None else live.filter(F.col("ts") >= oldest - hours * 3600)
         vectors = kept(new.select("id", embed("document").alias("embedding"), "ts", "document"), "embedded")
         got = kept(assign(vectors, live, hours=hours, **how), "assigned")

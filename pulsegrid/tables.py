@@ -40,11 +40,26 @@ def is_folder(spark: SparkSession, path: str) -> bool:
     return store.exists(at) and store.getFileStatus(at).isDirectory()
 
 
+def names(spark: SparkSession, path: str) -> list[str]:
+    at, store = _store(spark, path)
+    return [f.getPath().getName() for f in store.listStatus(at)] if store.exists(at) else []
+
+
 def children(spark: SparkSession, path: str) -> list[str]:
     """Names of the tables in a folder that were written to their end."""
+    return [n for n in names(spark, path) if is_written(spark, f"{path}/{n}")]
+
+
+def remove(spark: SparkSession, pattern: str) -> None:
+    """Delete the folders that a pattern names."""
+    at, store = _store(spark, pattern)
+    for found in store.globStatus(at) or []:
+        store.delete(found.getPath(), True)
+
+
+def touch(spark: SparkSession, path: str) -> None:
     at, store = _store(spark, path)
-    names = [f.getPath().getName() for f in store.listStatus(at)] if store.exists(at) else []
-    return [n for n in names if is_written(spark, f"{path}/{n}")]
+    store.create(at, True).close()
 
 
 def is_written(spark: SparkSession, path: str) -> bool:
@@ -58,11 +73,20 @@ def numbered(df: DataFrame, group: str, order: str, rank: str, name: str) -> Dat
     A group is cut over as many range partitions as its rows fill. Rows are counted within sorted partitions, and only
     one row a partition and group is summed over partitions.
     """
+    at, part, first, n, base, own = (fresh(df, x) for x in ("_at", "_part", "_first", "_n", "_base", "_group"))
     keys = [F.col(group), F.col(order)]
-    rows = kept(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()), name)
-    rows = rows.withColumns({"_part": F.shiftright("_at", 33), "_at": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
-    runs = rows.groupBy("_part", group).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    runs = kept(runs.select("_part", F.col(group).alias("_group"), (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_base")), f"{name}-runs")
-    out = rows.join(runs, (rows["_part"] == runs["_part"]) & rows[group].eqNullSafe(runs["_group"]))
-    return out.select(*(rows[c] for c in df.columns), (rows["_at"] + runs["_base"]).alias(rank))
+    rows = kept(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(at, F.monotonically_increasing_id()), name)
+    rows = rows.withColumns({part: F.shiftright(at, 33), at: F.col(at).bitwiseAND(F.lit((1 << 33) - 1))})
+    runs = rows.groupBy(part, group).agg(F.min(at).alias(first), F.count(F.lit(1)).alias(n))
+    before = Window.partitionBy(group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    runs = kept(runs.select(part, F.col(group).alias(own), (F.coalesce(F.sum(n).over(before), F.lit(0)) - F.col(first)).alias(base)), f"{name}-runs")
+    out = rows.join(runs, (rows[part] == runs[part]) & rows[group].eqNullSafe(runs[own]))
+    return out.select(*(rows[c] for c in df.columns), (rows[at] + runs[base]).alias(rank))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have yet, whatever the case."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name

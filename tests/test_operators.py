@@ -319,3 +319,12 @@ def test_index_against_the_stems_of_each_text(spark, tmp_path):
     trends = docs.selectExpr("id", "Term as title", "true as is_active", "timestamp_ntz'2024-01-01' as last_updated").filter("id IS NOT NULL")
     by_index, by_text = ({r.id for r in serving.listed(trends, query="okulda kitap", index=i).collect()} for i in (made, None))
     assert by_index == by_text and len(by_index) > 10
+
+
+def test_which_duplicate_stays_and_names_that_clash(spark):
+    rows = spark.createDataFrame([("k", f"v{i}", i) for i in range(8)], "key string, _at string, _n int")
+    none = spark.createDataFrame([], "key string")
+    kept = [R.unseen(rows.repartition(n, "_n"), none, "key").collect() for n in (1, 3, 8)]
+    assert kept[0] == kept[1] == kept[2] and len(kept[0]) == 1
+    got = R.unique_slugs(rows.withColumn("_Taken", F.lit("t")), "key", "_n")
+    assert sorted((r._n, r["_at"], r["_Taken"], r.unique_slug) for r in got.collect()) == [(i, f"v{i}", "t", "k" if not i else f"k-{i}") for i in range(8)]

@@ -92,6 +92,41 @@ def test_folded_batches_are_not_counted_again(spark, tmp_path):
     assert {r.trend_id: r.message_count for r in log.table().collect()} == {0: 1, 1: 6, 2: 1, 3: 1, 4: 1}
 
 
+def test_a_folding_batch_repeated_with_other_rows(spark, tmp_path):
+    log = jobs.trend_log(spark, str(tmp_path))
+    log.every = 2
+    one = lambda n: spark.createDataFrame([(1, n, NOW, NOW, True)], jobs.TRENDS)
+    log.put(one(1), 0)
+    log.put(one(1), 1)
+    log.put(one(5), 1)
+    assert [r.message_count for r in log.table().collect()] == [6]
+
+
+def test_a_log_stays_small(spark, tmp_path):
+    log = jobs.trend_log(spark, str(tmp_path))
+    log.every = 3
+    one = spark.createDataFrame([(1, 1, NOW, NOW, True)], jobs.TRENDS).coalesce(1)
+    for batch_id in range(24):
+        log.put(one, batch_id)
+    assert [r.message_count for r in log.table().collect()] == [24]
+    assert len(list((tmp_path / "log/upto").iterdir())) <= 2 and len(list((tmp_path / "log/batch").iterdir())) <= 6
+
+
+def test_days(spark, tmp_path):
+    schema = "id long, at timestamp_ntz"
+    days = jobs.Days(spark, str(tmp_path), schema, jobs.F.col("at"))
+    row = lambda k, day: (k, NOW + timedelta(days=day) if day is not None else None)
+    days.put(spark.createDataFrame([row(1, 0), row(2, 3)], schema), 0)
+    days.put(spark.createDataFrame([row(3, 3), row(4, 4), row(5, None)], schema), 1)
+    days.put(spark.createDataFrame([row(6, 3), row(5, None)], schema), 1)  # repeated with other rows, none of the fourth day
+    ids = lambda df: sorted(r.id for r in df.collect())
+    assert ids(days.table()) == [1, 2, 5, 6] and ids(days.table(1)) == [1, 2] and ids(days.table(0)) == []
+    late = days.table(since=(NOW + timedelta(days=2)).date())
+    assert ids(late) == [2, 5, 6] and not any("2024-01-01" in f for f in late.inputFiles())
+    (tmp_path / "last/1").rename(tmp_path / "last/0")  # as if batch 1 had not come to its end
+    assert ids(days.table()) == [1, 2]
+
+
 def test_restart_goes_on_where_it_stopped(spark, tmp_path):
     rows = [(i, i % 3, NOW + timedelta(minutes=7 * i)) for i in range(30)]
     path, at = str(tmp_path / "in"), str(tmp_path / "job")
