@@ -679,3 +679,30 @@ def sitemap_document(spark, sf):
     """The whole document: header, home page, categories, trends, end."""
     d = serving.sitemap_document(X.trends(spark, sf), "https://example.com")
     return d.agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.col("line").contains("/category/")).alias("categories"), F.count_if(F.col("line").contains("/trend/")).alias("trends"))
+
+
+@query("SELECT DISTINCT 'https://example.com/' || (doc_id // 2) AS external_id FROM documents WHERE length(coalesce(text, '')) + 2 + doc_id % 40 >= 30")
+def feed_stream(spark, sf):
+    """All documents as feeds on a site, polled by a job that is stopped and resumed: a third of the sources, then two thirds, then all."""
+    from .sources import polls
+
+    at = new_path(spark, "polls")
+    X.feed_bodies(spark, sf).repartition("source_name").write.partitionBy("source_name").text(f"{at}/site")
+    urls = spark.read.option("wholetext", "true").text(f"{at}/site").select("source_name", F.col("_metadata.file_path").alias("url"))
+    lines = [f"{r.source_name},{r.url}\n" for r in urls.orderBy("source_name").collect()]  # the list of sources: a setting, one line each
+    for k in (1, 2, 3):
+        polls.put(f"{at}/sources-{k}", "".join(lines[: -(-len(lines) * k // 3)]))
+        polls.poll_job(polls.stream(spark, f"{at}/sources-{k}", f"{at}/job", every_ms=1), f"{at}/job").awaitTermination()
+    return polls.taken(spark, f"{at}/job").table().select("external_id")
+
+
+@query(ORACLES["threshold_crossing_alerts"])
+def alert_outbox(spark, sf):
+    """The alerts as a stream into the outbox, read back: each once."""
+    from .streaming import outbox
+
+    found = kept(threshold_crossing_alerts(spark, sf), "alerts")
+    at = new_path(spark, "outbox")
+    rows = spark.readStream.schema(found.schema).option("maxFilesPerTrigger", 4).parquet(found.inputFiles()[0].rpartition("/")[0])
+    outbox.send(rows, f"{at}/box", f"{at}/job").awaitTermination()
+    return outbox.sent(spark, f"{at}/box", found.schema.simpleString()[7:-1].replace(":", " ")).drop("epoch")
