@@ -1,4 +1,4 @@
-"""Text: case folding, cleaning, slugs, HTML, keyword predicates and category scores. Built-in expressions only."""
+"""Text: case folding, cleaning, slugs, HTML, keyword predicates and category scores. Built-in expressions, but for the word lists of categories (patterns)."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicons as L
+from .patterns import sums
 
 
 def folded(t: Column) -> Column:
@@ -69,26 +70,35 @@ def is_junk(title: Column, reference: Column, words: list[str] = L.JUNK) -> Colu
     return any_word(folded(F.coalesce(F.nullif(title, F.lit("")), F.left(reference, F.lit(100)))), words)
 
 
+def _weights(levels: dict) -> dict[str, int]:
+    out: dict[str, int] = {}
+    for level, words in levels.items():
+        for w in words:
+            out[w] = out.get(w, 0) + L.LEVEL_WEIGHTS[level]
+    return out
+
+
 def keyword_score(t: Column, levels: dict[str, list[str]]) -> Column:
-    """The weights of the words that t contains, each word once. A projection: no join, no shuffle."""
-    parts = [F.when(t.contains(w), L.LEVEL_WEIGHTS[k]).otherwise(0) for k, words in levels.items() for w in words]
-    return reduce(lambda a, b: a + b, parts)
+    """The weights of the words that t contains, each word once. No join, no shuffle."""
+    return sums(t, [_weights(levels)])[0]
 
 
 def category_scores(t: Column, lexicon: dict | None = None, is_folded: bool = False) -> dict[str, Column]:
-    """Where t is folded already, in a projection before, that is done once for all words."""
-    return {c: keyword_score(t if is_folded else folded(t), levels) for c, levels in (lexicon or L.LEXICON).items()}
+    """Scores of all categories from one pass over t."""
+    own = lexicon or L.LEXICON
+    found = sums(t if is_folded else folded(t), [_weights(levels) for levels in own.values()])
+    return {c: found[i] for i, c in enumerate(own)}
 
 
 def penalised(scores: dict[str, Column], t: Column, rules: list | None = None) -> dict[str, Column]:
-    """Rules in order; each that finds one of its words lowers its categories' scores, never below 0."""
-    out = dict(scores)
-    for words, effects in L.PENALTIES if rules is None else rules:
-        found = any_word(folded(t), words)
+    """Rules in order; each that finds one of its words lowers its categories' scores, never below 0. All rules' words are found in one pass."""
+    out, own = dict(scores), L.PENALTIES if rules is None else rules
+    found = sums(folded(t), [dict.fromkeys(words, 1) for words, _ in own])
+    for i, (_, effects) in enumerate(own):
         for penalty, categories in effects:
             for c in categories:
                 if c in out:
-                    out[c] = F.when(found, F.greatest(F.lit(0), out[c] + penalty)).otherwise(out[c])
+                    out[c] = F.when(found[i] > 0, F.greatest(F.lit(0), out[c] + penalty)).otherwise(out[c])
     return out
 
 

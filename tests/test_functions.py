@@ -130,3 +130,15 @@ def test_display(spark):
     assert [ask(spark, c, x="pub_12_3") for c in D.callback(F.col("x"))] == ["pub", None] and [ask(spark, c, x="del_7") for c in D.callback(F.col("x"))] == ["del", 7]
     assert ask(spark, D.base_url(F.col("p"), F.col("f"), F.col("h")), p=None, f="", h="a.b/") == "https://a.b"
     assert '"description":"say \\"x\\""' in ask(spark, D.document(F.lit("s"), F.lit("t"), F.col("x"), F.col("d"), F.lit(None).cast("timestamp_ntz"), "b"), x='say "x"', d=NOW)
+
+
+def test_words_found_in_one_pass(spark):
+    """Words within words, at both ends, more than once, and none: as contains() finds them."""
+    from pulsegrid.functions.patterns import sums
+
+    groups = [{"a": 1, "ab": 2, "babab": 4}, {"çş": 10, "ab": 20}, {}]
+    texts = ["ababab", "xçşx", "ab", "", None, "zzz", "ÇŞ", "a" * 5000]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(sums(F.col("t"), groups)).collect()]
+    assert got == [[sum(w for k, w in g.items() if t and k in t) for g in groups] for t in texts]
+    assert [r[0] for r in df.select(sums(F.col("t"), [{}])).collect()] == [[0]] * len(texts)
