@@ -150,9 +150,10 @@ def scoring_queue(trends: DataFrame, limit: int = 50) -> DataFrame:
     return trends.filter("needs_scoring AND is_active").orderBy("id").limit(limit)
 
 
-def summary_queue(trends: DataFrame, limit: int = 5, least: float = 20) -> DataFrame:
+def summary_queue(trends: DataFrame, limit: int | None = 5, least: float = 20) -> DataFrame:
+    """The strongest active trends that have no summary, or all of those where limit is null."""
     t = trends.filter(F.col("is_active") & (F.col("final_tps") >= least) & (F.col("summary").isNull() | (F.col("summary") == "")))
-    return t.orderBy(F.col("final_tps").desc_nulls_first(), "id").limit(limit)
+    return t if limit is None else t.orderBy(F.col("final_tps").desc_nulls_first(), "id").limit(limit)
 
 
 def admin_list(trends: DataFrame, limit: int = 100) -> DataFrame:

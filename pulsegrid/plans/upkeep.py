@@ -38,8 +38,8 @@ def deleted(**tables: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
     return {name: t.limit(0) for name, t in tables.items()}, out
 
 
-def scoring_pass(trends: DataFrame, arrivals: DataFrame, news: DataFrame, similarity: Callable[[DataFrame], DataFrame], models: DataFrame, now: str, limit: int = 50, **lists) -> tuple[DataFrame, DataFrame]:
-    """The next snapshot of trends after up to ``limit`` waiting ones are scored, and the alerts that this gives rise to.
+def scoring_pass(trends: DataFrame, arrivals: DataFrame, news: DataFrame, similarity: Callable[[DataFrame], DataFrame], models: DataFrame, now: str, limit: int = 50, changed_only: bool = False, **lists) -> tuple[DataFrame, DataFrame]:
+    """The next snapshot of trends (or its changed rows only) after up to ``limit`` waiting ones are scored, and the alerts that this gives rise to.
 
     The inputs are cut to the waiting trends first, so that a pass costs what they have, not what all trends have: similarity is a function
     that is called with their ids (trend_id) and gives trend_id, similarity. A trend without any text keeps its scores and goes on waiting. An
@@ -52,7 +52,7 @@ def scoring_pass(trends: DataFrame, arrivals: DataFrame, news: DataFrame, simila
     columns = ["tps_signal", "tps_confidence", "final_tps", "previous_tps", "trajectory", "needs_scoring", "score", "last_updated"]
     new = new.withColumnRenamed("confidence", "tps_confidence").withColumns({"score": F.col("final_tps"), "last_updated": at(now)})
     new = kept(new.select(F.col("trend_id").alias("_id"), F.left("reference", F.lit(60)).alias("_head"), *(F.col(c).alias(f"_{c}") for c in columns)), "scored")
-    both = trends.join(F.broadcast(new), F.col("id") == F.col("_id"), "left")  # at most ``limit`` rows
+    both = trends.join(F.broadcast(new), F.col("id") == F.col("_id"), "inner" if changed_only else "left")  # at most ``limit`` rows
     known = lambda c: F.col(c) if c in trends.columns else F.lit(None)
     after = {c: F.when(F.col("_id").isNotNull(), F.col(f"_{c}")).otherwise(known(c)) for c in columns}
     snapshot = both.withColumns(after).drop("_id", "_head", *(f"_{c}" for c in columns))

@@ -706,3 +706,107 @@ def alert_outbox(spark, sf):
     rows = spark.readStream.schema(found.schema).option("maxFilesPerTrigger", 4).parquet(found.inputFiles()[0].rpartition("/")[0])
     outbox.send(rows, f"{at}/box", f"{at}/job").awaitTermination()
     return outbox.sent(spark, f"{at}/box", found.schema.simpleString()[7:-1].replace(":", " ")).drop("epoch")
+
+
+CONTEXTS = f"""{TRENDS_AND_NEWS}, q AS (SELECT * FROM trends WHERE is_active AND final_tps >= 20 AND (summary IS NULL OR summary = '')),
+i AS (SELECT *, row_number() OVER (PARTITION BY trend_id ORDER BY id) AS rn FROM news WHERE trend_id IN (SELECT id FROM q)),
+c AS (SELECT trend_id, string_agg('- ' || left(content, 1000), chr(10) ORDER BY rn) AS context FROM i WHERE rn <= 15 GROUP BY trend_id),
+t AS (SELECT trend_id AS doc_id, ['en', 'de', 'fr'][1 + length(context) % 3] AS lang, {FOLDED.format('context')} AS x, context FROM c WHERE context <> '')"""
+ANSWERED = f"""{CONTEXTS}, {penalty_sql().replace('SELECT doc_id, lang, x,', 'SELECT doc_id, lang, x, context,')}, w AS (SELECT *, CASE given WHEN 'Siyaset' THEN politics WHEN 'Spor' THEN sports ELSE 0 END AS own FROM z),
+a AS (SELECT doc_id AS id, context, length(context) % 7 <> 0 AS ok, CASE WHEN own < 15 AND top > 65 THEN best ELSE given END AS category, substr(context, 3, 40) AS headline, substr(context, 3, 300) AS summary FROM w),
+b AS (SELECT a.*, q.final_tps, CASE WHEN headline <> '' THEN {SLUG.format('headline')} END AS base FROM a JOIN q USING (id) WHERE ok),
+r AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY final_tps DESC, id) - 1 AS rank FROM b),
+u AS (SELECT *, CASE WHEN rank = 0 THEN base ELSE base || '-' || rank END AS given_slug FROM r),
+s AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY given_slug ORDER BY id) > 1 THEN given_slug || '-' || id ELSE given_slug END AS slug FROM u)"""
+
+
+def summaries_of(spark, sf):
+    """All waiting trends, whatever a pass would take."""
+    from . import models as M
+    from .plans.summaries import summarised
+
+    trends = X.trends(spark, sf)
+    return summarised(trends, X.raw_news(spark, sf), lambda text: M.answers(text, M.editor), X.ORDERS_NOW, limit=None, base_url="https://example.com", lexicon=OWN, rules=OWN_RULES)
+
+
+@query(f"""{ANSWERED} SELECT q.id, coalesce(s.headline, q.title) AS title, CASE WHEN s.id IS NULL THEN q.summary ELSE s.summary END AS summary, CASE WHEN s.id IS NULL THEN q.category ELSE s.category END AS category,
+CASE WHEN s.id IS NULL THEN q.slug ELSE s.slug END AS slug, s.id IS NOT NULL AS is_active, CASE WHEN s.id IS NULL THEN q.last_updated ELSE TIMESTAMP '2001-08-02' END AS last_updated FROM q JOIN a USING (id) LEFT JOIN s ON s.id = q.id""")
+def summary_pass(spark, sf):
+    """Every waiting trend that has news, as the summariser leaves it."""
+    return summaries_of(spark, sf).changes.select("id", "title", "summary", "category", "slug", "is_active", "last_updated")
+
+
+@query(f"""{ANSWERED}, m AS (SELECT id, final_tps, 'https://example.com/trend/' || coalesce(slug, '') AS url, context, summary, category, CASE category WHEN 'Spor' THEN '{L.CATEGORY_ICONS.get('Spor', '🔹')}' WHEN 'Siyaset' THEN '{L.CATEGORY_ICONS.get('Siyaset', '🔹')}' WHEN 'Sanat' THEN '{L.CATEGORY_ICONS.get('Sanat', '🔹')}' ELSE '{L.CATEGORY_ICONS.get('Ekonomi', '🔹')}' END
+  || ' ' || upper(category) || ' | ' || headline || chr(10) || chr(10) || summary AS message FROM s)
+SELECT 'post' AS kind, id, url, message FROM m WHERE final_tps >= 35 UNION ALL SELECT 'notice', id, url, NULL FROM m WHERE final_tps >= 25 UNION ALL SELECT 'cost', id, NULL, (length(context) // 4) || ' + ' || (length(summary) // 4) FROM m""")
+def summary_messages(spark, sf):
+    """What goes out from the summaries: posts to the channel, notices to search engines, and the tokens that each took, as the log of costs has them."""
+    got, none = summaries_of(spark, sf), F.lit(None).cast("string")
+    posts = got.posts.select(F.lit("post").alias("kind"), "id", "url", "message")
+    notices = got.notices.select(F.lit("notice").alias("kind"), "id", "url", none.alias("message"))
+    return posts.unionByName(notices).unionByName(got.log.select(F.lit("cost").alias("kind"), F.col("trend_id").alias("id"), none.alias("url"), F.concat("input_tokens", F.lit(" + "), "output_tokens").alias("message")))
+
+
+def stored_trends(spark, sf):
+    """All trends as a table on storage."""
+    from .schema import TRENDS as COLUMNS
+    from .streaming.snapshots import Snapshot
+
+    table = Snapshot(spark, new_path(spark, "stored-trends"), struct("trends"), parts=16)
+    none = {c: F.lit(None).cast("double") for c in ("tps_confidence", "previous_tps")}
+    table.put(X.trends(spark, sf).withColumns(none | {"trajectory": F.lit(None).cast("string")}).selectExpr(*(f"CAST({c.split()[0]} AS {c.split()[1]}) AS {c.split()[0]}" for c in COLUMNS.split(", "))), -1)
+    return table
+
+
+@query(f"""{QUEUED}, p AS (SELECT t.id, coalesce(s.final_tps, t.final_tps) AS final_tps, CASE WHEN s.trend_id IS NOT NULL THEN TIMESTAMP '2001-08-02' ELSE t.last_updated END AS last_updated, s.trend_id IS NULL AND needs_scoring AS needs_scoring, is_active, category FROM trends t LEFT JOIN s ON s.trend_id = t.id),
+h AS (SELECT *, date_diff('microsecond', last_updated, TIMESTAMP '2001-08-02 00:30:00') / 3.6e9 AS hours FROM p), d AS (SELECT *, coalesce(is_active AND final_tps > 3 AND hours >= 1, false) AS decayed FROM h),
+n AS (SELECT *, CASE WHEN decayed THEN final_tps * pow(CASE category {' '.join(f"WHEN '{k}' THEN {v}" for k, v in FACTORS.items())} ELSE 0.93 END, hours) ELSE final_tps END AS new_tps FROM d)
+SELECT id, round(new_tps, 6) AS final_tps, needs_scoring, is_active AND NOT (decayed AND new_tps < 2) AS is_active, (SELECT count(*) FILTER (decayed) FROM n) AS decayed, (SELECT count(*) FILTER (decayed AND new_tps < 2) FROM n) AS archived FROM n""")
+def worker_passes(spark, sf):
+    """A scoring pass and, half an hour later, one of decay, over trends on storage; the table that they leave, and what the second counted."""
+    from .streaming import workers
+
+    v, table = X.vectors(spark, sf), stored_trends(spark, sf)
+    near = lambda waiting: vectors.nearest(v.join(F.broadcast(waiting), v["id"] == waiting["trend_id"], "left_semi"), v, 1).select(F.col("query_id").alias("trend_id"), (1 - F.col("distance")).alias("similarity"))  # noqa: E731  # at most 50 rows
+    workers.scoring_step(table, 0, X.arrivals(spark, sf), X.raw_news(spark, sf), near, scoring.model_scores(models(spark, sf)), X.ORDERS_NOW, high=HIGH, medium=MEDIUM, turkish_case=True)
+    seen = workers.decay_step(table, 1, "2001-08-02 00:30:00", factors=FACTORS, other=L.DECAY_OTHER)
+    tps = F.when(F.col("trajectory").isNotNull(), F.round("final_tps", 4)).otherwise(F.round("final_tps", 6))
+    return table.table().select("id", tps.alias("final_tps"), "needs_scoring", "is_active", F.lit(seen["decayed"]).alias("decayed"), F.lit(seen["archived"]).alias("archived"))
+
+
+@query("""WITH n AS (SELECT doc_id, source AS channel, CASE WHEN doc_id % 2 = 0 THEN 0 ELSE 1 END AS run FROM documents), j AS (SELECT source FROM documents WHERE source IS NOT NULL GROUP BY source HAVING avg(n_chars) > (SELECT avg(n_chars) FROM documents))
+SELECT doc_id, channel, run FROM n WHERE run = 1 AND channel IS NOT NULL OR channel IN (SELECT source FROM j)""")
+def channel_watch(spark, sf):
+    """Documents as messages of their sources, in two runs of a job: the list names the sources whose documents are longer than the mean first, and all sources then."""
+    from .sources import polls
+    from .streaming import workers
+
+    d, at = X.table(spark, sf, "documents"), new_path(spark, "channels")
+    means = d.groupBy("source").agg(F.avg("n_chars").alias("mean"))
+    lists = [means.join(F.broadcast(d.agg(F.avg("n_chars").alias("all"))), F.col("mean") > F.col("all")), means]  # the right side is one row
+    schema = "doc_id long, channel string, run int"
+    for run, own in enumerate(lists):
+        names = own.filter("source IS NOT NULL").select("source").distinct().orderBy("source").collect()  # the list of channels: a setting, one line each
+        polls.put(f"{at}/list.txt", "# channels\n\n" + "".join(f"@{r.source}\n" for r in names))
+        d.filter(F.col("doc_id") % 2 == run).select("doc_id", F.col("source").alias("channel"), F.lit(run).alias("run")).write.mode("append").parquet(f"{at}/in")
+        channels = workers.Channels(spark, f"{at}/list.txt", f"{at}/job")
+        workers.channel_job(spark.readStream.schema(schema).parquet(f"{at}/in"), channels, f"{at}/job").awaitTermination()
+    return spark.read.schema(schema).parquet(f"{at}/job/messages").select("doc_id", "channel", "run")
+
+
+@query(f"""{TRENDS_AND_NEWS}, x AS (SELECT * FROM trends WHERE is_active AND last_updated >= TIMESTAMP '2001-07-03 00:00:00' AND NOT title ILIKE '%furn%' AND NOT title ILIKE '%burç%' ORDER BY final_tps DESC NULLS FIRST, last_updated DESC NULLS FIRST, id LIMIT 8),
+y AS (SELECT * FROM trends WHERE is_active AND id NOT IN (SELECT id FROM x) AND last_updated >= TIMESTAMP '2001-07-03 00:00:00' AND NOT title ILIKE '%furn%' AND NOT title ILIKE '%burç%' ORDER BY final_tps DESC NULLS FIRST, last_updated DESC NULLS FIRST, id LIMIT 8)
+SELECT s AS second, CASE WHEN s < 120 THEN x.id ELSE NULL END AS id, CASE WHEN s < 120 THEN coalesce(x.title, '') END AS title FROM x, (VALUES (0), (119)) v(s) UNION ALL SELECT 120, y.id, coalesce(y.title, '') FROM y""")
+def served_list(spark, sf):
+    """The hot list as it is served at three times, with all its trends switched off after the first: the stored list goes on until it is 120 seconds old."""
+    from .streaming.snapshots import served
+
+    trends, news, at = X.trends(spark, sf), X.raw_news(spark, sf), new_path(spark, "served")
+    out = []
+    for second in (0, 119, 120):
+        left = trends if second == 0 else upkeep.deactivated(trends, first)
+        made = served(spark, at, lambda t=left: serving.hot(t, news, X.ORDERS_NOW, hours=30 * 24, hide=["furn", "burç"]), 120, now=1e9 + second)
+        out.append(made.select(F.lit(second).alias("second"), F.from_json("value", "id long, title string").alias("x")).select("second", "x.id", "x.title"))
+        if second == 0:
+            first = kept(out[0].select("id"), "served-ids")
+    return reduce(DataFrame.unionByName, out)

@@ -23,8 +23,8 @@ def source_list(rows: DataFrame) -> DataFrame:
 
 
 def channel_list(rows: DataFrame) -> DataFrame:
-    """Distinct channel names, without a leading @."""
-    return rows.select(F.regexp_replace("line", "^@+", "").alias("channel")).filter("channel <> ''").distinct()
+    """Distinct channel names, without any @."""
+    return rows.select(F.replace("line", F.lit("@"), F.lit("")).alias("channel")).filter("channel <> ''").distinct()
 
 
 def monitor_log(spark: SparkSession, path: str) -> DataFrame:
