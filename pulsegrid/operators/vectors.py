@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import cosine
-from ..tables import kept
+from ..tables import kept, new_path
+from .relational import latest
 
 #: Vectors in a block; a task compares one block of queries with one of the base.
 BLOCK = 8192
@@ -30,6 +31,7 @@ def _local(k: int, exclude_self: bool, hours: float | None):
     def run(queries: pa.Table, base: pa.Table) -> pa.Table:
         out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if queries.num_rows and base.num_rows:
+            base = base.take(pa.array(np.argsort(base["id"].to_numpy(), kind="stable")))  # so that of equal distances the first has the least id
             ids, own = queries["id"].to_numpy(), base["id"].to_numpy()
             q, m = matrix(queries["embedding"].combine_chunks()), matrix(base["embedding"].combine_chunks()).T
             n = min(k, len(own))
@@ -40,24 +42,31 @@ def _local(k: int, exclude_self: bool, hours: float | None):
                     distance[some[:, None] == own[None, :]] = np.inf
                 if hours is not None:
                     distance[base["ts"].to_numpy()[None, :] < queries["ts"].to_numpy()[a : a + 256, None] - hours * 3600] = np.inf
-                best = _least(distance, own, n)
-                found = np.take_along_axis(distance, best, axis=1).ravel()
-                there = np.isfinite(found)
-                out.append((np.repeat(some, n)[there], own[best.ravel()][there], found[there]))
+                rows, places, found = _least(distance, n)
+                out.append((some[rows], own[places], found))
         return pa.table(dict(zip(("query_id", "id", "distance"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
     return run
 
 
-def _least(distance: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
-    """Places of the n least of each row, of equal ones those of the least ids."""
-    order = np.argsort(ids, kind="stable")
-    return order[np.argsort(distance[:, order], axis=1, kind="stable")[:, :n]]
+def _least(distance: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, places and values of the n least finite values of each row, of equal ones the first places. Only what isn't above the n-th least is sorted."""
+    bound = np.partition(distance, n - 1, axis=1)[:, n - 1]
+    rows, places = np.nonzero((distance <= bound[:, None]) & np.isfinite(distance))
+    found = distance[rows, places]
+    order = np.lexsort((places, found, rows))
+    rows, places, found = rows[order], places[order], found[order]
+    first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])[: len(rows)]
+    within = np.arange(len(rows)) - np.repeat(first, np.diff(np.r_[first, len(rows)]))
+    return rows[within < n], places[within < n], found[within < n]
 
 
 def _in_cells(queries: DataFrame, base: DataFrame, k: int, exclude_self: bool, hours: float | None, block: int) -> DataFrame:
     """query_id, id, distance, rank within shared cells. A cell of any size is cut into blocks, and each pair of blocks is a task's."""
-    spark, q, b = queries.sparkSession, kept(queries, "queries"), kept(base, "base")
+    spark, path = base.sparkSession, new_path(base.sparkSession, "base")
+    base.write.parquet(path)
+    b = spark.read.schema(base.schema).parquet(path)
+    q = spark.read.schema(base.schema).parquet(path) if queries is base else kept(queries, "queries")  # one table where both sides are one
     cores = spark.sparkContext.defaultParallelism
     blocks = lambda df, name, least: df.groupBy("cell").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), least(F.count(F.lit(1)))).cast("int").alias(name))
     # small cells are cut finer, so that there is a block for each core
@@ -82,7 +91,8 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, exclude_self: bool = Tr
     """
     columns = ["id", "embedding"] + ["ts"] * (hours is not None)
     one = F.lit(0).alias("cell")
-    return _in_cells(queries.select(*columns, one), base.select(*columns, one), k, exclude_self, hours, block)
+    b = base.select(*columns, one)
+    return _in_cells(b if queries is base else queries.select(*columns, one), b, k, exclude_self, hours, block)
 
 
 def centres(vectors: DataFrame, cells: int, sample: int = SAMPLE, rounds: int = 12) -> np.ndarray:
@@ -128,6 +138,14 @@ def nearest_sql(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def first_where(vectors: DataFrame, key: str, *conditions, columns: tuple[str, ...] = ("document",)) -> DataFrame:
+    """Of each key the oldest vector (least timestamp, then greatest of the columns) whose metadata meet all conditions; the filters reach the scan."""
+    some = vectors
+    for c in conditions:
+        some = some.filter(c)
+    return latest(some.withColumn("_age", -F.col("timestamp")), key, ["_age"], list(columns))
+
+
 def related(neighbours: DataFrame, clusters: DataFrame, limit: int) -> DataFrame:
     """For each query the nearest clusters other than its own, one row to a cluster. Takes place after the cut to the neighbours."""
     of = clusters.select(F.col("id").alias("_id"), "cluster_id")
