@@ -90,3 +90,9 @@ def page(name: Column, titles: dict[str, str], other: str = " Haberleri") -> tup
     category = capitalised(name)
     known = F.when(category.isin(L.CATEGORIES), category)
     return known, F.coalesce(lookup(known, titles), F.concat(known, F.lit(other)))
+
+
+def page_description(name: Column, descriptions: dict[str, str], other: str) -> Column:
+    """What a category's page says of itself, or ``other``; null for names that are no category."""
+    known, _ = page(name, {name: "" for name in L.CATEGORIES})
+    return F.when(known.isNotNull(), lookup(known, descriptions, other) if descriptions else F.lit(other))

@@ -69,6 +69,19 @@ def timeline(trends: DataFrame, news: DataFrame, offset: int = 0, limit: int = 3
     return shown(t.orderBy(F.col("first_seen").desc_nulls_first(), "id").offset(offset).limit(limit), news)
 
 
+def more(page: DataFrame, limit: int = 32) -> DataFrame:
+    """listed, more: how many entries a page has, and whether to offer the next one, which is so unless the page is shorter than asked for."""
+    return page.agg(F.count(F.lit(1)).alias("listed")).select("listed", (F.col("listed") >= limit).alias("more"))
+
+
+def bot_top(trends: DataFrame, limit: int = 5, pending: str = "...") -> DataFrame:
+    """place, id, line: the strongest active trends as the bot lists them."""
+    top = trends.filter("is_active").orderBy(F.col("final_tps").desc_nulls_first(), "id").limit(limit)
+    place = F.row_number().over(Window.orderBy(F.col("final_tps").desc_nulls_first(), "id"))  # ``limit`` rows
+    line = F.concat_ws("", F.col("place"), F.lit(". <code>"), F.format_string("%.1f", F.coalesce("final_tps", F.lit(0.0))), F.lit("</code> | "), F.coalesce(D.full(F.col("title")), F.lit(pending)))
+    return top.withColumn("place", place).select("place", "id", line.alias("line"))
+
+
 def detail(news: DataFrame, k: int = 20) -> DataFrame:
     """trend_id and its newest items as an array of structs."""
     top = top_of_each(news, "trend_id", [F.col("published_at").desc_nulls_first(), F.col("id").desc()], k)

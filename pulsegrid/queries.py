@@ -530,15 +530,15 @@ def source_list_scan(spark, sf):
     return source_list(d)
 
 
-@query(f"""{TRENDS} SELECT id, upper(left(category, 1)) || lower(substr(category, 2)) AS capitalised, '🔹 ' || upper(category) || ' | ' || title || chr(10) || chr(10) || CASE WHEN length(summary) > 18 THEN left(summary, 18) || '...' ELSE summary END AS post FROM trends WHERE title IS NOT NULL AND summary IS NOT NULL AND category IS NOT NULL""")
+@query(f"""{TRENDS} SELECT id, upper(left(coalesce(category, 'Gündem'), 1)) || lower(substr(coalesce(category, 'Gündem'), 2)) AS capitalised, CASE WHEN category IS NULL THEN '📢 ' ELSE '🔹 ' END || upper(coalesce(category, 'Gündem')) || ' | ' || coalesce(title, '') || chr(10) || chr(10) || CASE WHEN length(summary) > 18 THEN left(summary, 18) || '...' ELSE coalesce(summary, '') END AS post FROM trends""")
 def post_messages(spark, sf):
-    t = X.trends(spark, sf).filter("title IS NOT NULL AND summary IS NOT NULL AND category IS NOT NULL")
+    t = X.trends(spark, sf).fillna({"title": "", "summary": "", "category": "Gündem"})
     return t.select("id", D.capitalised(F.col("category")).alias("capitalised"), D.post(F.col("category"), F.col("title"), D.cut(F.col("summary"), 18)).alias("post"))
 
 
-@query(f"""{TRENDS} SELECT id, 'https://example.com/trend/' || coalesce(nullif(slug, ''), cluster_id) AS link, title AS headline, left(coalesce(summary, ''), 200) AS description, coalesce(summary, '') AS body, strftime(first_seen, '%Y-%m-%dT%H:%M:%S+00:00') AS published, strftime(last_updated, '%Y-%m-%dT%H:%M:%S+00:00') AS modified FROM trends WHERE title IS NOT NULL""")
+@query(f"""{TRENDS} SELECT id, 'https://example.com/trend/' || coalesce(nullif(slug, ''), cluster_id) AS link, coalesce(title, '') AS headline, left(coalesce(summary, ''), 200) AS description, coalesce(summary, '') AS body, strftime(first_seen, '%Y-%m-%dT%H:%M:%S+00:00') AS published, strftime(last_updated, '%Y-%m-%dT%H:%M:%S+00:00') AS modified FROM trends""")
 def structured_documents(spark, sf):
-    t = X.trends(spark, sf).filter("title IS NOT NULL")
+    t = X.trends(spark, sf).fillna({"title": ""})
     x = D.document(F.coalesce(D.full(F.col("slug")), F.col("cluster_id")), F.col("title"), F.col("summary"), F.col("first_seen"), F.col("last_updated"), "https://example.com")
     get = lambda k: F.get_json_object(x, f"$.{k}")
     return t.select("id", get("id").alias("link"), get("headline").alias("headline"), get("description").alias("description"), get("articleBody").alias("body"), get("datePublished").alias("published"), get("dateModified").alias("modified"))
@@ -551,11 +551,11 @@ def callback_parse(spark, sf):
     return e.select("user_id", "data", number.alias("number"), action.alias("action")).groupBy("user_id", "data", "number", "action").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'Spor' WHEN 1 THEN 'Sanat' END AS category, CASE p_size % 3 WHEN 0 THEN 'Sports' WHEN 1 THEN 'Sanat Haberleri' END AS title FROM part")
+@query("SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'Spor' WHEN 1 THEN 'Sanat' END AS category, CASE p_size % 3 WHEN 0 THEN 'Sports' WHEN 1 THEN 'Sanat Haberleri' END AS title, CASE p_size % 3 WHEN 0 THEN 'All of sports' WHEN 1 THEN 'News' END AS description FROM part")
 def category_pages(spark, sf):
     name = F.when(F.col("p_size") % 3 == 0, "sPOR").when(F.col("p_size") % 3 == 1, "sanat").otherwise("none")
     category, title = D.page(name, {"Spor": "Sports"})
-    return X.table(spark, sf, "part").select("p_partkey", category.alias("category"), title.alias("title"))
+    return X.table(spark, sf, "part").select("p_partkey", category.alias("category"), title.alias("title"), D.page_description(name, {"Spor": "All of sports"}, "News").alias("description"))
 
 
 @query("SELECT doc_id // 40 AS feed, count(*) AS n, sum(length(coalesce(text, '')))::BIGINT AS chars FROM documents WHERE length(coalesce(text, '')) + 2 + doc_id % 40 >= 30 GROUP BY 1")
@@ -582,9 +582,9 @@ def ingest_upsert(spark, sf):
     return both.join(newest, "trend_id").select("trend_id", "newest_id", "message_count", "first_seen", "last_updated", "title", "slug")
 
 
-@query(f"{NEWS}, r AS (SELECT trend_id, arg_min(content, id) AS reference FROM news GROUP BY trend_id) SELECT trend_id, left(reference, 60) AS head FROM r")
+@query(f"{NEWS}, r AS (SELECT trend_id, arg_min(content, id) AS reference FROM news GROUP BY trend_id) SELECT trend_id, reference FROM r")
 def reference_texts(spark, sf):
-    return scoring.reference_texts(X.raw_news(spark, sf)).select("trend_id", F.left("reference", F.lit(60)).alias("head"))
+    return scoring.reference_texts(X.raw_news(spark, sf))
 
 
 @query(f"{TRENDS} SELECT id, CASE WHEN id IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT') THEN NOT is_active ELSE is_active END AS is_active, NOT (id IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')) AND is_active AS left_active FROM trends")
@@ -810,3 +810,53 @@ def served_list(spark, sf):
         if second == 0:
             first = kept(out[0].select("id"), "served-ids")
     return reduce(DataFrame.unionByName, out)
+
+
+TAGGED = """v AS (SELECT user_id AS trend_id, text AS document, epoch_us(ts) / 1e6 AS timestamp, label % 3 = 0 AS is_reference, label AS cluster_id FROM embeddings JOIN events ON vec_id = event_id JOIN documents ON vec_id = doc_id WHERE text IS NOT NULL)"""
+
+
+def tagged_vectors(spark, sf):
+    """Vectors with the metadata of their document: one in three labels marks references."""
+    e, ev, d = X.table(spark, sf, "embeddings"), X.table(spark, sf, "events"), X.table(spark, sf, "documents").filter("text IS NOT NULL")
+    rows = e.join(ev, F.col("vec_id") == F.col("event_id")).join(d, F.col("vec_id") == F.col("doc_id"))
+    return rows.select(F.col("user_id").alias("trend_id"), F.col("text").alias("document"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("timestamp"), (F.col("label") % 3 == 0).alias("is_reference"), F.col("label").alias("cluster_id"))
+
+
+@query(f"""{NEWS}, {TAGGED}, r AS (SELECT trend_id, arg_min(content, id) AS first_text FROM news GROUP BY trend_id), k AS (SELECT *, row_number() OVER (PARTITION BY trend_id ORDER BY is_reference DESC, timestamp, document DESC) AS rn FROM v)
+SELECT coalesce(k.trend_id, r.trend_id) AS trend_id, coalesce(document, first_text) AS reference, document IS NOT NULL AND is_reference AS tagged FROM (SELECT * FROM k WHERE rn = 1) k FULL JOIN r ON k.trend_id = r.trend_id""")
+def reference_documents(spark, sf):
+    """The reference text of each trend: its tagged vector's document, else another of its vectors', else its first item."""
+    v = tagged_vectors(spark, sf)
+    tagged = v.filter("is_reference").select("trend_id").distinct().withColumn("tagged", F.lit(True))
+    return scoring.reference_texts(X.raw_news(spark, sf), v).join(tagged, "trend_id", "left").fillna({"tagged": False})
+
+
+@query(f"WITH {TAGGED}, k AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY timestamp, document DESC) AS rn FROM v WHERE is_reference AND cluster_id > 0) SELECT cluster_id, document FROM k WHERE rn = 1")
+def vector_lookup(spark, sf):
+    """The first reference of each cluster, found by its metadata alone."""
+    return vectors.first_where(tagged_vectors(spark, sf), "cluster_id", F.col("is_reference"), F.col("cluster_id") > 0)
+
+
+@query(f"{TRENDS}, x AS (SELECT count(*) AS n FROM trends WHERE is_active) SELECT o::INT AS \"offset\", least(32, greatest(0, n - o)) AS listed, n - o >= 32 AS more FROM x, (VALUES (0), (640), (1000000)) t(o)")
+def timeline_more(spark, sf):
+    """Whether the timeline offers another page, at its start, further down and beyond its end."""
+    t, news = X.trends(spark, sf), X.raw_news(spark, sf)
+    pages = [serving.more(serving.timeline(t, news, offset=o)).select(F.lit(o).alias("offset"), "*") for o in (0, 640, 1_000_000)]
+    return reduce(DataFrame.unionByName, pages)
+
+
+@query(f"{TRENDS}, x AS (SELECT *, row_number() OVER (ORDER BY final_tps DESC NULLS FIRST, id) AS place FROM trends WHERE is_active) SELECT place::INT AS place, id, place || '. <code>' || printf('%.1f', coalesce(final_tps, 0)) || '</code> | ' || coalesce(nullif(title, ''), '...') AS line FROM x WHERE place <= 5")
+def bot_top(spark, sf):
+    return serving.bot_top(X.trends(spark, sf))
+
+
+@query("""WITH k AS (SELECT DISTINCT p_brand AS key FROM part), s AS (SELECT key, row_number() OVER (ORDER BY key) AS id FROM k), d(key, value) AS (VALUES ('auto_publish_threshold', '35.0'), ('hidden_words', ''), ((SELECT min(key) FROM k), 'lost')),
+n AS (SELECT key, value, row_number() OVER (ORDER BY key) AS i FROM d) SELECT id, key, 'set' AS value, TIMESTAMP '2024-01-01' AS updated_at FROM s UNION ALL SELECT i + (SELECT max(id) FROM s), key, value, TIMESTAMP '2024-01-02' FROM n WHERE key NOT IN (SELECT key FROM k)""")
+def seeded_settings(spark, sf):
+    """Settings named after all brands, and the defaults that are added where their key is missing."""
+    from .schema import seeded
+
+    brands = X.table(spark, sf, "part").select(F.col("p_brand").alias("key")).distinct()
+    old = brands.select(F.row_number().over(Window.orderBy("key")).cast("long").alias("id"), "key", F.lit("set").alias("value"), F.lit("2024-01-01").cast("timestamp_ntz").alias("updated_at"))  # a few brands
+    least = brands.agg(F.min("key")).first()[0]
+    return seeded(old, {"auto_publish_threshold": "35.0", "hidden_words": "", least: "lost"}, "2024-01-02")

@@ -29,6 +29,15 @@ def evolve(df: DataFrame, schema: StructType, defaults: dict | None = None) -> D
     return df.select(*((F.col(f.name) if f.name in own else F.lit(defaults.get(f.name))).cast(f.dataType).alias(f.name) for f in schema))
 
 
+def seeded(settings: DataFrame, defaults: dict[str, str], now: str) -> DataFrame:
+    """settings with a row for each default whose key isn't there; keys that are there keep their value. New ids follow the greatest."""
+    rows = [(i, k, v) for i, (k, v) in enumerate(sorted(defaults.items()), 1)]
+    new = settings.sparkSession.createDataFrame(rows, "id long, key string, value string").join(settings.select("key"), "key", "left_anti")
+    last = settings.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))
+    new = new.crossJoin(F.broadcast(last)).select((F.col("id") + F.col("_last")).alias("id"), "key", "value", F.lit(now).cast("timestamp_ntz").alias("updated_at"))  # one row
+    return settings.select("id", "key", "value", "updated_at").unionByName(new)
+
+
 def reset(trends: DataFrame) -> DataFrame:
     """Summaries, titles and categories forgotten and scores set to 0; final_tps stays."""
     empty = {c: F.lit(None).cast("string") for c in ("summary", "title", "category")}
