@@ -144,19 +144,20 @@ class Prefixes(Table):
     def plain(self, text: str) -> bytes:
         pieces = PIECE.findall(text) if not UNUSUAL.search(text) else self.cut(text)
         own = dict(zip(distinct := list(dict.fromkeys(pieces)), self.pieces.get(distinct, self.of_pieces), strict=True))
+        steps = b"".join(map(own.__getitem__, pieces))
+        blank = {x for x in distinct if x.isspace()}
+        runs = [i for i, x in enumerate(pieces[:-1]) if x in blank and pieces[i + 1][0].isspace()] if blank else []
+        if not runs:
+            return steps
         # where the last of a run of blanks begins the next piece, a prefix that ends with it still has the run as one piece
-        out, previous, before, total = [], "", 0, 0
-        for x in pieces:
-            steps = np.frombuffer(own[x], np.int8).astype(np.int64)
-            counts = total + np.cumsum(steps)
-            upto = total + int(steps.sum())
-            if previous.isspace() and x[0].isspace():
-                first = len(x[0].encode())
-                (run,) = self.merges.counts([(previous + x[0]).encode()])
-                counts[:first] = np.array(run[-first:]) + before
-            out.append(counts)
-            previous, before, total = x, total, upto
-        return np.diff(np.concatenate([np.zeros(1, np.int64), *out])).astype(np.int8).tobytes()
+        counts = np.concatenate(([0], np.cumsum(np.frombuffer(steps, np.int8), dtype=np.int64)))
+        starts = np.concatenate(([0], np.cumsum([len(own[x]) for x in pieces])))
+        befores = counts[starts[runs]].tolist()
+        for i, before in zip(runs, befores, strict=True):
+            run, at = pieces[i] + pieces[i + 1][0], int(starts[i + 1])
+            first = len(pieces[i + 1][0].encode())
+            counts[at + 1 : at + 1 + first] = np.frombuffer(self.pieces.get([run], self.of_pieces)[0], np.int8).cumsum(dtype=np.int64)[-first:] + before
+        return np.diff(counts).astype(np.int8).tobytes()
 
     def whole(self, text: str) -> bytes:
         """Special strings are one token once complete, and plain text until then."""
