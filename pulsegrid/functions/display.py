@@ -52,9 +52,29 @@ def capitalised(c: Column) -> Column:
     return F.concat(F.upper(F.left(c, F.lit(1))), F.lower(F.substring(c, 2, 1 << 30)))
 
 
+def fixed(x: Column, n: int) -> Column:
+    """x with n decimals as printf writes it: rounded from the exact binary value, halves to even. Java's formatter rounds halves up.
+
+    p + e is x times 10^n without any loss (Dekker's product), so the comparison with a half is exact. Beyond 2^52 there is nothing to round.
+    """
+    ten, split = float(10**n), float((1 << 27) + 1)
+    high = split * ten - (split * ten - ten)
+    size = F.abs(x)
+    p, c = size * ten, size * split
+    upper = c - (c - size)
+    lower = size - upper
+    e = ((upper * high - p) + upper * (ten - high) + lower * high) + lower * (ten - high)
+    down = F.floor(p)
+    over = (p - down - 0.5) + e
+    whole = down + F.when((over > 0) | ((over == 0) & (down % 2 == 1)), 1).otherwise(0)
+    rest = whole % 10**n
+    text = F.concat(F.when(x < 0, "-").otherwise(""), ((whole - rest) / ten).cast("long").cast("string"), F.lit("."), F.lpad(rest.cast("string"), n, "0"))
+    return F.when(x.isNotNull(), F.when(p < float(1 << 52), text).otherwise(F.format_string(f"%.{n}f", x)))
+
+
 def alert(title: Column, tps: Column, course: Column) -> Column:
     icon = F.when(course == "up", "⏫").otherwise("🔥")
-    return F.concat(icon, F.lit(" "), title, F.lit(" | "), F.format_string("%.1f", tps), F.lit(" TPS | "), F.upper(course))
+    return F.concat(icon, F.lit(" "), title, F.lit(" | "), fixed(tps, 1), F.lit(" TPS | "), F.upper(course))
 
 
 def post(category: Column, title: Column, summary: Column) -> Column:

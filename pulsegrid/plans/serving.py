@@ -78,7 +78,7 @@ def bot_top(trends: DataFrame, limit: int = 5, pending: str = "...") -> DataFram
     """place, id, line: the strongest active trends as the bot lists them."""
     top = trends.filter("is_active").orderBy(F.col("final_tps").desc_nulls_first(), "id").limit(limit)
     place = F.row_number().over(Window.orderBy(F.col("final_tps").desc_nulls_first(), "id"))  # ``limit`` rows
-    line = F.concat_ws("", F.col("place"), F.lit(". <code>"), F.format_string("%.1f", F.coalesce("final_tps", F.lit(0.0))), F.lit("</code> | "), F.coalesce(D.full(F.col("title")), F.lit(pending)))
+    line = F.concat_ws("", F.col("place"), F.lit(". <code>"), D.fixed(F.coalesce("final_tps", F.lit(0.0)), 1), F.lit("</code> | "), F.coalesce(D.full(F.col("title")), F.lit(pending)))
     return top.withColumn("place", place).select("place", "id", line.alias("line"))
 
 

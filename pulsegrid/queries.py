@@ -454,7 +454,7 @@ def log_categories(spark, sf):
 @query("SELECT strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS timestamp, l_orderkey AS trend_id, l_linenumber AS line, printf('%.8f', trunc(l_quantity * 2) * 7.5e-8 + floor(l_extendedprice / 100) * 3e-7) AS cost FROM lineitem ORDER BY l_shipdate DESC, l_orderkey, l_linenumber LIMIT 20")
 def log_recent(spark, sf):
     t = X.log(spark, sf).orderBy(F.col("timestamp").desc(), "trend_id", "line").limit(20)
-    return t.select("timestamp", "trend_id", "line", F.format_string("%.8f", S.cost(F.col("input_tokens"), F.col("output_tokens"))).alias("cost"))
+    return t.select("timestamp", "trend_id", "line", D.fixed(S.cost(F.col("input_tokens"), F.col("output_tokens")), 8).alias("cost"))
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 30 ELSE coalesce(json_extract_string(props, '$.k')::DOUBLE, 30) END::DOUBLE AS entity, 30::DOUBLE AS criticality, false AS opinion FROM events""")

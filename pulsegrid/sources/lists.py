@@ -39,9 +39,10 @@ def monitor_log(spark: SparkSession, path: str) -> DataFrame:
 
 def write_log(rows: DataFrame, path: str) -> None:
     """Append rows of the log with their cost to eight digits."""
+    from ..functions.display import fixed
     from ..functions.scores import cost
 
-    out = rows.withColumn("cost_usd", F.format_string("%.8f", cost(F.col("input_tokens"), F.col("output_tokens"))))
+    out = rows.withColumn("cost_usd", fixed(cost(F.col("input_tokens"), F.col("output_tokens")), 8))
     out.select(*struct("log").names).write.mode("append").csv(path, header=True)
 
 

@@ -1,4 +1,5 @@
 import math
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -142,3 +143,13 @@ def test_words_found_in_one_pass(spark):
     got = [r[0] for r in df.select(sums(F.col("t"), groups)).collect()]
     assert got == [[sum(w for k, w in g.items() if t and k in t) for g in groups] for t in texts]
     assert [r[0] for r in df.select(sums(F.col("t"), [{}])).collect()] == [[0]] * len(texts)
+
+
+def test_fixed_rounds_like_printf(spark):
+    rng = random.Random(5)
+    x = [0.0, 0.05, 0.15, 0.25, 0.35, 0.75, 2.5e-3, 0.95, 9.95, 9.96, 20.25, 35.15, 99.25, 99.75, 99.95, -0.26, 1e15 + 0.5, 7.5e-8, 2.25e-7, 7.425e-6, 1.5e-8, 5e-9, None]
+    x += [rng.randrange(100_000) / 4000 for _ in range(300)] + [rng.randrange(2000) * 7.5e-8 + rng.randrange(900) * 3e-7 for _ in range(300)]
+    df = spark.createDataFrame([(v,) for v in x], "x double")
+    for n in (1, 8):
+        got = [r[0] for r in df.select(D.fixed(F.col("x"), n)).collect()]
+        assert got == [None if v is None else f"{v:.{n}f}" for v in x]
