@@ -209,3 +209,15 @@ def test_one_clock_runs_all_steps(spark, tmp_path):
     finally:
         q.stop()
     assert [n for n, _ in ran[:5]] == ["score", "score", "summary", "score", "decay"] and [i for _, i in ran[:5]] == list(range(5))
+
+
+def test_the_outbox_gets_scores_as_printf_writes_them(spark, tmp_path):
+    from pulsegrid.plans.serving import alerts
+    from pulsegrid.streaming import outbox
+
+    rows = [(1, "a", 99.25, 0.0, "up"), (2, "b", 99.75, 1.0, "up"), (3, "c", 35.15, None, "down"), (4, "d", 20.05, 2.0, "steady"), (5, "e", 99.25, 30.0, "up")]
+    found = alerts(spark.createDataFrame(rows, "id long, title string, final_tps double, previous_tps double, trajectory string")).select("id", "message")
+    found.write.parquet(str(tmp_path / "in"))
+    outbox.send(spark.readStream.schema(found.schema).parquet(str(tmp_path / "in")), str(tmp_path / "box"), str(tmp_path / "job")).awaitTermination()
+    got = dict(map(tuple, outbox.sent(spark, str(tmp_path / "box"), "id long, message string").drop("epoch").collect()))
+    assert got == {i: f"{'⏫' if c == 'up' else '🔥'} {t} | {v:.1f} TPS | {c.upper()}" for i, t, v, _, c in rows[:4]}
