@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import cosine
-from ..tables import kept, new_path
+from ..tables import kept, names, new_path
 from .relational import latest
 
 #: Vectors in a block; a task compares one block of queries with one of the base.
@@ -164,29 +164,48 @@ def shared_words(a: str | None, b: str | None, least: float = 0.3) -> bool:
     return bool(x and y) and len(x & y) >= least * len(x | y)
 
 
+def _earlier(m: np.ndarray, times: np.ndarray, seconds: float, k: int):
+    """For each row in order: those before it that are at most so many seconds older, none of them beyond the k-th nearest, and their distances. Rows are in order of time."""
+    for a in range(0, len(m), 256):
+        b = min(len(m), a + 256)
+        lo = int(np.searchsorted(times, times[a] - seconds))
+        own, some = np.arange(a, b)[:, None], np.arange(lo, b)[None, :]
+        distance = 1 - m[a:b] @ m[lo:b].T
+        distance[~((some < own) & (times[some] >= times[own] - seconds))] = np.inf
+        bound = np.partition(distance, k - 1, axis=1)[:, k - 1] if b - lo > k else np.full(b - a, np.inf)
+        rows, places = np.nonzero((distance <= bound[:, None] + 1e-9) & np.isfinite(distance))  # a little more, as products in blocks differ in the last digits
+        ends = np.searchsorted(rows, np.arange(b - a + 1))
+        for r in range(b - a):
+            j = places[ends[r] : ends[r + 1]] + lo
+            yield j, 1 - (m[j] * m[a + r]).sum(axis=1)
+
+
 def resolve(batch: pd.DataFrame, match: Match, auto: float, far: float, hours: float, k: int) -> pd.DataFrame:
-    """Leader clustering of one batch in order of (ts, id). near holds each item's k nearest in the state: (distance, cluster, reference)."""
+    """Leader clustering of one batch in order of (ts, id). near holds each item's k nearest in the state: (distance, cluster, reference).
+
+    What a batch holds of its own is searched by products of blocks of rows; only the k nearest of an item, and what is as near as the last of them, are looked at one by one.
+    """
     batch = batch.sort_values(["ts", "id"]).reset_index(drop=True)
-    m, times = np.array(batch["embedding"].tolist(), dtype=np.float64), batch["ts"].to_numpy()
-    chosen: list[int] = []
+    m, times = np.array(batch["embedding"].tolist(), dtype=np.float64).reshape(len(batch), -1), batch["ts"].to_numpy()
+    chosen = np.zeros(len(batch), np.int64)
     reference: dict[int, str | None] = {}
-    for i, row in enumerate(batch.itertuples(index=False)):
-        near = [(float(n["distance"]), int(n["cluster_id"]), n["reference"]) for n in (row.near if row.near is not None else [])]
-        live = np.flatnonzero(times[:i] >= row.ts - hours * 3600)
-        near += [(float(1 - m[j] @ m[i]), chosen[j], reference[chosen[j]]) for j in live]
+    for i, (row, (j, distances)) in enumerate(zip(batch.itertuples(index=False), _earlier(m, times, hours * 3600, k), strict=True)):
+        near = [] if row.near is None else row.near
+        for n in near:
+            reference.setdefault(int(n["cluster_id"]), n["reference"])
+        first = np.lexsort((chosen[j], distances))[:k]
+        both = [(float(n["distance"]), int(n["cluster_id"])) for n in near] + list(zip(distances[first].tolist(), chosen[j[first]].tolist(), strict=True))
         found, seen = None, set()
-        for distance, cluster, text in sorted(near, key=lambda x: x[:2])[:k]:
+        for distance, cluster in sorted(both)[:k]:
             if cluster in seen or distance > far:
                 continue
             seen.add(cluster)
-            if distance < auto or match(text, row.document):
+            if distance < auto or match(reference[cluster], row.document):
                 found = cluster
                 break
-        chosen.append(int(row.id) if found is None else found)
-        for _, cluster, text in near:
-            reference.setdefault(cluster, text)
-        reference.setdefault(chosen[-1], row.document)
-    return pd.DataFrame({"id": batch["id"], "cluster_id": chosen, "is_duplicate": [c != i for c, i in zip(chosen, batch["id"], strict=True)]})
+        chosen[i] = row.id if found is None else found
+        reference.setdefault(int(chosen[i]), row.document)
+    return pd.DataFrame({"id": batch["id"], "cluster_id": chosen, "is_duplicate": chosen != batch["id"].to_numpy()})
 
 
 def assign(batch: DataFrame, state: DataFrame, match: Match = shared_words, auto: float = 0.07, far: float = 0.42, hours: float = 48, k: int = 5) -> DataFrame:
@@ -225,21 +244,23 @@ def leader_clusters(items: DataFrame, batches: int | None = None, hours: float =
     There are as many batches as keep each at about BATCH rows; many rows of one time stay in one batch.
     """
     spark = items.sparkSession
+    items = kept(items.select("id", "embedding", "ts", "document"), "items")  # what makes them is run once
     batches = batches or max(1, -(-items.count() // BATCH))
     edges = items.select(F.percentile_approx("ts", [i / batches for i in range(1, batches)] or [1.0], 10000).alias("e")).first()["e"] or []
     edges = sorted(set(edges)) if batches > 1 else []
-    states: list[DataFrame] = []
-    out, lower = None, None
-    for upper in [*edges, None]:
-        part = items
-        part = part if lower is None else part.filter(F.col("ts") > lower)
-        part = part if upper is None else part.filter(F.col("ts") <= upper)
+    path = new_path(spark, "item-batches")  # so that a batch reads its own rows only
+    number = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col("ts"))) if edges else F.lit(0)
+    items.withColumn("_batch", number).write.partitionBy("_batch").parquet(path)
+    states: list[tuple[int, DataFrame]] = []
+    out = spark.createDataFrame([], "id long, cluster_id long, is_duplicate boolean")
+    for i in sorted(int(n.partition("=")[2]) for n in names(spark, path) if n.startswith("_batch=")):
+        part = spark.read.schema(items.schema).parquet(f"{path}/_batch={i}")
+        since = edges[i - 1] - hours * 3600 if i else None
         live = spark.createDataFrame([], STATE)
-        for s in states:
-            live = live.unionByName(s)
-        live = live if lower is None else live.filter(F.col("ts") >= lower - hours * 3600)
+        for j, s in states:
+            if edges[j] >= since:  # a batch has nothing later than its edge
+                live = live.unionByName(s.filter(F.col("ts") >= since))
         got = kept(assign(part, live, hours=hours, **how), "clusters")
-        out = got if out is None else out.unionByName(got)
-        states.append(kept(added(live, part, got), "cluster-state"))
-        lower = upper
+        out = out.unionByName(got)
+        states.append((i, kept(added(live, part, got), "cluster-state")))
     return out

@@ -1,6 +1,8 @@
+import time
 from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from pulsegrid import udfs
@@ -206,6 +208,20 @@ def test_leader_clusters_equal_a_replay(spark):
     assert any(dup for *_, dup in want) and len({c for _, c, _ in want}) > 6
 
 
+def test_resolve_of_a_large_batch(spark):
+    """With copies, and more live rows than one could look at one by one for each item."""
+    rng = np.random.default_rng(6)
+    m = np.float32(unit(rng, 8000)).astype(float)
+    m[4000:] = m[rng.integers(0, 400, 4000)]
+    items = [(i, m[i], float(i * 30), "a b" if i % 2 else "c d") for i in range(8000)]
+    frame = lambda own: pd.DataFrame([(i, v, t, d, None) for i, v, t, d in own], columns=["id", "embedding", "ts", "document", "near"])
+    small = vectors.resolve(frame(items[3900:4400]), vectors.shared_words, 0.05, 0.3, 2, 5)
+    assert sorted(small.itertuples(index=False, name=None)) == replay(items[3900:4400], 0.05, 0.3, hours=2)
+    start = time.perf_counter()
+    got = vectors.resolve(frame(items), vectors.shared_words, 0.05, 0.3, 48, 5)
+    assert time.perf_counter() - start < 20 and len(got) == 8000 and got["is_duplicate"].any()
+
+
 def test_search(spark):
     df = spark.createDataFrame([("Evlerimizden haberler ve spor",), ("ev",), (None,)], "t string")
     assert [r[0] for r in df.select(search.matches(F.col("t"), "spor ve Haberler")).collect()] == [True, False, False]
