@@ -514,8 +514,9 @@ def stream_upsert(spark, sf):
 
 @query()
 def stream_clusters(spark, sf):
-    items = kept(timed_items(spark, sf), "items")
-    top = items.inputFiles()[0].rpartition("/")[0]
+    """Items as they arrive: in files by time, of which the four of a trigger hold about a batch."""
+    items, top = kept(timed_items(spark, sf), "items"), new_path(spark, "arriving")
+    items.repartitionByRange(max(4, -(-items.count() * 4 // vectors.BATCH)), "ts").write.parquet(top)
     return jobs.clustered(spark.readStream.schema(items.schema).option("maxFilesPerTrigger", 4).parquet(top), auto=0.55, far=0.71)
 
 

@@ -208,7 +208,7 @@ def cluster_job(items: DataFrame, at: str, every: str | None = None, hours: floa
         oldest = batch.agg(F.min("ts")).first()[0]
         old = log.table(batch_id, _first_day(oldest, hours)).drop("is_duplicate")
         live = old if oldest is None else old.filter(F.col("ts") >= oldest - hours * 3600)
-        got = assign(batch, live, hours=hours, **how)
+        got = kept(assign(batch, live, hours=hours, **how), "assigned")  # it is read twice
         log.put(added(live, batch, got).join(got.select("id", "is_duplicate"), "id").select(*log_columns), batch_id)
         batch.unpersist()
 
