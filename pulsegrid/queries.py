@@ -688,8 +688,8 @@ def feed_stream(spark, sf):
     from .sources import polls
 
     at = new_path(spark, "polls")
-    X.feed_bodies(spark, sf).repartition("source_name").write.partitionBy("source_name").text(f"{at}/site")
-    urls = spark.read.option("wholetext", "true").text(f"{at}/site").select("source_name", F.col("_metadata.file_path").alias("url"))
+    X.feed_bodies(spark, sf).write.partitionBy("source_name").text(f"{at}/site")
+    urls = spark.read.format("binaryFile").load(f"{at}/site").select("source_name", F.col("_metadata.file_path").alias("url"))  # one row a file, which isn't opened
     lines = [f"{r.source_name},{r.url}\n" for r in urls.orderBy("source_name").collect()]  # the list of sources: a setting, one line each
     for k in (1, 2, 3):
         polls.put(f"{at}/sources-{k}", "".join(lines[: -(-len(lines) * k // 3)]))

@@ -67,7 +67,7 @@ def parsed(bodies: DataFrame) -> DataFrame:
 
 def polled(reader: DataFrameReader | DataStreamReader, path: str) -> DataFrame:
     """The items of the feed files in a folder, which the executors read: spark.read in batch, spark.readStream as files arrive."""
-    files = reader.option("wholetext", "true").text(path)
+    files = reader.text(path, wholetext=True)  # the option of that name is overwritten by this argument
     return parsed(files.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("source_name"), F.col("value").alias("body")))
 
 

@@ -25,6 +25,8 @@ from ..streaming.jobs import Days, start
 from ..tables import kept
 from . import feeds
 
+#: Sources that a task fetches at most: their bodies come to Spark in one Arrow batch.
+SHARE = 256
 SCHEMA = "source_name string, polled_ms long, body string, error string"
 
 
@@ -51,8 +53,8 @@ def get(uri: str) -> str | None:
 
 
 class Share(InputPartition):
-    def __init__(self, at: int, number: int) -> None:
-        self.at, self.number = at, number
+    def __init__(self, at: int, number: int, of: int) -> None:
+        self.at, self.number, self.of = at, number, of
 
 
 class PollReader(DataSourceStreamReader):
@@ -68,11 +70,17 @@ class PollReader(DataSourceStreamReader):
         return {"at": now - now % self.every}
 
     def partitions(self, start: dict, end: dict) -> list[Share]:
-        return [Share(end["at"], k) for k in range(self.tasks)] if end["at"] > start["at"] else []
+        if end["at"] <= start["at"]:
+            return []
+        of = max(self.tasks, -(-len(self._sources()) // SHARE))
+        return [Share(end["at"], k, of) for k in range(of)]
+
+    def _sources(self) -> list[tuple[str, str]]:
+        """The list's sources, each line once."""
+        return list(dict.fromkeys((x.partition(",")[0], x.partition(",")[2]) for x in (get(self.list) or "").splitlines() if "," in x))
 
     def read(self, partition: Share) -> Iterator[tuple]:
-        lines = [x.partition(",") for x in (get(self.list) or "").splitlines() if "," in x]
-        for name, _, url in lines[partition.number :: self.tasks]:
+        for name, url in self._sources()[partition.number :: partition.of]:
             yield (name, partition.at, *self._body(partition.at, name, url))
 
     def _body(self, at: int, name: str, url: str) -> tuple[str | None, str | None]:
@@ -130,6 +138,7 @@ def poll_job(bodies: DataFrame, at: str, seen: DataFrame | None = None, every: s
     def step(batch: DataFrame, batch_id: int) -> None:
         own = feeds.items(feeds.parsed(batch.filter("body IS NOT NULL"))).withColumn("external_id", F.nullif("external_id", F.lit("")))
         own = own.crossJoin(F.broadcast(batch.agg(F.max("polled_ms").alias("polled_ms"))))  # one row
+        own = kept(own, "polled-items")  # bodies are fetched and parsed once, not for each use
         old = table.table(batch_id).select("external_id")
         table.put(unseen(own, old if first is None else old.unionByName(first), "external_id"), batch_id)
 

@@ -79,3 +79,18 @@ def test_a_stream_into_the_outbox(spark, tmp_path):
     with pytest.raises(Exception, match="no"):
         outbox.send(bad, str(tmp_path / "other"), str(tmp_path / "job2")).awaitTermination()
     assert not os.path.exists(tmp_path / "other/epochs")
+
+
+def test_feed_files_of_many_lines(spark, tmp_path):
+    from pulsegrid.sources import feeds
+
+    (tmp_path / "f.xml").write_text("<rss>\n<channel>\n<item>\n<title>one\ntwo</title>\n</item>\n</channel></rss>")
+    assert [(r.source_name, r.title) for r in feeds.polled(spark.read, str(tmp_path)).collect()] == [("f", "one\ntwo")]
+
+
+def test_a_source_is_fetched_once_a_poll_and_long_lists_get_more_tasks(tmp_path):
+    (tmp_path / "list").write_text("".join(f"s{i},{(tmp_path / 'none').as_uri()}\n" * 3 for i in range(1000)))
+    reader = polls.PollReader({"sources": str(tmp_path / "list"), "archive": str(tmp_path / "archive"), "tasks": "2", "everyms": "1"})
+    shares = reader.partitions({"at": 0}, {"at": 5})
+    got = [[name for name, *_ in reader.read(x)] for x in shares]
+    assert sorted(sum(got, [])) == sorted(f"s{i}" for i in range(1000)) and max(map(len, got)) <= polls.SHARE
