@@ -16,8 +16,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.turkish import stem
+from ..tables import kept
 from .search import STOP, words
 
+#: Rows that a task sorts at most, about.
+ROWS = 2_000_000
+
 
 def terms(t: Column, stop: frozenset[str]) -> Column:
     """The distinct words of a text, but for stop words."""
@@ -57,12 +61,17 @@ class Index:
         return spark.read.schema(self.schema).parquet(self.path)
 
 
+def tasks(rows: DataFrame) -> int:
+    """How many tasks rows are dealt to: no fewer than usual, and no more than ROWS to each."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // ROWS))
+
+
 def build(docs: DataFrame, key: str, text: str, path: str, buckets: int = 32, stems: bool = True, stop: frozenset[str] = STOP) -> Index:
-    """The index of docs, written to a new folder."""
+    """The index of docs, written to a new folder. Terms are found once, as bounds of ranges need a look at them before; there are as many ranges as keep each at ROWS."""
     index = Index(path, f"term string, key {docs.schema[key].dataType.simpleString()}, bucket int", buckets, stems, stop)
-    own = postings(docs, key, text, stems, stop).withColumn("bucket", index.bucket(F.col("term")))
+    own = kept(postings(docs, key, text, stems, stop), "postings").withColumn("bucket", index.bucket(F.col("term")))
     order = ["bucket", "term", "key"]
-    own.repartitionByRange(*order).sortWithinPartitions(*order).select("term", "key", "bucket").write.partitionBy("bucket").parquet(path)
+    own.repartitionByRange(tasks(own), *order).sortWithinPartitions(*order).select("term", "key", "bucket").write.partitionBy("bucket").parquet(path)
     return index
 
 
