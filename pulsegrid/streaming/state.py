@@ -12,10 +12,12 @@ a batch that runs twice after a failure starts from the state before it.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import islice
+from operator import itemgetter
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -36,6 +38,10 @@ STATE = (
     "similarity double, entity double, criticality double, opinion boolean, model long, title string, category string, final_tps double, previous_tps double, updated_s double, active boolean, dirty boolean, version long"
 )
 CHANGE = "trend_id long, version long, kind string, title string, tps_signal double, tps_confidence double, final_tps double, previous_tps double, trajectory string, updated_s double, is_active boolean, alerted boolean"
+#: What the state takes from items: all but the key, and the time that the watermark is of.
+WANTED = tuple(c for c in (f.split()[0] for f in ITEM.split(", ")) if c not in ("trend_id", "ts"))
+#: Rows of a trend that are looked at together.
+CHUNK = 10_000
 _FIELDS = [f.split()[0] for f in STATE.split(", ")]
 _COLUMNS = [f.split()[0] for f in CHANGE.split(", ")]
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -45,29 +51,31 @@ def blank() -> dict:
     return dict.fromkeys(_FIELDS) | {"n": 0, "recent": [], "recent_ids": [], "sources": [], "final_tps": 0.0, "previous_tps": 0.0, "active": True, "dirty": False, "version": 0, "opinion": False}
 
 
-def met(t: dict, items: pd.DataFrame) -> dict:
-    """The state of a trend after items (as ITEM) of its own."""
-    seconds = items["at_s"].to_numpy()
-    first, last = float(seconds.min()), float(seconds.max())
-    t = t | {"n": t["n"] + len(items), "first_s": first if t["first_s"] is None else min(first, t["first_s"]), "last_s": last if t["last_s"] is None else max(last, t["last_s"]), "dirty": True}
-    ids = items["id"].astype("int64").tolist()
-    arrivals = sorted([*zip(t["recent"], t["recent_ids"], strict=True), *zip(seconds.tolist(), ids, strict=True)], reverse=True)[:RECENT]
+def met(t: dict, items: pd.DataFrame | Sequence[tuple]) -> dict:
+    """The state of a trend after items (as ITEM, or rows of WANTED) of its own."""
+    if isinstance(items, pd.DataFrame):
+        own = items[list(WANTED)].astype(object)
+        items = list(own.where(own.notna(), None).itertuples(index=False, name=None))
+    column = dict(zip(WANTED, zip(*items, strict=True), strict=True))
+    seconds, ids = [math.nan if x is None else float(x) for x in column["at_s"]], [int(x) for x in column["id"]]
+    first, last = min(seconds), max(seconds)
+    t = t | {"n": t["n"] + len(ids), "first_s": first if t["first_s"] is None else min(first, t["first_s"]), "last_s": last if t["last_s"] is None else max(last, t["last_s"]), "dirty": True}
+    arrivals = sorted([*zip(t["recent"], t["recent_ids"], strict=True), *zip(seconds, ids, strict=True)], reverse=True)[:RECENT]
     t["recent"], t["recent_ids"] = [a for a, _ in arrivals], [b for _, b in arrivals]
-    tiers = items["source_tier"].dropna()
-    if len(tiers):
-        t["tier"] = int(min(tiers.min(), 9 if t["tier"] is None else t["tier"]))
-    names = [*t["sources"], *(None if pd.isna(x) else x for x in items["source_name"].unique())]
-    t["sources"] = list(dict.fromkeys(names))[:SOURCES]
-    texts = items[items["head"].notna()]
-    if len(texts):
-        r = texts.loc[texts["id"].idxmin()]
-        if t["reference"] is None or r["id"] < t["reference"]:
-            t |= {"reference": int(r["id"]), "head": r["head"], "boost": float(r["boost"]), "junk": bool(r["junk"])}
-    newest = items.loc[items["id"].idxmax()]
-    if t["model"] is None or newest["id"] > t["model"]:
-        number = lambda c: None if pd.isna(newest[c]) else float(newest[c])
-        word = lambda c: t[c] if pd.isna(newest[c]) else newest[c]
-        t |= {"model": int(newest["id"]), "entity": number("entity"), "criticality": number("criticality"), "similarity": number("similarity"), "opinion": bool(newest["opinion"]) if pd.notna(newest["opinion"]) else False}
+    tiers = [x for x in column["source_tier"] if x is not None]
+    if tiers:
+        t["tier"] = int(min(*tiers, 9 if t["tier"] is None else t["tier"]))
+    t["sources"] = list(dict.fromkeys([*t["sources"], *column["source_name"]]))[:SOURCES]
+    texts = [k for k, x in enumerate(column["head"]) if x is not None]
+    if texts:
+        k = min(texts, key=ids.__getitem__)
+        if t["reference"] is None or ids[k] < t["reference"]:
+            t |= {"reference": ids[k], "head": column["head"][k], "boost": float(column["boost"][k]), "junk": bool(column["junk"][k])}
+    k = max(range(len(ids)), key=ids.__getitem__)
+    if t["model"] is None or ids[k] > t["model"]:
+        number = lambda c: None if column[c][k] is None else float(column[c][k])
+        word = lambda c: t[c] if column[c][k] is None else column[c][k]
+        t |= {"model": ids[k], "entity": number("entity"), "criticality": number("criticality"), "similarity": number("similarity"), "opinion": bool(column["opinion"][k])}
         t |= {"title": word("title"), "category": word("category")}
     return t
 
@@ -113,20 +121,22 @@ class Trends(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.trend = handle, handle.getValueState("trend", STATE)
 
-    def _row(self, key: tuple, t: dict, kind: str, **found) -> pd.DataFrame:
+    def _row(self, key: tuple, t: dict, kind: str, **found) -> Row:
         values = {"trend_id": key[0], "kind": kind, "title": t["title"] or t["head"], "is_active": t["active"], "alerted": False, "tps_signal": None, "tps_confidence": None, "trajectory": None}
         values |= {c: t[c] for c in ("version", "final_tps", "previous_tps", "updated_s")} | found
-        return pd.DataFrame([values], columns=_COLUMNS)
+        return Row(**{c: values[c] for c in _COLUMNS})
 
     def _wait(self, at_ms: int) -> None:
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         self.handle.registerTimer(at_ms)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
         t = dict(zip(_FIELDS, self.trend.get(), strict=True)) if self.trend.exists() else blank()
-        for items in rows:
-            t = met(t, items)
+        take = None
+        while items := list(islice(rows, CHUNK)):
+            take = take or itemgetter(*map(items[0].__fields__.index, WANTED))
+            t = met(t, [take(tuple(r)) for r in items])  # a Row looks its fields up by name first
         done = scored(t)
         if done is not None:
             t, found = done
@@ -136,7 +146,7 @@ class Trends(StatefulProcessor):
         if done is not None:
             yield self._row(key, t, "score", **found)
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         now = expiredTimerInfo.getExpiryTimeInMs()
         t = faded(dict(zip(_FIELDS, self.trend.get(), strict=True)), now / 1000, self.factors, self.other)
         if t is None:
@@ -163,8 +173,8 @@ def scoring_job(items: DataFrame, at: str, every: str | None = None, decay_s: fl
     before = spark.conf.get(key, None)
     spark.conf.set(key, _ROCKS)  # a query keeps what holds when it starts
     try:
-        keyed = (items.withWatermark("ts", late) if decay_s is not None else items).groupBy("trend_id")
-        changes = keyed.transformWithStateInPandas(statefulProcessor=Trends(decay_s, factors, other), outputStructType=CHANGE, outputMode="Append", timeMode="None" if decay_s is None else "EventTime")
+        keyed = (items.withWatermark("ts", late) if decay_s is not None else items.drop("ts")).groupBy("trend_id")
+        changes = keyed.transformWithState(statefulProcessor=Trends(decay_s, factors, other), outputStructType=CHANGE, outputMode="Append", timeMode="None" if decay_s is None else "EventTime")
         return start(changes, at, every=every)
     finally:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)

@@ -75,3 +75,37 @@ def test_state_stays_small():
         t = state.met(t, pd.DataFrame([item(1, 100 - k, k, source_name=f"s{k}")], columns=COLUMNS))
     assert len(t["recent"]) == 15 and len(t["sources"]) == 5 and t["n"] == 40 and t["reference"] == 61 and t["model"] == 100
     assert state.faded(t, 0.0, {}, 0.9) is None
+
+
+def test_rows_and_frames_give_one_state():
+    """Items come as rows, without pandas; nulls in every field that may hold one."""
+    import random
+
+    import pandas as pd
+
+    rng, maybe = random.Random(3), lambda x: x if rng.random() < 0.6 else None
+    a = b = state.blank()
+    for _ in range(12):
+        items = [
+            item(1, rng.randrange(10**6), rng.randrange(900), title=maybe("t"), category=maybe("Spor"), source_name=maybe(f"s{rng.randrange(4)}"), source_tier=maybe(rng.randrange(1, 4)), head=maybe("text"), similarity=maybe(rng.random()), entity=maybe(5.0), criticality=maybe(7.0), opinion=maybe(True))
+            for _ in range(rng.randrange(1, 25))
+        ]
+        frame = pd.DataFrame(items, columns=COLUMNS)
+        a, b = state.met(a, frame), state.met(b, list(frame[list(state.WANTED)].astype(object).where(frame[list(state.WANTED)].notna(), None).itertuples(index=False, name=None)))
+        assert a == b and all(x is None or x == x for x in a.values())
+
+
+def test_a_group_beyond_one_chunk(spark, places, monkeypatch):
+    """One trend with more rows than are looked at together, over two runs, as one look at all of them."""
+    import pandas as pd
+
+    monkeypatch.setattr(state, "CHUNK", 7)
+    folder, at = places
+    rows = [item(1, k, 1000 - 3 * k, head=None if k < 20 else f"text {k}", source_name=f"s{k % 4}", entity=float(k)) for k in range(60)]
+    drain(spark, folder, at, rows[:45])
+    drain(spark, folder, at, rows[45:])
+    t = state.blank()
+    for part in (rows[:45], rows[45:]):
+        t, found = state.scored(state.met(t, pd.DataFrame(part, columns=COLUMNS)))
+    got = state.current(spark, at).collect()[0]
+    assert (got.version, got.title, got.final_tps, got.previous_tps, got.tps_signal, got.trajectory) == (2, "text 20", t["final_tps"], t["previous_tps"], found["tps_signal"], found["trajectory"])
