@@ -14,8 +14,11 @@ from ..functions.scores import cosine
 from ..tables import kept, names, new_path
 from .relational import latest
 
-#: Vectors in a block; a task compares one block of queries with one of the base.
-BLOCK = 8192
+#: Values in a block of vectors (65,536 vectors of 64); a task compares one block of queries with one of the base. Each block of one side meets all blocks of the other
+#: within a cell, so that a side is shuffled as many times as the other has blocks: they are as large as a task's memory bears well (32 MB in double precision).
+VALUES = 1 << 22
+#: Distances that a task holds at a time.
+TILE = 1 << 21
 #: An index has at most so many cells, and is fitted on at most so many vectors.
 CELLS, SAMPLE = 1024, 20_000
 
@@ -35,13 +38,16 @@ def _local(k: int, exclude_self: bool, hours: float | None):
             ids, own = queries["id"].to_numpy(), base["id"].to_numpy()
             q, m = matrix(queries["embedding"].combine_chunks()), matrix(base["embedding"].combine_chunks()).T
             n = min(k, len(own))
-            for a in range(0, len(ids), 256):
-                some = ids[a : a + 256]
-                distance = 1 - q[a : a + 256] @ m
+            step = max(1, TILE // len(own))
+            for a in range(0, len(ids), step):
+                some = ids[a : a + step]
+                distance = 1 - q[a : a + step] @ m
                 if exclude_self:
-                    distance[some[:, None] == own[None, :]] = np.inf
+                    first, end = np.searchsorted(own, some), np.searchsorted(own, some, "right")
+                    for i in np.flatnonzero(first < end):
+                        distance[i, first[i] : end[i]] = np.inf
                 if hours is not None:
-                    distance[base["ts"].to_numpy()[None, :] < queries["ts"].to_numpy()[a : a + 256, None] - hours * 3600] = np.inf
+                    distance[base["ts"].to_numpy()[None, :] < queries["ts"].to_numpy()[a : a + step, None] - hours * 3600] = np.inf
                 rows, places, found = _least(distance, n)
                 out.append((some[rows], own[places], found))
         return pa.table(dict(zip(("query_id", "id", "distance"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
@@ -61,20 +67,24 @@ def _least(distance: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return rows[within < n], places[within < n], found[within < n]
 
 
-def _in_cells(queries: DataFrame, base: DataFrame, k: int, exclude_self: bool, hours: float | None, block: int) -> DataFrame:
-    """query_id, id, distance, rank within shared cells. A cell of any size is cut into blocks, and each pair of blocks is a task's."""
+def _in_cells(queries: DataFrame, base: DataFrame, k: int, exclude_self: bool, hours: float | None, block: int | None, cells: int) -> DataFrame:
+    """query_id, id, distance, rank within shared cells: a query looks into all of its ``cells``, a vector of base is in the first of its own.
+
+    A cell of any size is cut into blocks, and each pair of blocks is a task's. Vectors are written once, with their cells beside them.
+    """
     spark, path = base.sparkSession, new_path(base.sparkSession, "base")
     base.write.parquet(path)
     b = spark.read.schema(base.schema).parquet(path)
     q = spark.read.schema(base.schema).parquet(path) if queries is base else kept(queries, "queries")  # one table where both sides are one
-    cores = spark.sparkContext.defaultParallelism
-    blocks = lambda df, name, least: df.groupBy("cell").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), least(F.count(F.lit(1)))).cast("int").alias(name))
-    # small cells are cut finer, so that there is a block for each core
-    sizes = blocks(q, "nq", lambda _: F.lit(1)).join(blocks(b, "nb", lambda n: F.least(F.lit(cores), F.ceil(n / 512))), "cell")
+    columns = ["id", "embedding"] + ["ts"] * (hours is not None)
+    q, b = q.select(*columns, F.explode("cells").alias("cell")), b.select(*columns, F.get("cells", F.lit(0)).alias("cell")).filter("cell IS NOT NULL")
+    spread = -(-spark.sparkContext.defaultParallelism // max(1, cells))  # where cells are fewer than cores they are cut finer, so that there is a block for each core
+    rows = F.lit(block) if block else F.greatest(F.lit(1), F.floor(VALUES / F.max(F.size("embedding"))))
+    blocks = lambda df, name, least: df.groupBy("cell").agg(F.greatest(F.ceil(F.count(F.lit(1)) / rows), least(F.count(F.lit(1)))).cast("int").alias(name))
+    sizes = blocks(q, "nq", lambda _: F.lit(1)).join(blocks(b, "nb", lambda n: F.least(F.lit(spread), F.ceil(n / 512))), "cell")
     sizes = F.broadcast(sizes)  # at most CELLS rows
     place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ["id", "embedding"] + ["ts"] * (hours is not None)
     q = q.join(sizes, "cell").select("cell", place("nq").alias("qb"), every("nb").alias("bb"), *columns)
     b = b.join(sizes, "cell").select("cell", every("nq").alias("qb"), place("nb").alias("bb"), *columns)
     keys = ["cell", "qb", "bb"]
@@ -83,16 +93,16 @@ def _in_cells(queries: DataFrame, base: DataFrame, k: int, exclude_self: bool, h
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def nearest(queries: DataFrame, base: DataFrame, k: int, exclude_self: bool = True, block: int = BLOCK, hours: float | None = None) -> DataFrame:
+def nearest(queries: DataFrame, base: DataFrame, k: int, exclude_self: bool = True, block: int | None = None, hours: float | None = None) -> DataFrame:
     """query_id, id, distance, rank: the k nearest of base (id, embedding) for each of queries. Exact, ties by id.
 
     With hours, both sides have ts in seconds, and only vectors at most so old as the query allows are considered. Blocks of both
     sides meet on the executors; no vector passes through the driver.
     """
     columns = ["id", "embedding"] + ["ts"] * (hours is not None)
-    one = F.lit(0).alias("cell")
+    one = F.array(F.lit(0)).alias("cells")
     b = base.select(*columns, one)
-    return _in_cells(b if queries is base else queries.select(*columns, one), b, k, exclude_self, hours, block)
+    return _in_cells(b if queries is base else queries.select(*columns, one), b, k, exclude_self, hours, block, 1)
 
 
 def centres(vectors: DataFrame, cells: int, sample: int = SAMPLE, rounds: int = 12) -> np.ndarray:
@@ -116,18 +126,18 @@ def _celled(found: np.ndarray, probes: int):
         for batch in batches:
             m = matrix(batch.column("embedding"))
             near = np.argsort(-(m @ found.T), axis=1, kind="stable")[:, :probes] if len(m) and len(found) else np.zeros((len(m), 0), np.int64)
-            rows = pa.array(np.repeat(np.arange(len(m)), near.shape[1]))
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(rows), batch.column("embedding").take(rows), pa.array(near.ravel().astype(np.int32))], ["id", "embedding", "cell"])
+            cells = pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * near.shape[1], pa.int32()), pa.array(near.ravel(), pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("embedding"), cells], ["id", "embedding", "cells"])
 
     return run
 
 
-def indexed_nearest(queries: DataFrame, base: DataFrame, k: int, cells: int, probes: int, exclude_self: bool = True, block: int = BLOCK) -> DataFrame:
+def indexed_nearest(queries: DataFrame, base: DataFrame, k: int, cells: int, probes: int, exclude_self: bool = True, block: int | None = None) -> DataFrame:
     """As nearest(), but each query looks only into the ``probes`` cells with the nearest centres. Every vector of base is in one cell."""
-    found, schema = centres(base, cells), "id long, embedding array<float>, cell int"
+    found, schema = centres(base, cells), "id long, embedding array<float>, cells array<int>"
     q = queries.select("id", "embedding").mapInArrow(_celled(found, probes), schema)
-    b = base.select("id", "embedding").mapInArrow(_celled(found, 1), schema)
-    return _in_cells(q, b, k, exclude_self, None, block)
+    b = q if queries is base else base.select("id", "embedding").mapInArrow(_celled(found, 1), schema)
+    return _in_cells(q, b, k, exclude_self, None, block, len(found))
 
 
 def nearest_sql(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:

@@ -3,6 +3,7 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from pulsegrid import udfs
@@ -344,3 +345,28 @@ def test_which_duplicate_stays_and_names_that_clash(spark):
     assert kept[0] == kept[1] == kept[2] and len(kept[0]) == 1
     got = R.unique_slugs(rows.withColumn("_Taken", F.lit("t")), "key", "_n")
     assert sorted((r._n, r["_at"], r["_Taken"], r.unique_slug) for r in got.collect()) == [(i, f"v{i}", "t", "k" if not i else f"k-{i}") for i in range(8)]
+
+
+def test_blocks_follow_the_values_of_vectors(spark, monkeypatch):
+    """An index is written once, with the cells beside each vector, and a cell that fits one block isn't cut for the cores that other cells keep busy."""
+    rng = np.random.default_rng(11)
+    rows = [(i, v.tolist()) for i, v in enumerate(unit(rng, 2400, 8))]
+    df = spark.createDataFrame(rows, "id long, embedding array<float>")
+    written, keep = [], vectors.new_path
+    monkeypatch.setattr(vectors, "new_path", lambda s, n: written.append(keep(s, n)) or written[-1])
+    monkeypatch.setattr(vectors, "kept", lambda *_: pytest.fail("the same vectors are written twice"))
+    found = {}
+    for name, values in (("one block", 1 << 22), ("blocks of 90", 8 * 90)):
+        monkeypatch.setattr(vectors, "VALUES", values)
+        got = vectors.indexed_nearest(df, df, 3, cells=4, probes=3)
+        found[name] = sorted((r.query_id, r.rank, r.id) for r in got.collect())
+    stored = spark.read.parquet(written[0])
+    assert stored.count() == 2400 and {len(r.cells) for r in stored.collect()} == {3}
+    assert found["one block"] == found["blocks of 90"] and len(found["one block"]) == 7200
+    m = np.array([v for _, v in rows], dtype=np.float32).astype(np.float64)
+    cells = {r.id: list(r.cells) for r in stored.collect()}
+    own = np.array([cells[i][0] for i in range(2400)])
+    for i in range(0, 2400, 97):
+        d = 1 - m @ m[i]
+        d[~np.isin(own, cells[i])] = d[i] = np.inf
+        assert [x for q, _, x in found["one block"] if q == i] == np.lexsort((np.arange(2400), d))[:3].tolist()
