@@ -38,16 +38,16 @@ def deleted(**tables: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
     return {name: t.limit(0) for name, t in tables.items()}, out
 
 
-def scoring_pass(trends: DataFrame, arrivals: DataFrame, news: DataFrame, similarity: Callable[[DataFrame], DataFrame], models: DataFrame, now: str, limit: int = 50, changed_only: bool = False, **lists) -> tuple[DataFrame, DataFrame]:
+def scoring_pass(trends: DataFrame, arrivals: DataFrame, news: DataFrame | Callable[[DataFrame], DataFrame], similarity: Callable[[DataFrame], DataFrame], models: DataFrame, now: str, limit: int = 50, changed_only: bool = False, **lists) -> tuple[DataFrame, DataFrame]:
     """The next snapshot of trends (or its changed rows only) after up to ``limit`` waiting ones are scored, and the alerts that this gives rise to.
 
     The inputs are cut to the waiting trends first, so that a pass costs what they have, not what all trends have: similarity is a function
-    that is called with their ids (trend_id) and gives trend_id, similarity. A trend without any text keeps its scores and goes on waiting. An
+    that is called with their ids (trend_id) and gives trend_id, similarity; news may be one as well, where what makes them is better cut before it is joined. A trend without any text keeps its scores and goes on waiting. An
     alert compares the new score with the previous_tps that stands in trends, which is two passes old.
     """
     queue = kept(scoring_queue(trends, limit), "queue")
     waiting = queue.select(F.col("id").alias("trend_id"))
-    own = lambda df: df.join(F.broadcast(waiting), "trend_id", "left_semi")  # noqa: E731  # at most ``limit`` rows
+    own = lambda df: df(waiting) if callable(df) else df.join(F.broadcast(waiting), "trend_id", "left_semi")  # noqa: E731  # at most ``limit`` rows
     new = scored(queue, own(arrivals), own(news), similarity(waiting), own(models), **lists)
     columns = ["tps_signal", "tps_confidence", "final_tps", "previous_tps", "trajectory", "needs_scoring", "score", "last_updated"]
     new = new.withColumnRenamed("confidence", "tps_confidence").withColumns({"score": F.col("final_tps"), "last_updated": at(now)})

@@ -606,10 +606,16 @@ QUEUED = f"""{TRENDS}, s AS (SELECT * FROM ({FINAL}) WHERE trend_id IN (SELECT i
 heads AS (SELECT user_id AS trend_id, left(arg_min(text, doc_id), 60) AS head FROM documents JOIN events ON doc_id = event_id GROUP BY user_id)"""
 
 
+def waiting_news(spark, sf):
+    """The news of waiting trends: events are cut first, so that documents needn't be shuffled to meet all of them."""
+    of = lambda waiting: X.table(spark, sf, "events").join(F.broadcast(waiting), F.col("user_id") == F.col("trend_id"), "left_semi")  # noqa: E731  # at most 50 rows
+    return lambda waiting: X.raw_news(spark, sf, kept(of(waiting), "waiting-events"))
+
+
 def after_pass(spark, sf):
     v = X.vectors(spark, sf)
     near = lambda waiting: vectors.nearest(v.join(F.broadcast(waiting), v["id"] == waiting["trend_id"], "left_semi"), v, 1).select(F.col("query_id").alias("trend_id"), (1 - F.col("distance")).alias("similarity"))  # noqa: E731  # at most 50 rows
-    return upkeep.scoring_pass(X.trends(spark, sf), X.arrivals(spark, sf), X.raw_news(spark, sf), near, scoring.model_scores(models(spark, sf)), X.ORDERS_NOW, high=HIGH, medium=MEDIUM, turkish_case=True)
+    return upkeep.scoring_pass(X.trends(spark, sf), X.arrivals(spark, sf), waiting_news(spark, sf), near, scoring.model_scores(models(spark, sf)), X.ORDERS_NOW, high=HIGH, medium=MEDIUM, turkish_case=True)
 
 
 @query(f"""{QUEUED} SELECT id, coalesce(round(s.final_tps, 4), t.final_tps) AS final_tps, coalesce(round(s.final_tps, 4), t.score) AS score, CASE WHEN s.trend_id IS NOT NULL THEN TIMESTAMP '2001-08-02' ELSE t.last_updated END AS last_updated,
@@ -769,7 +775,7 @@ def worker_passes(spark, sf):
 
     v, table = X.vectors(spark, sf), stored_trends(spark, sf)
     near = lambda waiting: vectors.nearest(v.join(F.broadcast(waiting), v["id"] == waiting["trend_id"], "left_semi"), v, 1).select(F.col("query_id").alias("trend_id"), (1 - F.col("distance")).alias("similarity"))  # noqa: E731  # at most 50 rows
-    workers.scoring_step(table, 0, X.arrivals(spark, sf), X.raw_news(spark, sf), near, scoring.model_scores(models(spark, sf)), X.ORDERS_NOW, high=HIGH, medium=MEDIUM, turkish_case=True)
+    workers.scoring_step(table, 0, X.arrivals(spark, sf), waiting_news(spark, sf), near, scoring.model_scores(models(spark, sf)), X.ORDERS_NOW, high=HIGH, medium=MEDIUM, turkish_case=True)
     seen = workers.decay_step(table, 1, "2001-08-02 00:30:00", factors=FACTORS, other=L.DECAY_OTHER)
     tps = F.when(F.col("trajectory").isNotNull(), F.round("final_tps", 4)).otherwise(F.round("final_tps", 6))
     return table.table().select("id", tps.alias("final_tps"), "needs_scoring", "is_active", F.lit(seen["decayed"]).alias("decayed"), F.lit(seen["archived"]).alias("archived"))

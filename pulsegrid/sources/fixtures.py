@@ -38,8 +38,9 @@ def trends(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(TRENDS_SQL.replace("FROM orders JOIN customer", "FROM {o} JOIN {c}"), o=table(spark, sf_dir, "orders"), c=table(spark, sf_dir, "customer"))
 
 
-def raw_news(spark: SparkSession, sf_dir: str) -> DataFrame:
-    news = spark.sql(NEWS_SQL.replace("FROM documents JOIN events", "FROM {d} JOIN {e}"), d=table(spark, sf_dir, "documents"), e=table(spark, sf_dir, "events"))
+def raw_news(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """All news, or those of some events."""
+    news = spark.sql(NEWS_SQL.replace("FROM documents JOIN events", "FROM {d} JOIN {e}"), d=table(spark, sf_dir, "documents"), e=table(spark, sf_dir, "events") if events is None else events)
     return news.withColumn("source_tier", tier(F.col("source_name"), TIER_1, TIER_2))
 
 

@@ -5,12 +5,15 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..tables import children, fresh, kept, names, remove, touch
 
+#: Changes of so many rows at most go to every task; a task of a shuffle puts about so many rows of a part in order.
+FEW, ROWS = 10_000, 500_000
+
 
 class Snapshot:
     """The latest row of each key, in ``parts`` folders. Writes carry a rising number, and number -1 is the table as it was first given.
@@ -53,17 +56,19 @@ class Snapshot:
         return [r[0] for r in rows.select(self.part).distinct().collect()]  # at most ``parts`` numbers
 
     def put(self, changes: DataFrame, number: int) -> None:
-        """Insert or replace the rows that changes holds, with all columns."""
-        one = fresh(changes, "_row")
-        last = changes.select(*self.schema.names).groupBy(self.key).agg(F.max(F.struct(F.xxhash64(*self.schema.names).alias("_hash"), F.struct(*self.schema.names).alias("_row"))).alias(one))
-        rows = kept(last.select(f"{one}._row.*"), "changes")
-        parts = self._parts_of(rows)
+        """Insert or replace the rows that changes holds, with all columns. Changes are made once: what they observe is counted once.
+
+        A few changes of rows that are there are put in their places, in the files as they are; else the parts are shuffled, once, with what changes them.
+        """
+        rows = kept(changes.select(*self.schema.names), "changes")
+        counts = {r[0]: r[1] for r in rows.groupBy(self.part.alias("_part")).count().collect()}  # at most ``parts`` rows
+        parts, n = sorted(counts), sum(counts.values())
         remove(self.spark, f"{self.top}/data/_part=*/_at={number}")
         old = self.table(number, parts)
-        same = old.join(rows.select(F.col(self.key).alias("_key")), F.col(self.key).eqNullSafe(F.col("_key")), "left_anti")
-        new = same.select(*self.schema.names).unionByName(rows.select(*self.schema.names)).withColumns({"_part": self.part, "_at": F.lit(number)})
         if parts:
-            new.repartition("_part").write.mode("append").partitionBy("_part", "_at").parquet(f"{self.top}/data")
+            new = self._replaced(old, rows) if n <= FEW else None
+            new = self._merged(old, rows, -(-(n + old.count()) // (len(parts) * ROWS))) if new is None else new
+            self._write(new.select(*self.schema.names).withColumns({"_part": self.part, "_at": F.lit(number)}))
         touch(self.spark, f"{self.top}/done/{number}")
         for n in names(self.spark, f"{self.top}/done"):
             if int(n) < number:
@@ -73,6 +78,37 @@ class Snapshot:
             for v in versions[:-2]:
                 remove(self.spark, f"{self.top}/data/_part={p}/_at={v}")
 
+    def _last(self, rows: DataFrame, first: list[str], order: list[Column]) -> DataFrame:
+        """Of each key the first row by order and by the greatest hash; ``first`` are columns that the key decides, by which the rows may be dealt out already."""
+        place = fresh(rows, "_place")
+        w = Window.partitionBy(*first, self.key).orderBy(*order, F.xxhash64(*self.schema.names).desc())
+        return rows.withColumn(place, F.row_number().over(w)).filter(F.col(place) == 1)
+
+    def _replaced(self, old: DataFrame, rows: DataFrame) -> DataFrame | None:
+        """The old rows with a few changes in their places, or None where one has no place yet. No old row leaves its task."""
+        rows, new = self._last(rows, [], []), fresh(old, "_new")
+        rows = F.broadcast(rows.select(F.struct(*self.schema.names).alias(new)))  # at most FEW rows
+        met = F.col(self.key).eqNullSafe(F.col(f"{new}.{self.key}"))
+        if old.join(rows, met, "left_semi").count() < rows.count():
+            return None
+        return old.join(rows, met, "left").select(*(F.when(F.col(new).isNotNull(), F.col(f"{new}.{c}")).otherwise(F.col(c)).alias(c) for c in self.schema.names))
+
+    def _merged(self, old: DataFrame, rows: DataFrame, slices: int) -> DataFrame:
+        """Old and new rows shuffled once, by part and by slices of the key; of each key the new row where there is one."""
+        both = old.withColumn("_new", F.lit(0)).unionByName(rows.withColumn("_new", F.lit(1)))
+        both = both.withColumns({"_part": self.part, "_slice": F.pmod(F.hash(self.key), F.lit(max(1, slices)))}).repartition("_part", "_slice")
+        return self._last(both, ["_part", "_slice"], [F.col("_new").desc()])
+
+    def _write(self, rows: DataFrame) -> None:
+        """Append by part. A task holds few parts, so their files are open side by side, and nothing is sorted for them."""
+        conf, key = rows.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+        before = conf.get(key)
+        conf.set(key, str(self.parts))
+        try:
+            rows.write.mode("append").partitionBy("_part", "_at").parquet(f"{self.top}/data")
+        finally:
+            conf.set(key, before)
+
 
 def served(spark: SparkSession, path: str, make: Callable[[], DataFrame], seconds: float, now: float | None = None) -> DataFrame:
     """A served list as JSON lines (value), made anew once what is stored is older than so many seconds: 120 for lists, 600 for details, 60 for histories.

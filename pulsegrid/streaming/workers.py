@@ -44,7 +44,6 @@ def fading(trends: DataFrame, now: str, factors: dict[str, float] = L.DECAY, oth
 def decay_step(trends: Snapshot, number: int, now: str, **how) -> dict[str, int]:
     """Let the scores fade and write the trends that did; how many decayed and how many were archived, counted in that one pass."""
     rows, seen = fading(trends.table(number), now, **how)
-    rows = kept(rows, "faded")
     trends.put(rows, number)
     return seen.get
 

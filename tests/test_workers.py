@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pulsegrid import models
 from pulsegrid.plans import summaries
 from pulsegrid.schema import evolve, struct
-from pulsegrid.streaming import workers
+from pulsegrid.streaming import snapshots, workers
 from pulsegrid.streaming.snapshots import Snapshot, served
 
 NOW = "2024-01-02 00:00:00"
@@ -146,6 +146,46 @@ def test_a_write_that_broke_off_isnt_read(spark, tmp_path):
     assert [r.x for r in s.table().collect()] == ["b"]
 
 
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_a_write_in_place_and_one_by_a_shuffle_agree(spark, tmp_path, monkeypatch, few):
+    """Changes are made once, whichever way they go; of equal keys one stays; the session's settings are as before."""
+    monkeypatch.setattr(snapshots, "FEW", few)
+    monkeypatch.setattr(snapshots, "ROWS", 40)
+    s, made = Snapshot(spark, str(tmp_path / "t"), spark.createDataFrame([], SCHEMA).schema, parts=4), spark.sparkContext.accumulator(0)
+    s.put(spark.createDataFrame([(i, "a") for i in range(500)] + [(None, "n")], SCHEMA), -1)
+    was, stored = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters"), len(files(s.top))
+
+    def count(rows):
+        for r in rows:
+            made.add(1)
+            yield r
+
+    def change(rows):
+        return spark.createDataFrame(spark.createDataFrame(rows, SCHEMA).rdd.mapPartitions(count), SCHEMA)
+
+    s.put(change([(i, None if i == 9 else "b") for i in range(0, 500, 3)] + [(None, "m"), (3, "b")]), 0)
+    want = {i: None if i == 9 else "b" if i % 3 == 0 else "a" for i in range(500)} | {None: "m"}
+    got = s.table().collect()
+    assert made.value == 169 and len(got) == 501 and {r.id: r.x for r in got} == want
+    s.put(change([(3, "c"), (3, "d"), (900, "new")]), 1)
+    got = {r.id: r.x for r in s.table().collect()}
+    assert made.value == 172 and s.table().count() == 502 and got.pop(3) in ("c", "d") and got == {k: v for k, v in want.items() if k != 3} | {900: "new"}
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == was
+    for n in range(2, 6):
+        s.put(spark.createDataFrame([(i, str(n)) for i in range(0, 500, 50)], SCHEMA), n)
+    per_part = [len([f for f in files(s.top) if f"/{p}/_at=5/" in f]) for p in os.listdir(f"{s.top}/data") if p.startswith("_part")]
+    assert max(per_part) <= max(4, stored) and s.table().count() == 502  # files don't grow in number with every pass
+
+
+def test_news_are_cut_before_they_are_made(spark, sf):
+    from pulsegrid import queries
+    from pulsegrid.sources import fixtures as X
+
+    waiting = spark.createDataFrame([(1,), (5,), (10**9,)], "trend_id long")
+    got = queries.waiting_news(spark, sf)(waiting)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, X.raw_news(spark, sf).filter("trend_id IN (1, 5)").collect()), key=str)
+
+
 def test_decay_step_counts_in_one_pass(spark, tmp_path):
     t = Snapshot(spark, str(tmp_path / "t"), struct("trends"), parts=4)
     rows = [(1, "a", "t", 50.0, None), (2, "b", "t", 3.5, None), (3, "c", "t", 1.0, None), (4, "d", "t", None, None)]
